@@ -5,19 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import shingle_join
+from tessera.llm import bpe, language, packing, quality, sharding, shingle_join
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(_documents(spark, sf_dir), 24)
+    return found.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shingle_join.shingle_components(_documents(spark, sf_dir).select("doc_id", "text"), k=4, threshold=85)
     least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return found.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-QUERIES = {"op2_shingle_join": op2_shingle_join}
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    profiles = language.learn(docs.where(language.teaching() != 0))
+    found = language.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", F.coalesce(language.teaching() == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.apply_rules(docs, trees).drop("text")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_shingle_join": op2_shingle_join,
+    "op3_language": op3_language,
+    "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
+    "op8_bpe": op8_bpe,
+}
 
 SQL: dict[str, str] = {}

@@ -39,7 +39,7 @@ from tessera.plans.workspace import Workspace
 
 #: Shingles in more documents than this may be called frequent; at most so many of them, the most frequent, are.
 FREQUENT_FROM, FREQUENT_LIMIT = 32, 1 << 20
-#: Bits of a set's parity sketch.
+#: Bits of the parity sketch of a small set; larger sets have twice their size, as a power of two.
 SKETCH_BITS = 512
 #: Largest size at which a set may count as small.
 LIGHT_MOST = 512
@@ -78,11 +78,20 @@ def _set_id(own: np.ndarray) -> bytes:
 
 
 def _sketch(own: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((own >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    bits = max(SKETCH_BITS, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own >> np.uint64(20)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (64-bit words along the last axis) as they'd be with fewer bits."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
 
 
 def _frequencies(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
-    """(token, df) of shingles in FREQUENT_FROM documents or more, by 32 + bits leading bits, with each bucket's sum of squares as token null."""
+    """(token, df) of shingles in FREQUENT_FROM documents or more, by 24 + bits leading bits, with each bucket's sum of squares as token null."""
 
     def cut(batches):
         for batch in batches:
@@ -92,7 +101,7 @@ def _frequencies(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
             for own in sets:
                 held.append(own)
                 size += len(own)
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     yield pack(held)
                     held, size = [], 0
             if size:
@@ -102,17 +111,19 @@ def _frequencies(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
         tokens = np.concatenate(held)
         tokens.sort()
         cuts = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        short = ((tokens >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        parts = np.split(short, cuts)
+        short = ((tokens >> np.uint64(40 - bits)) & np.uint64(0xFFFFFF)).astype("<u4")
+        parts = np.split(short.view(np.uint8).reshape(-1, 4)[:, :3], cuts)
         rows = [(b, p.tobytes()) for b, p in enumerate(parts) if len(p)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "tokens"])
 
     def count(key, table):
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32)
-        found, df = np.unique(tokens, return_counts=True)
+        packed = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint8).reshape(-1, 3)
+        tokens = np.zeros((len(packed), 4), np.uint8)
+        tokens[:, :3] = packed
+        found, df = np.unique(tokens.view("<u4").ravel(), return_counts=True)
         often = df >= FREQUENT_FROM
         rare = df[~often].astype(np.float64)
-        token = found[often].astype(np.int64) + (int(key[0].as_py()) << 32)
+        token = found[often].astype(np.int64) + (int(key[0].as_py()) << 24)
         return pa.table({"token": pa.array([*token.tolist(), None], pa.int64()), "df": pa.array([*df[often].astype(np.float64).tolist(), float((rare * rare).sum())], pa.float64()), "of": pa.array([*np.zeros(often.sum()).tolist(), float(rare.sum())], pa.float64())})
 
     return docs.select(text).mapInArrow(cut, "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long, df double, of double")
@@ -121,7 +132,7 @@ def _frequencies(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
 def _leading(tokens: np.ndarray, frequent: np.ndarray, bits: int, most: int) -> np.ndarray:
     """The first shingles of a sorted set in the global order."""
     if len(frequent):
-        short = tokens >> np.uint64(32 - bits)
+        short = tokens >> np.uint64(40 - bits)
         at = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
         often = frequent[at] == short
         if often.any():
@@ -187,8 +198,10 @@ def shingle_components(docs: DataFrame, text: str = "text", k: int = 5, threshol
 
     keyed = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     described = workspace.save(keyed.mapInArrow(describe, "text_key long, n long, set_id binary, prefix binary, sketch binary"))
-    sets = workspace.save(described.where("n > 0").dropDuplicates(["set_id"]))
-    named = described.select("text_key", "n", "set_id").distinct()
+    named = workspace.save(described.select("text_key", "n", "set_id").distinct())
+    # the table is written once, so each set keeps its number
+    sets = workspace.save(described.where("n > 0").dropDuplicates(["set_id"]).select("set_id", "n", "prefix", "sketch", F.monotonically_increasing_id().alias("set")))
+    workspace.drop(described)
 
     histogram = {r["n"]: r["c"] for r in sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
     bound = _boundary(histogram, threshold, partners)
@@ -202,36 +215,51 @@ def shingle_components(docs: DataFrame, text: str = "text", k: int = 5, threshol
             signature = np.concatenate(found) if found else np.zeros(0, np.int64)
             for at in range(0, max(1, len(index)), 1 << 17):
                 part = pa.array(index[at : at + (1 << 17)])
-                yield pa.RecordBatch.from_arrays([pa.array(signature[at : at + (1 << 17)]), batch.column(0).take(part), batch.column(2).take(part)], ["signature", "set_id", "n"])
-
-    postings = sets.select("set_id", "prefix", "n").mapInArrow(post, "signature long, set_id binary, n long")
-    member = F.struct("n", "set_id")
-    ends = postings.groupBy("signature").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("c")).where("c > 1")
-    lists = workspace.save(postings.join(ends, "signature"))
-
-    in_reach = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
-    stars = lists.select("set_id", "n", F.explode(F.array("low", "high")).alias("end")).where((F.col("set_id") != F.col("end.set_id")) & in_reach(F.col("n"), F.col("end.n")))
-    stars = stars.select(F.least("set_id", "end.set_id").alias("a"), F.greatest("set_id", "end.set_id").alias("b")).distinct()
-    links = workspace.save(_verified(docs, text, k, threshold, _sketched(stars, sets, threshold), named, workspace))
+                yield pa.RecordBatch.from_arrays([pa.array(signature[at : at + (1 << 17)]), batch.column(0).take(part), batch.column(2).take(part)], ["signature", "set", "n"])
+
+    postings = sets.select("set", "prefix", "n").mapInArrow(post, "signature long, set long, n long")
+    repeated = workspace.save(postings.groupBy("signature").count().where("count > 1").select("signature", F.col("count").alias("c")))
+    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    lists = workspace.save(postings.join(few, "signature"))
+
+    ends = lists.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high"))
+    stars = lists.join(ends, "signature").select("set", F.explode(F.array("low", "high")).alias("end")).where("set <> end")
+    stars = stars.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
+    body = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("_key"))
+    links = workspace.save(_verified(body, k, threshold, _sketched(stars, sets, threshold), sets, named, workspace))
     parts = connected_components(links, "a", "b", workspace)
 
-    labelled = lists.select("signature", "set_id", "n").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = labelled.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("signature", "c")
-    rest = workspace.save(_rest(labelled.join(mixed, "signature"), sets, threshold, workspace))
-    more = workspace.save(_verified(docs, text, k, threshold, rest, named, workspace))
+    labelled = lists.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    mixed = labelled.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("signature")
+    rest = _rest(labelled.join(mixed, "signature", "left_semi"), sets, threshold)
+    more = workspace.save(_verified(body, k, threshold, rest, sets, named, workspace))
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b", workspace)
-    parts = parts.select(F.col("node").alias("set_id"), "component")
+    known = sets.select("set", "set_id")
+    parts = parts.join(known, F.col("node") == F.col("set")).select("set_id", "component")
+    parts = parts.join(known.select("set", F.col("set_id").alias("root")), F.col("component") == F.col("set")).select("set_id", F.col("root").alias("component"))
     tagged = docs.drop("set_id", "n_shingles", "component").withColumn("_key", F.xxhash64(text)).join(named.withColumnRenamed("text_key", "_key").withColumnRenamed("n", "n_shingles"), "_key", "left").drop("_key")
     return tagged.join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
 def _sketched(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that their parity sketches don't rule out: sets differ in at least as many shingles as sketches in bits."""
-    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), *[F.conv(F.hex(F.expr(f"substring(sketch, {8 * i + 1}, 8)")), 16, -10).cast("long").alias(f"{x}{i}") for i in range(SKETCH_BITS // 64)])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return both.where(_may_link(F.col("n_a"), F.col("n_b"), differ, threshold)).select("a", "b")
+    """Pairs of sets within reach that their parity sketches don't rule out: sets differ in at least as many shingles as sketches in bits."""
+    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    drawn = lambda x: sets.select(F.col("set").alias(x), F.col("sketch").alias(f"s_{x}"))
+    both = near.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def agree(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            differ = np.zeros(len(n), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(x), len(y))
+                differ[i] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()
+            yield batch.select(["a", "b"]).filter(pa.array(_may_link(n, m, differ, threshold)))
+
+    return both.mapInArrow(agree, "a long, b long")
 
 
 def _may_link(n, m, differ, threshold: int):
@@ -239,12 +267,12 @@ def _may_link(n, m, differ, threshold: int):
     return (100 + threshold) * differ <= (100 - threshold) * (n + m)
 
 
-def _verified(docs: DataFrame, text: str, k: int, threshold: int, pairs: DataFrame, named: DataFrame, workspace: Workspace) -> DataFrame:
+def _verified(body: DataFrame, k: int, threshold: int, pairs: DataFrame, sets: DataFrame, named: DataFrame, workspace: Workspace) -> DataFrame:
     """The pairs that link, from the whole sets of the texts involved."""
     pairs = workspace.save(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    keys = workspace.save(named.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("text_key").alias("_key")).select("_key"))
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set", "set_id"), "set")
+    wanted = workspace.save(named.join(wanted, "set_id").groupBy("set", "set_id").agg(F.min("text_key").alias("_key")))
+    keys = F.broadcast(wanted.select("_key")) if wanted.count() <= BROADCAST_ROWS else wanted.select("_key")
 
     def whole(batches):
         for batch in batches:
@@ -257,38 +285,39 @@ def _verified(docs: DataFrame, text: str, k: int, threshold: int, pairs: DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in part], pa.binary()), arrays], ["set_id", "tokens"])
                 at += 256
 
-    texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("_key")).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("text")
-    full = workspace.save(texts.mapInArrow(whole, "set_id binary, tokens array<long>").dropDuplicates(["set_id"]))
-    both = pairs.join(full.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
+    texts = body.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("text")
+    full = texts.mapInArrow(whole, "set_id binary, tokens array<long>").join(wanted.select("set", "set_id"), "set_id").select("set", "tokens")
+    full = workspace.save(full)
+    both = pairs.join(full.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _rest(members: DataFrame, sets: DataFrame, threshold: int, workspace: Workspace) -> DataFrame:
+def _rest(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs of one list in different components that sketches don't rule out, found block against block."""
-    members = workspace.save(members.join(sets.select("set_id", "sketch"), "set_id"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("block", "set_id", "n", "component", "sketch").alias("m"))
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets.select("set", "sketch"), "set").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "component", "sketch")
 
     def compare(key, table):
-        m = table.column("m").combine_chunks()
-        block, n = m.field("block").to_numpy(), m.field("n").to_numpy()
-        ids, component = m.field("set_id").to_pylist(), np.array(m.field("component").to_pylist(), object)
-        _, component = np.unique(component, return_inverse=True)
-        bits = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        block, ids, n, component = (table.column(c).to_numpy() for c in ("block", "set", "n", "component"))
+        drawn = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        words = np.array([len(x) for x in drawn])
+        # sketches by their length, also folded to half, as sizes within reach differ by one doubling at most
+        at = {w: np.stack([_folded(x, w) if len(x) in (w, 2 * w) else np.zeros(w, np.uint64) for x in drawn]) for w in np.unique(words)}
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
             near = right[(component[right] != component[x]) & (100 * np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]))]
             near = near[near > x] if i == j else near
-            if len(near):
-                differ = np.bitwise_count(bits[near] ^ bits[x]).sum(1).astype(np.int64)
-                near = near[_may_link(n[near], n[x], differ, threshold)]
-                a += [min(ids[x], ids[y]) for y in near]
-                b += [max(ids[x], ids[y]) for y in near]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return dealt.groupBy("signature", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+            for w in np.unique(np.minimum(words[near], words[x])):
+                some = near[np.minimum(words[near], words[x]) == w]
+                differ = np.bitwise_count(at[w][some] ^ at[w][x]).sum(1).astype(np.int64)
+                some = some[_may_link(n[some], n[x], differ, threshold)]
+                a.append(np.minimum(ids[some], ids[x]))
+                b.append(np.maximum(ids[some], ids[x]))
+        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+
+    return dealt.groupBy("signature", "i", "j").applyInArrow(compare, "a long, b long").distinct()

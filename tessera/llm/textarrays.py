@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes worked on at once; a longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -79,6 +79,19 @@ def plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
+class RangeHash:
+    """Hashes of any ranges of one array of small numbers."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.down[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * _STEP[2])
+
+
 class Words:
     """The words of some texts: byte ranges, hashes, and the words' range of each text."""
 
@@ -92,14 +105,8 @@ class Words:
         self.starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
         self.ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.data, self.hashes = data, self._hashes(data)
-
-    def _hashes(self, data: np.ndarray) -> np.ndarray:
-        up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * _STEP[2])
+        self.data, self.range_hash = data, RangeHash(data)
+        self.hashes = self.range_hash(self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
