@@ -1,9 +1,67 @@
-"""A pipeline of five stages over documents."""
+"""Documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import language, packing, quality, shingle_join, surrogates
+from tessera.llm.queries import SURROGATE_KEY
+from tessera.plans.workspace import Workspace
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language: texts that are null or have no letter go."""
+    profiles = language.learn(docs.where(language.teaching() != 0))
+    return language.identify(docs, profiles, only_known=True)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fixed limits and the trees keep."""
+    trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.apply_rules(docs, trees, only_kept=True)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id (five-word shingles, Jaccard 0.8)."""
+    workspace = Workspace(spark, "pipeline")
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
+    found = shingle_join.shingle_components(narrow, k=5, threshold=80, workspace=workspace)
+    found = workspace.save(found.select("doc_id", "_hash", "component"))
+    grouped = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "_hash")).alias("k")).select("k.*")
+    kept = workspace.save(grouped.union(found.where("component is null").select("doc_id", "_hash")).distinct())
+    few = F.broadcast(kept) if kept.count() <= shingle_join.BROADCAST_ROWS else kept
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    out = keyed.join(few.withColumnsRenamed({"doc_id": "_id", "_hash": "_kept"}), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_kept")), "left_semi")
+    if found.groupBy("doc_id", "_hash").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "_hash"])
+    return out.select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by keyed surrogates; n_chars follows the text."""
+    return surrogates.replace(docs, key=SURROGATE_KEY).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("jaccard_join", jaccard_join), ("pii", pii), ("packing", pack)]
+
+#: SQL can't express the trained stages; tests/llm/test_pipeline.py checks them otherwise.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, with every stage before it written and read again."""
+    workspace = Workspace(spark, "stages")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = workspace.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, packing, quality, sharding, shingle_join
+from tessera.llm import bpe, hmm, language, main_text, packing, quality, sharding, shingle_join, spotsigs, surrogates
+
+
+#: For the queries only: real data need a key of their own, kept secret.
+SURROGATE_KEY = "example"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(language.teaching() == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(_documents(spark, sf_dir))
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(_documents(spark, sf_dir), key=SURROGATE_KEY)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -44,13 +56,29 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = hmm.score(docs, part != 2)
+    return found.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return main_text.extract(pages, main_text.fit(pages))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_shingle_join": op2_shingle_join,
     "op3_language": op3_language,
+    "op4_spotsigs": op4_spotsigs,
+    "op5_surrogates": op5_surrogates,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
+    "op9_hmm": op9_hmm,
+    "op10_main_text": op10_main_text,
 }
 
 SQL: dict[str, str] = {}

@@ -1,9 +1,10 @@
 """Shards of even row counts by balanced label propagation.
 
 Documents with equal texts are linked.  Every document starts in the shard its
-id hashes to.  In each round linked documents move to the shard that holds most
-of their neighbours, as far as that shard's quota has room; rounds end when
-nothing moves.  Documents without links then fill every shard up to its exact
+id hashes to.  In each round linked documents ask to move to the shard that holds
+most of their neighbours (every other round, to the one among shards with room).
+Two shards exchange as many documents as ask both ways, and a shard takes more
+as far as its quota has room; rounds end when nothing moves.  Documents without links then fill every shard up to its exact
 share, so counts differ by one at most.
 
 Linked documents of one group in one shard are interchangeable, so a round
@@ -48,20 +49,38 @@ def _pick(values: list[int], index):
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), index + 1)
 
 
-def _round(cells: DataFrame, rooms: list[int]) -> DataFrame:
+def _flows(wanted: list[list[int]], rooms: list[int]) -> list[list[int]]:
+    """How many documents may go from each shard to each other: exchanges both ways, and what the rooms take besides."""
+    shards = range(len(rooms))
+    flows = [[min(wanted[a][b], wanted[b][a]) for b in shards] for a in shards]
+    for b in shards:
+        left = rooms[b]
+        for a in sorted(shards, key=lambda a: flows[a][b] - wanted[a][b]):
+            more = min(left, wanted[a][b] - flows[a][b])
+            flows[a][b] += more
+            left -= more
+    return flows
+
+
+def _round(cells: DataFrame, rooms: list[int], open_only: bool, workspace: Workspace) -> DataFrame:
     """The cells after one round, with the number of documents that moved into each as ``moved``."""
-    room = _pick(rooms, F.col("shard"))
+    shards = len(rooms)
     # a group's cells are as many as shards, at most
-    best = cells.where(room > 0).groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best"))
-    aimed = cells.join(best, "group", "left").withColumn("to", -F.col("best.minus")).withColumn("gain", F.col("best.n") - F.col("n"))
-    goes = F.col("to").isNotNull() & (F.col("to") != F.col("shard")) & ((F.col("gain") > 0) | ((F.col("gain") == 0) & (F.col("to") < F.col("shard"))))
-    moves = aimed.where(goes).select("group", "shard", "n", "to", F.floor(F.log2(F.col("gain") + 1)).alias("worth"))
+    targets = cells.where(_pick(rooms, F.col("shard")) > 0) if open_only else cells
+    best = targets.groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best"))
+    aimed = cells.join(best, "group").withColumn("to", -F.col("best.minus")).withColumn("gain", F.col("best.n") - F.col("n"))
+    goes = (F.col("to") != F.col("shard")) & ((F.col("gain") > 0) | ((F.col("gain") == 0) & (F.col("to") < F.col("shard"))))
+    moves = workspace.save(aimed.where(goes).select("group", "shard", "n", "to", F.floor(F.log2(F.col("gain") + 1)).alias("worth")))
+    wanted = [[0] * shards for _ in rooms]
+    for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():
+        wanted[r["shard"]][r["to"]] = r["n"]
+    flow = _pick([n for row in _flows(wanted, rooms) for n in row], F.col("shard") * shards + F.col("to"))
     # the most worthwhile moves first: whole classes of gain, then a running sum within the class
-    classes = moves.groupBy("to", "worth").agg(F.sum("n").alias("_n"))
-    ahead = Window.partitionBy("to").orderBy(F.desc("worth")).rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.select("to", "worth", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    asked = running_sum(moves, ["to", "worth"], "n", ["group", "shard"], "asked").join(classes, ["to", "worth"])
-    taken = F.greatest(F.lit(0), F.least(F.col("n"), _pick(rooms, F.col("to")) - F.col("asked") - F.col("_ahead")))
+    classes = moves.groupBy("shard", "to", "worth").agg(F.sum("n").alias("_n"))
+    ahead = Window.partitionBy("shard", "to").orderBy(F.desc("worth")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("shard", "to", "worth", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    asked = running_sum(moves, ["shard", "to", "worth"], "n", ["group"], "asked").join(classes, ["shard", "to", "worth"])
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), flow - F.col("asked") - F.col("_ahead")))
     moved = asked.withColumn("taken", taken).where("taken > 0").select("group", "shard", "to", "taken")
     none = F.lit(0).cast("long").alias("moved")
     every = cells.select("group", "shard", "n", none)
@@ -97,14 +116,14 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", workspace: Work
 
     begun = linked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int"))
     cells = workspace.save(_within(begun.groupBy("group", "shard").agg(F.count("*").alias("n")), quota, workspace))
-    for _ in range(ROUNDS):
-        held = _held(cells, shards)
-        after = workspace.save(_round(cells, [q - h for q, h in zip(quota, held, strict=True)]))
+    quiet = 0
+    for turn in range(ROUNDS):
+        rooms = [q - h for q, h in zip(quota, _held(cells, shards), strict=True)]
+        after = workspace.save(_round(cells, rooms, turn % 2 == 1, workspace))
         moved = after.agg(F.sum("moved")).first()[0] or 0
-        workspace.drop(cells)
         cells = after.select("group", "shard", "n")
-        cells.workspace_path = after.workspace_path
-        if not moved:
+        quiet = 0 if moved else quiet + 1
+        if quiet == 2:
             break
     held = _held(cells, shards)
 
