@@ -309,20 +309,15 @@ def score(docs: DataFrame, learning, text: str = "text", states: int = STATES, r
 
     rare = encoded.select("_row", F.explode("_tail").alias("key")).join(vocabulary.hint("shuffle_hash"), "key")
     rare = workspace.save(rare.groupBy("_row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("_rare"), F.count("*").alias("_found")))
-    # a word of no learning document adds log10(0 + 1) = 0; what its class takes off is known without a look-up
+    # a word of no learning document adds log10(0 + 1) = 0
     model = sc.broadcast(train(encoded.where("_learns"), counts, states, rounds))
-    inside = np.log10(counts.class_tokens + counts.class_words + 1)
 
     def forward(batches):
         for batch in batches:
-            flat, bounds = _symbol_batches(batch.column(1))
-            tail = batch.column(2)
-            off = np.append(0, np.cumsum(inside[tail.flatten().to_numpy() & int(_CLASS)]))
-            offsets = tail.offsets.to_numpy() - tail.offsets[0].as_py()
-            ll = likelihoods(model.value, flat, bounds) / np.log(10) - (off[offsets[1:]] - off[offsets[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ll)], ["_row", "_ll"])
-
-    scored = encoded.select("_row", "symbols", "_tail").mapInArrow(forward, "_row long, _ll double")
+            ll = likelihoods(model.value, *_symbol_batches(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ll / np.log(10))], ["_row", "_ll"])
+
+    scored = encoded.select("_row", "symbols").mapInArrow(forward, "_row long, _ll double")
     all_of = encoded.drop("symbols", "_tail", "_learns").join(scored, "_row").join(rare, "_row", "left").fillna(0, ["_rare", "_found"])
     base = F.col("_plus") + F.col("_rare") - F.col("_tokens") * F.log10(F.lit(float(counts.tokens + counts.distinct + 1)))
     return all_of.select(
