@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def chains(text):
     out = set()
     for i, w in enumerate(words):
         if w in spotsigs.ANTECEDENTS:
-            after = [x for x in words[i + 1 :] if x not in spotsigs.ANTECEDENTS][: spotsigs.CHAIN]
+            after = list(islice((words[j] for j in range(i + 1, len(words)) if words[j] not in spotsigs.ANTECEDENTS), spotsigs.CHAIN))
             if len(after) == spotsigs.CHAIN:
                 out.add((w, *after))
     return out or {("", *words) if words else text}
