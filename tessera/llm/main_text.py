@@ -161,7 +161,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         n, words = len(t), t.count(" ") + 1
         stops = sum(t.count(c) for c in ".,;:!?")
         digits = sum(t.count(c) for c in "0123456789")
-        capitals = sum(w[0].isupper() for w in t[:400].split(" ")) / max(1, t[:400].count(" ") + 1)
+        capitals = sum(w[:1].isupper() for w in t[:400].split(" ")) / max(1, t[:400].count(" ") + 1)
         rows.append((1.0, math.log1p(n), b.linked / n, min(1.0, 5 * stops / n), math.log1p(n / words), digits / n, capitals, len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit(), b.tag == "li", b.tag == "p", 1 - abs(2 * i / last - 1)))
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 

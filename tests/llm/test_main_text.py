@@ -49,7 +49,7 @@ def test_without_mark_up():
     assert main_text.main_text(page, main_text.DEFAULT_WEIGHTS) == "\n\n".join(prose)
 
 
-@pytest.mark.parametrize("page", ["", "<", "plain", "<p", "<p>x</div></p></p>", "<script>", "<a href='>'>x</a>", "<!-- never ends", "&#0;&bogus;", "<p>" * 3000 + "x"])
+@pytest.mark.parametrize("page", ["", "<", "plain", "<p", "<p>x</div></p></p>", "<script>", "<a href='>'>x</a>", "<!-- never ends", "&#0;&bogus;", "<p>" * 3000 + "x", "<p>" + "x" * 399 + " y"])
 def test_broken_pages(page):
     assert isinstance(main_text.main_text(page, main_text.DEFAULT_WEIGHTS), str)
 
