@@ -52,7 +52,7 @@ PERSON = rf"(?<!\w)(?:(?:{_TITLES})\.? (?:{_NAME})(?: {_NAME})?|(?:{'|'.join(MAL
 KINDS = {"email": EMAIL, "secret": SECRET, "ip": IPV4, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without a match of this have no entity.
-HINT = rf"[@\d]|(?i:token|secret|passw|api_?key|access_key)|(?<!\w)(?:{'|'.join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *MALE_NAMES, *FEMALE_NAMES])})(?!\w)"
+HINT = rf"[@\d]|AKIA|gh[pousr]_|sk-|(?i:token|secret|passw|api_?key|access_key)|(?<!\w)(?:{'|'.join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *MALE_NAMES, *FEMALE_NAMES])})(?!\w)"
 
 
 def _luhn(digits: Column) -> Column:
