@@ -2,9 +2,10 @@
 
 Documents with equal texts are linked.  Every document starts in the shard its
 id hashes to.  In each round linked documents ask to move to the shard that holds
-most of their neighbours (every other round, to the one among shards with room).
-Two shards exchange as many documents as ask both ways, and a shard takes more
-as far as its quota has room; rounds end when nothing moves.  Documents without links then fill every shard up to its exact
+most of their neighbours, among shards with room; a shard takes as many as its
+quota has room for.  When nothing moves that way, a round looks at all shards,
+and two shards exchange as many documents as ask both ways; rounds end when
+nothing moves this way either.  Documents without links then fill every shard up to its exact
 share, so counts differ by one at most.
 
 Linked documents of one group in one shard are interchangeable, so a round
@@ -26,7 +27,7 @@ from tessera.plans.workspace import Workspace
 
 #: Rows that a running sum takes in one go, about.
 RUN = 50_000
-ROUNDS = 20
+ROUNDS = 16
 
 
 def running_sum(rows: DataFrame, by: list[str], value: str, order: list[str], name: str, count: int | None = None) -> DataFrame:
@@ -67,10 +68,14 @@ def _round(cells: DataFrame, rooms: list[int], open_only: bool, workspace: Works
     shards = len(rooms)
     # a group's cells are as many as shards, at most
     targets = cells.where(_pick(rooms, F.col("shard")) > 0) if open_only else cells
-    best = targets.groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best"))
-    aimed = cells.join(best, "group").withColumn("to", -F.col("best.minus")).withColumn("gain", F.col("best.n") - F.col("n"))
-    goes = (F.col("to") != F.col("shard")) & ((F.col("gain") > 0) | ((F.col("gain") == 0) & (F.col("to") < F.col("shard"))))
-    moves = workspace.save(aimed.where(goes).select("group", "shard", "n", "to", F.floor(F.log2(F.col("gain") + 1)).alias("worth")))
+    # of cells of one size the hash decides, not the shard's number, so that no shard is everyone's choice
+    tie = F.xxhash64("group", "shard")
+    best = targets.groupBy("group").agg(F.max(F.struct("n", tie.alias("tie"), "shard")).alias("best"))
+    aimed = cells.join(best, "group").withColumn("to", F.col("best.shard")).withColumn("gain", F.col("best.n") - F.col("n"))
+    # a cell in a full shard also joins a smaller one, if all of it can go: that mends every edge between the two
+    full = F.lit(open_only) & (_pick(rooms, F.col("shard")) <= 0)
+    goes = (F.col("to") != F.col("shard")) & ((F.col("gain") > 0) | full | ((F.col("gain") == 0) & (F.col("best.tie") > tie)))
+    moves = workspace.save(aimed.where(goes).select("group", "shard", "n", "to", "gain", F.floor(F.log2(F.greatest(F.col("gain"), F.lit(0)) + 1)).alias("worth")))
     wanted = [[0] * shards for _ in rooms]
     for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():
         wanted[r["shard"]][r["to"]] = r["n"]
@@ -81,6 +86,7 @@ def _round(cells: DataFrame, rooms: list[int], open_only: bool, workspace: Works
     classes = classes.select("shard", "to", "worth", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
     asked = running_sum(moves, ["shard", "to", "worth"], "n", ["group"], "asked").join(classes, ["shard", "to", "worth"])
     taken = F.greatest(F.lit(0), F.least(F.col("n"), flow - F.col("asked") - F.col("_ahead")))
+    taken = F.when((F.col("gain") >= 0) | (taken == F.col("n")), taken).otherwise(0)
     moved = asked.withColumn("taken", taken).where("taken > 0").select("group", "shard", "to", "taken")
     none = F.lit(0).cast("long").alias("moved")
     every = cells.select("group", "shard", "n", none)
@@ -116,15 +122,15 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", workspace: Work
 
     begun = linked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int"))
     cells = workspace.save(_within(begun.groupBy("group", "shard").agg(F.count("*").alias("n")), quota, workspace))
-    quiet = 0
-    for turn in range(ROUNDS):
+    exchange = False
+    for _ in range(ROUNDS):
         rooms = [q - h for q, h in zip(quota, _held(cells, shards), strict=True)]
-        after = workspace.save(_round(cells, rooms, turn % 2 == 1, workspace))
+        after = workspace.save(_round(cells, rooms, not exchange, workspace))
         moved = after.agg(F.sum("moved")).first()[0] or 0
         cells = after.select("group", "shard", "n")
-        quiet = 0 if moved else quiet + 1
-        if quiet == 2:
+        if not moved and exchange:
             break
+        exchange = not moved
     held = _held(cells, shards)
 
     placed = running_sum(cells, ["shard"], "n", ["group"], "slot_from")
