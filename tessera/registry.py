@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from tessera.queries import changing, graphs, retrieving, sequences
+
+_THEMES = (retrieving, sequences, graphs, changing)
+QUERIES: dict = {name: query for theme in _THEMES for name, query in theme.QUERIES.items()}
+SQL: dict = {name: sql for theme in _THEMES for name, sql in theme.SQL.items()}
+FLAGSHIP = "rrf_fusion"
