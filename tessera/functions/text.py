@@ -174,7 +174,7 @@ def role_kind(label: Column) -> Column:
 
 
 def role_labels(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def timed_url(url: Column, seconds: Column) -> Column:
