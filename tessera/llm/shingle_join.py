@@ -43,6 +43,8 @@ FREQUENT_FROM, FREQUENT_LIMIT = 32, 1 << 20
 SKETCH_BITS = 512
 #: Largest size at which a set may count as small.
 LIGHT_MOST = 512
+#: Smallest signatures of a set that tell which of several common lists returns a pair.
+SAMPLE = 8
 #: Members of a list compared with one another in one go.
 BLOCK = 512
 #: Most rows of 8 bytes that are broadcast.
@@ -231,7 +233,7 @@ def shingle_components(docs: DataFrame, text: str = "text", k: int = 5, threshol
 
     labelled = lists.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     mixed = labelled.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("signature")
-    rest = _rest(labelled.join(mixed, "signature", "left_semi"), sets, threshold)
+    rest = _rest(workspace.save(labelled.join(mixed, "signature", "left_semi")), sets, threshold)
     more = workspace.save(_verified(body, k, threshold, rest, sets, named, workspace))
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b", workspace)
@@ -259,7 +261,7 @@ def _sketched(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 differ[i] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()
             yield batch.select(["a", "b"]).filter(pa.array(_may_link(n, m, differ, threshold)))
 
-    return both.mapInArrow(agree, "a long, b long")
+    return both.mapInArrow(agree, "a long, b long").distinct()
 
 
 def _may_link(n, m, differ, threshold: int):
@@ -294,11 +296,16 @@ def _verified(body: DataFrame, k: int, threshold: int, pairs: DataFrame, sets: D
 
 
 def _rest(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one list in different components that sketches don't rule out, found block against block."""
+    """Pairs of one list in different components that sketches don't rule out, found block against block.
+
+    Every set carries its SAMPLE smallest signatures.  Where those of a pair have
+    one in common, only the list of the smallest such one returns the pair.
+    """
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sets.select("set", "sketch"), "set").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "component", "sketch")
+    sample = members.groupBy("set").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, SAMPLE).alias("sample"))
+    dealt = dealt.join(sets.select("set", "sketch").join(sample, "set"), "set").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "component", "sample", "sketch")
 
     def compare(key, table):
         block, ids, n, component = (table.column(c).to_numpy() for c in ("block", "set", "n", "component"))
@@ -306,7 +313,8 @@ def _rest(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         words = np.array([len(x) for x in drawn])
         # sketches by their length, also folded to half, as sizes within reach differ by one doubling at most
         at = {w: np.stack([_folded(x, w) if len(x) in (w, 2 * w) else np.zeros(w, np.uint64) for x in drawn]) for w in np.unique(words)}
-        i, j = key[1].as_py(), key[2].as_py()
+        samples = [set(x) for x in table.column("sample").to_pylist()]
+        own, i, j = key[0].as_py(), key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
@@ -316,6 +324,7 @@ def _rest(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 some = near[np.minimum(words[near], words[x]) == w]
                 differ = np.bitwise_count(at[w][some] ^ at[w][x]).sum(1).astype(np.int64)
                 some = some[_may_link(n[some], n[x], differ, threshold)]
+                some = np.array([y for y in some.tolist() if min(samples[x] & samples[y], default=own) >= own], np.int64)
                 a.append(np.minimum(ids[some], ids[x]))
                 b.append(np.maximum(ids[some], ids[x]))
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
