@@ -14,20 +14,32 @@ from tessera.llm.queries import SURROGATE_KEY
 from tessera.plans.workspace import Workspace
 
 
+#: Rows that are handed to Python at once in the stages, so that long texts don't pile up in an executor.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set for the session, as the stages' results are computed after they return."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: texts that are null or have no letter go."""
+    small_batches(spark)
     profiles = language.learn(docs.where(language.teaching() != 0))
     return language.identify(docs, profiles, only_known=True)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed limits and the trees keep."""
+    small_batches(spark)
     trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.apply_rules(docs, trees, only_kept=True)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id (five-word shingles, Jaccard 0.8)."""
+    small_batches(spark)
     workspace = Workspace(spark, "pipeline")
     narrow = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
     found = shingle_join.shingle_components(narrow, k=5, threshold=80, workspace=workspace)
@@ -49,6 +61,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -102,8 +102,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int64)
+        self.slot = np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 
     def merged(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +160,9 @@ class Encoder:
         data = np.frombuffer(codes.tobytes().decode("utf-32-le").encode(), np.uint8)
         lengths = place[ends] - place[starts]
         ids, bounds = self.merged(data[_spread(place[starts], lengths)], np.append(0, np.cumsum(lengths)))
-        slots = len(self.ends) - 1 + np.arange(len(hashes))
+        slots = (len(self.ends) - 1 + np.arange(len(hashes))).astype(np.int32)
         self.ends = np.concatenate((self.ends, len(self.ids) + bounds[1:]))
-        self.ids = np.concatenate((self.ids, ids))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
         hashes, slots = np.concatenate((self.hashes, hashes)), np.concatenate((self.slot, slots))
         order = np.argsort(hashes)
         self.hashes, self.slot = hashes[order], slots[order]

@@ -278,14 +278,12 @@ def _verified(body: DataFrame, k: int, threshold: int, pairs: DataFrame, sets: D
 
     def whole(batches):
         for batch in batches:
-            found = list(shingle_sets(plain(batch.column(0)), k))
-            at = 0
-            while at < len(found) or not at:
-                part = found[at : at + 256]
-                flat = np.concatenate(part) if part else np.zeros(0, np.uint64)
-                arrays = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in part], pa.binary()), arrays], ["set_id", "tokens"])
-                at += 256
+            texts = plain(batch.column(0))
+            for at, to in slices(texts):
+                part = list(shingle_sets(texts.slice(at, to - at), k))
+                bounds = np.append(0, np.cumsum([len(x) for x in part])).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(part).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in part], pa.binary()), tokens], ["set_id", "tokens"])
 
     texts = body.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("text")
     full = texts.mapInArrow(whole, "set_id binary, tokens array<long>").join(wanted.select("set", "set_id"), "set_id").select("set", "tokens")
