@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, hmm, language, main_text, packing, quality, sharding, shingle_join, spotsigs, surrogates
+from tessera.plans.workspace import Workspace
 
 
 #: For the queries only: real data need a key of their own, kept secret.
@@ -22,8 +23,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shingle_join.shingle_components(_documents(spark, sf_dir).select("doc_id", "text"), k=4, threshold=85)
-    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    workspace = Workspace(spark, "op2")
+    found = shingle_join.shingle_components(_documents(spark, sf_dir).select("doc_id", "text"), k=4, threshold=85, workspace=workspace)
+    # both sides are written first, so that the join's shuffles are its own and AQE can split a large component
+    found = workspace.save(found.select("doc_id", "n_shingles", "component"))
+    least = workspace.save(found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")))
     return found.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
