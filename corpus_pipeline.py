@@ -24,9 +24,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: texts that are null or have no letter go."""
+    """Documents in a known language: texts go that are null, have no letter, or are too far from the nearest profile."""
     small_batches(spark)
-    profiles = language.learn(docs.where(language.teaching() != 0))
+    learning = docs.where(language.teaching() != 0)
+    profiles = language.with_limits(language.learn(learning), learning)
     return language.identify(docs, profiles, only_known=True)
 
 

@@ -5,11 +5,15 @@ three letters, with word edges), counted over all learning documents.  A
 document's own most frequent n-grams are compared with each profile: every
 n-gram costs the difference of its two ranks, or ``PROFILE_SIZE`` where the
 profile lacks it, and the language of the smallest sum wins.
+
+How small the sum must be is learned as well: ``with_limits`` scores every
+learning document against its own language, and ``identify`` can return only the
+documents whose score isn't far below those.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -25,6 +29,10 @@ PROFILE_SIZE = 300
 UNKNOWN = "und"
 #: Stands for whatever isn't a letter; not a letter itself.
 _EDGE = 1
+#: A score is too low if it is below the lower quartile by more than FENCE interquartile ranges, and below the median times SHARE.
+FENCE, SHARE = 3.0, 0.5
+#: Scores are counted by this many steps.
+_STEPS = 1000
 #: Counted n-grams that a task holds before it hands them on.
 _HELD = 2_000_000
 
@@ -63,23 +71,28 @@ def _ranked(codes: np.ndarray) -> np.ndarray:
     return found[np.argsort(-counts, kind="stable")[:PROFILE_SIZE]]
 
 
+def _class(n: int) -> int:
+    """Texts of few n-grams score otherwise than long ones: classes by powers of 2."""
+    return n.bit_length() - 1
+
+
 @dataclass
 class Profiles:
     languages: list[str]
     codes: np.ndarray
     #: Rank of each code in each language; PROFILE_SIZE where it isn't in the profile.
     ranks: np.ndarray
+    #: Least score of a text by language and by _class of its number of n-grams; without it a score above 0 is enough.
+    limits: np.ndarray | None = None
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The nearest language of each text and 1 - distance / largest possible distance."""
-        names, scores = [], []
+    def scored(self, texts: list[str]):
+        """For each text its number of n-grams and its score in every language: 1 - distance / largest possible distance."""
         symbols, bounds = _symbols(texts)
         for i in range(len(texts)):
             own = symbols[bounds[i] - 1 : bounds[i + 1]]
             codes = _ranked(_grams(own)) if (own != _EDGE).any() else ()
             if not len(codes) or not self.languages:
-                names.append(UNKNOWN)
-                scores.append(0.0)
+                yield 0, None
                 continue
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
             known = self.codes[at] == codes
@@ -87,10 +100,20 @@ class Profiles:
             # a code of another language's profile has rank PROFILE_SIZE here, and costs PROFILE_SIZE as well
             absent = self.ranks[at[known]] == PROFILE_SIZE
             apart = apart + (np.flatnonzero(known)[:, None] * absent).sum(0)
-            best = int(apart.argmin())
-            names.append(self.languages[best])
-            scores.append(float(1 - apart[best] / (PROFILE_SIZE * len(codes))))
-        return names, scores
+            yield len(codes), 1 - apart / (PROFILE_SIZE * len(codes))
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """The nearest language of each text and its score."""
+        found = [(UNKNOWN, 0.0) if s is None else (self.languages[i := int(s.argmax())], float(s[i])) for _, s in self.scored(texts)]
+        return [x for x, _ in found], [x for _, x in found]
+
+    def known(self, texts: list[str]) -> list[bool]:
+        """Whether the score of each text's nearest language is above 0 and not below its limit."""
+        found = []
+        for n, s in self.scored(texts):
+            best = 0 if s is None else int(s.argmax())
+            found.append(s is not None and s[best] > 0 and (self.limits is None or bool(s[best] >= self.limits[best, _class(n)])))
+        return found
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
@@ -138,6 +161,44 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     return Profiles(languages, codes, ranks)
 
 
+def with_limits(profiles: Profiles, docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
+    """``profiles`` with the least scores that the learning documents ``docs`` suggest.
+
+    Quartiles are taken, so that mislabelled documents move a limit little.  A
+    class of sizes without learning documents has the limit of the next smaller
+    one, or 0.
+    """
+    names = {x: i for i, x in enumerate(profiles.languages)}
+    classes = _class(PROFILE_SIZE) + 1
+
+    def count(batches):
+        for batch in batches:
+            texts, langs, held = plain(batch.column(0)), batch.column(1).to_pylist(), {}
+            for a, b in slices(texts):
+                for x, (n, s) in zip(langs[a:b], profiles.scored(texts.slice(a, b - a).to_pylist()), strict=True):
+                    if s is not None and x in names:
+                        key = names[x], _class(n), int(s[names[x]] * _STEPS)
+                        held[key] = held.get(key, 0) + 1
+            if held:
+                keys = list(zip(*held, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int32()) for k in keys), pa.array(list(held.values()), pa.int64())], ["lang", "class", "score", "n"])
+
+    rows = docs.select(F.col(text), F.col(lang)).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = np.zeros((len(names), classes, _STEPS + 1), np.int64)
+    for r in rows.mapInArrow(count, "lang int, class int, score int, n long").groupBy("lang", "class", "score").agg(F.sum("n").alias("n")).collect():
+        counts[r["lang"], r["class"], r["score"]] = r["n"]
+    limits = np.zeros((len(names), classes))
+    for i in range(len(names)):
+        for c in range(classes):
+            below = counts[i, c].cumsum()
+            if below[-1]:
+                low, middle, high = (int(np.searchsorted(below, below[-1] * q)) / _STEPS for q in (0.25, 0.5, 0.75))
+                limits[i, c] = max(0.0, min(low - FENCE * (high - low), SHARE * middle))
+            elif c:
+                limits[i, c] = limits[i, c - 1]
+    return replace(profiles, limits=limits)
+
+
 def _counted(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes and their counts; over a small alphabet by direct addressing."""
     alphabet = np.flatnonzero(np.bincount(symbols))
@@ -167,7 +228,8 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", only_known
     A null text, or one without a letter, is ``und`` with score 0, as is every
     text if nothing was learned.  Of equally near languages the first by name
     wins.  Earlier columns of the two names are replaced.  ``only_known`` leaves
-    the columns as they were and returns the rows that aren't ``und``.
+    the columns as they were and returns the rows in a language of the profiles:
+    score above 0, and not below the profiles' limits if they have them.
     """
     docs = docs if only_known else docs.drop("lang_pred", "lang_score")
     schema = docs.schema if only_known else T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
@@ -175,13 +237,17 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", only_known
 
     def apply(batches):
         for batch in batches:
-            texts, names, scores = plain(batch.column(at)), [], []
+            texts, names, scores, keep = plain(batch.column(at)), [], [], []
             for a, b in slices(texts):
-                got = profiles.predict(texts.slice(a, b - a).to_pylist())
+                part = texts.slice(a, b - a).to_pylist()
+                if only_known:
+                    keep += profiles.known(part)
+                    continue
+                got = profiles.predict(part)
                 names += got[0]
                 scores += got[1]
             if only_known:
-                yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+                yield batch.filter(pa.array(keep, pa.bool_()))
             else:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from tessera.llm import language, queries
 from tests.llm.tools import write_documents
 
@@ -73,3 +74,25 @@ def test_nothing_learned_and_empty(spark):
     profiles = language.learn(docs)
     assert language.identify(docs, profiles).first().lang_pred == "und"
     assert language.identify(docs.where("false").withColumn("lang_pred", docs.lang), profiles).count() == 0
+
+
+def test_stage_drops_unlearned_languages_and_keeps_clean_documents(spark, tmp_path):
+    rng = random.Random(9)
+    syllables = {"aa": ["an", "the", "ti", "on", "re", "ing", "st"], "bb": ["sch", "ei", "ung", "der", "au", "zu", "ö"]}
+    prose = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    sizes = [4, 15, 60, 300]
+    clean = [(i, prose(syllables[x], sizes[i // 2 % 4]), x, "s") for i in range(160) for x in [list(syllables)[i % 2]]]
+    odd = [prose(["ка", "до", "ми", "сол"], n) for n in sizes] + [prose(["水", "火", "山"], n) for n in sizes] + [prose("bcdfghjklmpqvwxyz", n * 3) for n in sizes] + [prose(["oua", "llo", "ñe", "ciá", "qu"], n) for n in sizes]
+    rows = clean + [(1000 + i, t, None, "s") for i, t in enumerate(odd)] + [(2000, None, "aa", "s"), (2001, "12 #!", "aa", "s")]
+    folder = write_documents(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.language_id(spark, docs, folder)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == list(range(160))
+
+
+def test_limits(spark):
+    docs = spark.createDataFrame([(f"abcd bcda {'abc ' * (i % 3)}", "aa") for i in range(30)], "text string, lang string")
+    profiles = language.with_limits(language.learn(docs), docs)
+    assert profiles.known(["abcd bcda", "abc", "", "жж", "xyz xyz", "1"]) == [True, True, False, False, False, False]
+    assert language.with_limits(profiles, docs.where("false")).limits.max() == 0
+    assert language.learn(docs).known(["жж", "abc"]) == [False, True]
