@@ -1,8 +1,9 @@
 """Keyed surrogates for personal data, in DataFrame functions only.
 
 Detected are e-mail addresses, IPv4 addresses, payment cards (issuer digit and
-Luhn check), telephone numbers, social security numbers, IBANs, secrets that are
-assigned or have a known shape, and persons named with a title or a known given
+Luhn check, also among other numbers), telephone numbers, social security
+numbers, IBANs, secrets that are assigned (outside quotes with a digit, or right
+after the equals sign) or have a known shape, and persons named with a title or a known given
 name.  Every entity is reduced to *atoms*, (kind, canonical form): the name
 tokens of a person, or the entity itself without its layout.  An atom's surrogate
 depends only on the key, the kind, the canonical form and an attempt number, so
@@ -42,18 +43,20 @@ _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # every pattern first asks for what is cheap to see at a place: most places have a letter within a word
 EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,127}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}"
-SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}["'])[^"'\s]{6,}(?=["'])|(?=[Ags])(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)"""
+SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}["'])[^"'\s]{6,}(?=["'])|(?<=[=:\s])(?=[^\s"'=:])(?<=[=:]\s{0,3})(?:(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)=)|(?=[^\s"'\d]{0,99}\d)(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}))[^\s"'<>(){}\[\],;&]{6,}+(?![(\[{])|(?=[Ags])(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)"""
 IPV4 = rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
 IBAN = r"(?=[A-Z])(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){3,7}(?: ?[A-Z\d]{1,3})?(?!\w)"
 SSN = r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?=[3-6])(?<![\d.-])[3-6](?:[ -]?\d){12,18}(?![\d-])"
-PHONE = r"(?=[+(\d])(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])"
+# all numbers in a row that are parted by one space or hyphen, of 13 digits or more; cards are looked for within
+CARD = r"(?=[+\d])(?<![\d.-])(?=\+?\d(?:[ -]?\d){12})\+?\d++(?!\.\d|[\p{L}\p{N}._%+-]{0,127}@)(?:[ -]\d++(?!\.\d|[\p{L}\p{N}._%+-]{0,127}@))*+"
+# three groups, or 8 to 15 digits after a plus, or five groups of two digits
+PHONE = r"(?=[+(\d])(?<![\w+.-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+[1-9](?:[ .-]?\d|[ .-]?\(\d{1,4}\)){7,14}|0\d(?:[ .-]\d\d){4})(?![\w-])"
 PERSON = rf"(?=\p{{Lu}})(?<!\w)(?:(?:{_TITLES})\.? (?:{_NAME})(?: {_NAME})?|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_NAME})(?!\w)"
 #: In this order; of two that match at one place the earlier counts.
 KINDS = {"email": EMAIL, "secret": SECRET, "ip": IPV4, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without a match of this have no entity.
-HINT = rf"""[@\d]|[=:]\s{{0,3}}["']|AKIA|gh[pousr]_|sk-|(?=\p{{Lu}})(?<!\w)(?:{'|'.join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *MALE_NAMES, *FEMALE_NAMES])})(?!\w)"""
+HINT = rf"""[@\d]|[=:]\s{{0,3}}["']|(?<=\w)=\w|AKIA|gh[pousr]_|sk-|(?=\p{{Lu}})(?<!\w)(?:{'|'.join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *MALE_NAMES, *FEMALE_NAMES])})(?!\w)"""
 
 
 def _luhn(digits: Column) -> Column:
@@ -63,17 +66,21 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, d: a + d) % 10
 
 
+def _is_card(digits: Column) -> Column:
+    return digits.rlike("^[3-6][0-9]{12,18}$") & (_luhn(digits) == 0)
+
+
 def _is(kind: str, entity: Column) -> Column:
     return entity.rlike(f"^(?:{KINDS[kind]})$")
 
 
 def _kind(entity: Column) -> Column:
-    """The kind of a match; null for a number of a card's length that isn't one's."""
+    """The kind of a match; null for a row of numbers that as a whole is neither a card's nor a telephone's."""
     digits = F.regexp_replace(entity, r"\D", "")
     layout = {"email": entity.contains("@"), "ip": _is("ip", entity), "ssn": _is("ssn", entity), "card": _is("card", entity), "phone": _is("phone", entity), "iban": _is("iban", entity), "person": _is("person", entity)}
     none = F.lit(None).cast("string")
     kind = F.when(layout["email"], F.lit("email")).when(layout["ip"], F.lit("ip")).when(layout["iban"], F.lit("iban")).when(layout["ssn"], F.lit("ssn"))
-    kind = kind.when(layout["card"], F.when(_luhn(digits) == 0, F.lit("card")).when(layout["phone"], F.lit("phone")).otherwise(none))
+    kind = kind.when(layout["card"], F.when(_is_card(digits), F.lit("card")).when(layout["phone"], F.lit("phone")).otherwise(none))
     return kind.when(layout["phone"], F.lit("phone")).when(layout["person"], F.lit("person")).otherwise(F.lit("secret"))
 
 
@@ -99,13 +106,46 @@ def _person_atoms(entity: Column) -> Column:
     return let(F.split(entity, " "), of)
 
 
+def _row_atoms(entity: Column) -> Column:
+    """Atoms of a row of numbers: what lies in any card of whole numbers in it, and telephone and social security numbers in the rest.
+
+    Cards that overlap become one atom, so that no part of a valid one stays.
+    """
+    inner = f"(?:{SSN})|(?:{PHONE})"
+    atom = lambda kind, surface: F.struct(kind.cast("string").alias("kind"), surface.alias("surface"), F.regexp_replace(surface, r"\D", "").alias("canonical"))
+
+    def rest(piece):
+        found = F.regexp_extract_all(piece, F.lit(inner), F.lit(0))
+        left = F.transform(F.split(piece, inner, -1), lambda p: atom(F.lit(None), p))
+        right = F.transform(found, lambda f: atom(F.when(_is("ssn", f), F.lit("ssn")).otherwise(F.lit("phone")), f))
+        return F.filter(F.flatten(F.zip_with(left, right, lambda a, b: F.array(a, b))), lambda a: a.isNotNull() & (a["surface"] != ""))
+
+    def of(numbers):
+        size = F.size(numbers)
+
+        def end(i):
+            digits = lambda k: F.regexp_replace(F.array_join(F.slice(numbers, i + 1, k), ""), r"\D", "")
+            lengths = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), size - i)), lambda k: let(digits(k), _is_card))
+            return i + F.coalesce(F.array_max(lengths), F.lit(0))
+
+        def cut(ends):
+            # a card has at most 19 numbers
+            within = lambda i: (i >= 0) & (F.array_max(F.slice(ends, F.greatest(F.lit(1), i - 17), F.least(F.lit(19), F.greatest(F.lit(1), i + 1)))) > i)
+            return F.array_join(F.transform(numbers, lambda x, i: F.when(within(i) != within(i - 1), F.concat(F.lit("|"), x)).otherwise(x)), "")
+
+        return let(F.transform(numbers, lambda x, i: end(i)), cut)
+
+    pieces = F.split(let(F.regexp_extract_all(entity, F.lit(r"\+?\d+[ -]?"), F.lit(0)), of), r"\|", -1)
+    return F.flatten(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.array(atom(F.lit("card"), p))).otherwise(rest(p))))
+
+
 def _atoms(entity: Column) -> Column:
     """array<struct<kind, surface, canonical>> of a match; kinds null and title are left as they are."""
 
     def of(kind):
         canonical = F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(entity)
         one = F.array(F.struct(kind.alias("kind"), entity.alias("surface"), canonical.alias("canonical")))
-        return F.when(kind == "person", _person_atoms(entity)).otherwise(one)
+        return F.when(kind == "person", _person_atoms(entity)).when(kind.isNull(), _row_atoms(entity)).otherwise(one)
 
     return let(_kind(entity), of)
 
@@ -230,7 +270,8 @@ def replace(docs: DataFrame, text: str = "text", key: str | None = None, workspa
         pieces = F.split(F.col(text), ENTITY, -1)
         alone = lambda p: F.aggregate(surnames, p, lambda acc, a: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), a["surface"], F.lit(r"(?![\p{L}\p{N}])")), made(a)))
         left = F.when(F.size(surnames) > 0, F.transform(pieces, alone)).otherwise(pieces)
-        mended = F.transform(atoms, lambda m: F.array_join(F.transform(m, made), " "))
+        between = lambda m: F.when(F.exists(m, lambda a: a["kind"] == "surname"), F.lit(" ")).otherwise(F.lit(""))
+        mended = F.transform(atoms, lambda m: F.call_function("array_join", F.transform(m, made), between(m)))
         return F.array_join(F.zip_with(left, mended, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
     new = let(found_atoms(F.col(text)), lambda atoms: F.when(F.size(atoms) > 0, rewritten(atoms)).otherwise(F.col(text)))

@@ -77,3 +77,30 @@ def test_query_and_odd_tables(spark, tmp_path):
 def test_native(spark):
     plan = surrogates.replace(spark.createDataFrame([("x@y.org",)], "text string"), key="k").select(F.col("text"))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cards_among_other_numbers(spark):
+    card = "4111111111111111"
+    texts = [f"{card} 123", f"5 {card}", "4111 1111 1111 1111 12/27", "20 4111 1111 1111 1111", f"1 2 3 {card} 4 5500 0055 5555 5559 7", f"12 {card} 10.20.30.41", "7 " * 300 + card + " 7" * 300, "3" + "1" * 20000]
+    texts += ["12 123-45-6789 555-1234 1", "555 123 4567 555 123 4568", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "2023-01-15 1000 97.51.17.173", "7000 8000 9000 1234 5a@b.org"]
+    got = replaced(spark, texts)
+    for i, t in enumerate(texts):
+        assert shape(got[i]) == shape(t) or i in (5, 11)
+    for i in range(7):
+        digits = re.sub(r"\D", "", got[i])
+        assert card not in digits and "5500005555555559" not in digits
+    assert got[4].startswith("1 2 3 4") and got[4].endswith(" 7") and luhn(got[4].split()[3])
+    assert got[0].split()[0] == replaced(spark, [card])[0] or luhn(card + "123")
+    assert "123-45-6789" not in got[8] and "555 123" not in got[9] and got[10] == texts[10] and got[7] == texts[7]
+    assert "97.51.17.173" not in got[11] and "10.20.30.41" not in got[5] and "5a@b.org" not in got[12]
+
+
+def test_usual_telephone_forms_and_unquoted_secrets(spark):
+    phones = ["+33 1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "+49 30 1234567", "+4915112345678", "+44 (0)20 7946 0958"]
+    secrets = ["password=hunter2hunter2", "token: a1b2c3d4e5", "api_key = 77aa88bb99", "secret=correcthorse"]
+    texts = [f"call {p} now" for p in phones] + [f"x {s} y" for s in secrets]
+    clean = ["Password: required", "the secret: nobody knows", "token = tokenizer.next", "token=make_token()", "a+b=c, +12 degrees", "2001 02 03"]
+    got = replaced(spark, texts + clean)
+    for i, (t, p) in enumerate(zip(texts, phones + [re.split(r"[=:] ?", s)[1] for s in secrets], strict=True)):
+        assert p not in got[i] and re.sub("[A-Za-z0-9]", "9", got[i]) == re.sub("[A-Za-z0-9]", "9", t)
+    assert [got[len(texts) + i] for i in range(len(clean))] == clean
