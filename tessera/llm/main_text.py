@@ -2,10 +2,13 @@
 
 A page is cut into blocks of text.  A linear classifier, trained on blocks that
 pages mark up themselves (``article`` against ``nav`` and the like) but not
-looking at that mark-up, together with the mark-up's own evidence gives each
-block a log-odds of being content: its capacity to the source or the sink.
-Neighbouring blocks, and blocks of one parent or grandparent, are tied by
-smoothness edges.  The minimum cut labels all blocks of a page at once.
+looking at that mark-up, gives each block a bounded log-odds of being content.
+What elements and class names say is bounded evidence besides, which classifier
+and edges together can overturn; a name around most of a page says little, and
+none from outside an article says anything of the article.  The sum is the
+block's capacity to the source or the sink.  Neighbouring blocks, and blocks of
+one parent or grandparent, are tied by smoothness edges, more loosely where the
+mark-up changes.  The minimum cut labels all blocks of a page at once.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ from pyspark.sql import types as T
 SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 60_000
 #: Smoothness of neighbours in the page, and of consecutive blocks of one parent and grandparent.
 ADJACENT, SIBLING, COUSIN = 0.6, 0.6, 0.3
-#: Log-odds that mark-up adds.
-BOILERPLATE_TAG, BOILERPLATE_NAME, CONTENT_TAG, CONTENT_NAME = -9.0, -9.0, 4.0, 1.5
+#: What is left of an edge between blocks that differ in their mark-up.
+ACROSS = 0.25
+#: Bounds of the classifier's log-odds, and log-odds that mark-up adds: less than classifier and edges come to.
+TRUST = 3.0
+BOILERPLATE_TAG, BOILERPLATE_NAME, CONTENT_TAG, CONTENT_NAME = -4.0, -4.0, 2.0, 1.0
 
 #: Names of HTML elements by their part in a page, and words of class, id and role names.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -40,6 +46,10 @@ BOILERPLATE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead footer sidebar rail aside widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond reply replies disqus discussion pagination pager toolbar copyright legal disclaimer skip search contentinfo complementary".split()
 )
 CONTENT_NAMES = set("article content main post entry story text body".split())
+#: Part of an article where its own name stands beside it, as in "entry-header".
+PARTS, OWNERS = set("header masthead".split()), set("article post entry story content".split())
+#: Words after which a name tells of a layout, not of the element: "with-sidebar".
+LAYOUT = set("with no has without".split())
 
 FEATURES = ("one", "log_chars", "link_share", "stops", "word_length", "digits", "capitals", "heading", "item", "paragraph", "middle")
 #: Used where pages mark nothing up: what training on marked-up pages usually gives, in round figures.
@@ -52,34 +62,48 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "hint", "parent", "grandparent", "marked")
+    """A block: its text, characters of it in links, element, parent and grandparent, and what the mark-up says of it.
 
-    def __init__(self, text, linked, tag, hint, parent, grandparent, marked):
-        self.text, self.linked, self.tag, self.hint, self.parent, self.grandparent, self.marked = text, linked, tag, hint, parent, grandparent, marked
+    ``zone`` is the innermost element that says anything, ``names`` the elements
+    around it whose names tell of boilerplate, ``hint`` the evidence in log-odds,
+    ``marked`` 1 or -1 if elements (not names) show a side.
+    """
+
+    __slots__ = ("text", "linked", "tag", "parent", "grandparent", "zone", "names", "hint", "marked")
+
+    def __init__(self, text, linked, tag, parent, grandparent, zone, names, hint, marked):
+        self.text, self.linked, self.tag, self.parent, self.grandparent = text, linked, tag, parent, grandparent
+        self.zone, self.names, self.hint, self.marked = zone, names, hint, marked
 
 
 class _Open:
     """An open element, with what it has from those around it."""
 
-    __slots__ = ("tag", "number", "block", "dropped", "linked", "bad", "good")
+    __slots__ = ("tag", "number", "dropped", "linked", "bad", "names", "good", "zone")
 
-    def __init__(self, tag, number, block, dropped, linked, bad, good):
-        self.tag, self.number, self.block, self.dropped, self.linked, self.bad, self.good = tag, number, block, dropped, linked, bad, good
+    def __init__(self, tag, number, dropped, linked, bad, names, good, zone):
+        self.tag, self.number, self.dropped, self.linked, self.bad, self.names, self.good, self.zone = tag, number, dropped, linked, bad, names, good, zone
 
 
 def _named(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role tell of boilerplate, and whether of content."""
     bad = good = False
     for m in _NAMES.finditer(attributes):
-        words = set(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
-        bad |= not words.isdisjoint(BOILERPLATE_NAMES)
-        good |= not words.isdisjoint(CONTENT_NAMES)
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = _WORDS.findall(name)
+            words = set(words[: next((i for i, w in enumerate(words) if w in LAYOUT), len(words))])
+            telling = words & BOILERPLATE_NAMES
+            if telling <= PARTS and not words.isdisjoint(OWNERS):
+                telling = set()
+            bad |= bool(telling)
+            good |= not telling and not words.isdisjoint(CONTENT_NAMES)
     return bad, good
 
 
 def blocks_of(page: str) -> list[Block]:
     """The visible blocks of a page in order, with character references decoded and white space made single spaces."""
     found: list[Block] = []
-    stack = [_Open("", 0, 0, False, False, 0.0, 0.0)]
+    stack = [_Open("", 0, False, False, "", (), 0.0, 0)]
     parts: list[str] = []
     linked = at = number = 0
 
@@ -91,9 +115,9 @@ def blocks_of(page: str) -> list[Block]:
                 top = next(x for x in reversed(stack) if x.tag in BLOCKS or not x.tag)
                 chain = [x.number for x in stack if x.tag in BLOCKS]
                 parent, grand = (chain[-2] if len(chain) > 1 else 0), (chain[-3] if len(chain) > 2 else 0)
-                hint = top.bad or top.good
-                marked = -1 if top.bad == BOILERPLATE_TAG else 1 if top.good >= CONTENT_TAG and not top.bad else 0
-                found.append(Block(text, min(linked, len(text)), top.tag, hint, parent, grand, marked))
+                marked = -1 if top.bad else 1 if top.good >= CONTENT_TAG and not top.names else 0
+                hint = BOILERPLATE_TAG if top.bad else 0.0 if top.names else top.good
+                found.append(Block(text, min(linked, len(text)), top.tag, parent, grand, top.zone, top.names, hint, marked))
             parts.clear()
         linked = 0
 
@@ -136,14 +160,18 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         top = stack[-1]
-        bad, good = _named(attributes) if attributes else (False, False)
-        inside = top.good >= CONTENT_TAG
-        marked = tag in BOILERPLATE_TAGS or (tag == "header" and not inside)
+        bad, good = _named(attributes) if attributes and tag not in ("html", "body") else (False, False)
         dropped = top.dropped or tag in DROPPED or bool(attributes and _HIDDEN.search(attributes))
-        # the page and its body may have any class without being boilerplate
-        least = min(top.bad, BOILERPLATE_TAG if marked else 0.0, BOILERPLATE_NAME - 1 if bad and tag not in ("html", "body") and not (tag in CONTENT_TAGS and good) else 0.0)
-        most = max(top.good, CONTENT_TAG if tag in CONTENT_TAGS else CONTENT_NAME if good and tag not in ("html", "body") else 0.0)
-        entry = _Open(tag, number, tag in BLOCKS, dropped, top.linked or tag == "a", least, most)
+        within = top.good >= CONTENT_TAG and not top.bad and not top.names
+        entry = _Open(tag, number, dropped, top.linked or tag == "a", top.bad, top.names, top.good, top.zone)
+        if tag in CONTENT_TAGS and not bad and top.bad in ("", "form"):
+            entry.bad, entry.names, entry.good, entry.zone = "", (), CONTENT_TAG, number
+        elif tag in BOILERPLATE_TAGS or (tag == "header" and not within):
+            entry.bad, entry.zone = top.bad if top.bad not in ("", "form") else tag, number
+        elif bad:
+            entry.names, entry.zone = (*top.names, number), number
+        elif good and not top.good:
+            entry.good, entry.zone = CONTENT_NAME, number
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
@@ -151,6 +179,13 @@ def blocks_of(page: str) -> list[Block]:
         if not attributes.rstrip().endswith("/") or tag in BLOCKS:
             stack.append(entry)
     flush()
+    total, inside = sum(len(b.text) for b in found), {}
+    for b in found:
+        for e in b.names:
+            inside[e] = inside.get(e, 0) + len(b.text)
+    for b in found:
+        if b.names:
+            b.hint = min(b.hint, BOILERPLATE_NAME * max(min(1.0, 2 - 2 * inside[e] / total) for e in b.names))
     return found
 
 
@@ -158,10 +193,11 @@ def features(blocks: list[Block]) -> np.ndarray:
     rows, last = [], max(1, len(blocks) - 1)
     for i, b in enumerate(blocks):
         t = b.text
-        n, words = len(t), t.count(" ") + 1
+        n, split = len(t), t.split(" ")
+        words = len(split)
         stops = sum(t.count(c) for c in ".,;:!?")
         digits = sum(t.count(c) for c in "0123456789")
-        capitals = sum(w[:1].isupper() for w in t[:400].split(" ")) / max(1, t[:400].count(" ") + 1)
+        capitals = sum(w[:1].isupper() for w in split) / words
         rows.append((1.0, math.log1p(n), b.linked / n, min(1.0, 5 * stops / n), math.log1p(n / words), digits / n, capitals, len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit(), b.tag == "li", b.tag == "p", 1 - abs(2 * i / last - 1)))
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 
@@ -183,19 +219,23 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
     edges: dict[tuple[int, int], float] = {}
     last: dict[tuple[str, int], int] = {}
+
+    def tie(i: int, j: int, weight: float) -> None:
+        edges[i, j] = edges.get((i, j), 0.0) + weight * (1.0 if blocks[i].zone == blocks[j].zone else ACROSS)
+
     for i, b in enumerate(blocks):
         if i:
-            edges[i - 1, i] = ADJACENT
+            tie(i - 1, i, ADJACENT)
         for kind, key, weight in (("p", b.parent, SIBLING), ("g", b.grandparent, COUSIN)):
             before = last.get((kind, key))
             if before is not None:
-                edges[before, i] = edges.get((before, i), 0.0) + weight
+                tie(before, i, weight)
             last[kind, key] = i
     return edges
 
 
 def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """The labelling of least cost: a node against its odds costs their size, an edge between unlike nodes its weight."""
+    """The labelling of least cost: a node against its odds costs their size, an edge between unlike nodes its weight; of equally cheap ones that with the fewest True."""
     n, odds = len(odds), list(odds)
     around: list[dict[int, float]] = [{} for _ in range(n)]
     for (i, j), w in edges.items():
@@ -265,18 +305,22 @@ def _source_side(nodes: list[int], odds: list[float], around: list[dict[int, flo
                 level[u] = -1
 
 
+def odds_of(blocks: list[Block], weights: np.ndarray) -> list[float]:
+    """Log-odds of content: the classifier's within its bounds, and the mark-up's evidence."""
+    return [o + b.hint for o, b in zip(np.clip(features(blocks) @ weights, -TRUST, TRUST).tolist(), blocks, strict=True)]
+
+
 def main_text(page: str, weights: np.ndarray) -> str:
     blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    odds = features(blocks) @ weights
-    odds = [max(-6.0, min(6.0, o)) + b.hint for o, b in zip(odds.tolist(), blocks, strict=True)]
-    keep = minimum_cut(odds, edges_of(blocks))
+    keep = minimum_cut(odds_of(blocks, weights), edges_of(blocks)) if blocks else []
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def fit(pages: DataFrame, markup: str = "html") -> np.ndarray:
-    """Classifier weights from the SAMPLE_PAGES pages with the smallest hash; the defaults if they mark up no block of either side."""
+    """Classifier weights from the SAMPLE_PAGES pages with the smallest hash, and at most SAMPLE_BLOCKS of their blocks.
+
+    DEFAULT_WEIGHTS itself, the same object, if they don't mark up blocks of both sides.
+    """
     few = pages.where(F.col(markup).isNotNull()).select(F.xxhash64(markup).alias("h"), F.col(markup).alias("html"))
     rows = few.join(F.broadcast(few.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES)), "h", "left_semi").dropDuplicates(["h"]).select("html")
 

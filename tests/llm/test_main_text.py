@@ -1,7 +1,9 @@
 import itertools
 import random
+import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tessera.llm import main_text, queries
@@ -42,6 +44,65 @@ def test_main_text_of_a_marked_up_page():
     assert main_text.main_text(PAGE, main_text.DEFAULT_WEIGHTS) == WANT
 
 
+@pytest.mark.parametrize(
+    "opening",
+    ['<div class="content with-sidebar"><article>', '<div id="page" class="no-sidebar"><article>', '<div class="sidebar"><article class="post">', "<form id=f><main>", '<div class="post-wrap has-header">', '<div class="promo">'],
+)
+def test_layout_wrappers_keep_the_article(opening):
+    """Names around an article, around most of a page, or that only tell of a layout, don't remove it; headlines in article headers stay."""
+    prose = [f"Paragraph {i} is a sentence of some length, and it ends here. Then comes another one, as prose has it." for i in range(4)]
+    head = '<div class="article-header"><h1>A headline of some words</h1></div>'
+    close = "".join(f"</{t}>" for t in reversed([x.split()[0] for x in opening.strip("<").replace(">", "").split("<")]))
+    page = f'<body><nav><a href="/">Home</a></nav>{opening}{head}' + "".join(f"<p>{p}</p>" for p in prose) + f'<div class="comments"><p>{prose[0]} My view.</p><p>{prose[1]} Mine too.</p></div>{close}<footer>(c) site</footer></body>'
+    got = main_text.main_text(page, main_text.DEFAULT_WEIGHTS)
+    assert got == "\n\n".join(["A headline of some words", *prose])
+
+
+def test_names():
+    named = lambda x: main_text._named(f'class="{x}"')
+    assert named("content-with-sidebar") == named("article") == (False, True)
+    assert named("article-comments") == named("sidebar-content") == named("site-header") == (True, False)
+    assert named("entry-header") == (False, True) and named("no-header") == (False, False)
+
+
+def test_capitals_are_counted_over_the_whole_block():
+    column = main_text.FEATURES.index("capitals")
+    low, high = (main_text.features(main_text.blocks_of(f"<p>{'word ' * 100}{x * 100}</p>"))[0, column] for x in ("word ", "Word "))
+    assert (low, high) == (0.0, 0.5)
+
+
+def _stripped(page):
+    """A page without class names and with plain elements for those that show a part."""
+    return re.sub(r"<(/?)(?:article|nav|footer|header|aside|main)>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+
+
+def test_cut_beats_thresholding_on_held_out_pages_without_mark_up():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    learning, held = pages[:100], pages[100:]
+    rows = [(r, b.marked > 0) for p in learning for bs in [main_text.blocks_of(p)] for r, b in zip(main_text.features(bs), bs, strict=True) if b.marked]
+    weights = main_text.train(np.array([r for r, _ in rows]), np.array([float(y) for _, y in rows]))
+    cut = single = changed = 0
+    for page in held:
+        want = [b.text for b in main_text.blocks_of(re.search("(?s)<article>.*</article>", page)[0])]
+        blocks = main_text.blocks_of(_stripped(page))
+        odds = main_text.odds_of(blocks, weights)
+        keep = main_text.minimum_cut(odds, main_text.edges_of(blocks))
+        cut += [b.text for b, k in zip(blocks, keep, strict=True) if k] == want
+        single += [b.text for b, o in zip(blocks, odds, strict=True) if o > 0] == want
+        changed += sum(k != (o > 0) for k, o in zip(keep, odds, strict=True))
+    assert cut >= 0.98 * len(held) and cut > single + 0.1 * len(held) and changed
+
+
+def test_query_on_whole_pages_against_the_article_element(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r.page_id: r for r in queries.op10_main_text(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        want = "\n\n".join(b.text for b in main_text.blocks_of(re.search("(?s)<article>.*</article>", p.html)[0]))
+        assert (got[p.page_id].text, got[p.page_id].n_chars) == (want, len(want))
+
+
 def test_without_mark_up():
     prose = [f"Paragraph {i} is a sentence of some length, and it ends here. Then comes another one, as prose has it." for i in range(4)]
     links = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(6))
@@ -55,10 +116,11 @@ def test_broken_pages(page):
 
 
 def test_query(spark, tmp_path):
-    rows = [(i, f"u{i}", PAGE) for i in range(20)] + [(100, None, None), (101, "u", ""), (None, "u", PAGE), (102, "u", "<article>" + "<p>long words here.</p>" * 5000 + "</article>")]
+    rows = [(i, f"u{i}", PAGE) for i in range(20)] + [(100, None, None), (101, "u", ""), (None, "u", PAGE), (102, "u", "<article>" + "<p>long words here.</p>" * 5000 + "</article>"), (3, "u3", PAGE)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.page_id: r for r in queries.op10_main_text(spark, str(tmp_path)).collect()}
-    assert len(got) == len(rows)
+    found = queries.op10_main_text(spark, str(tmp_path)).collect()
+    got = {r.page_id: r for r in found}
+    assert len(found) == len(rows) == len(got) + 1  # a repeated row stays twice
     assert got[3].text == got[None].text == WANT and got[3].n_chars == len(WANT)
     assert (got[100].text, got[100].n_chars, got[101].text) == ("", 0, "")
     assert got[102].text == "\n\n".join(["long words here."] * 5000)
