@@ -39,7 +39,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.fingerprints(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return spotsigs.grouped(spotsigs.fingerprints(docs), docs)
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

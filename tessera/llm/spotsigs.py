@@ -4,7 +4,8 @@ Wherever a common word (an antecedent) stands, the next ``CHAIN`` content words
 after it form a signature.  A text's fingerprint is its set of signatures, as
 sorted 32-bit numbers in hexadecimal.  Texts are compared by the Jaccard
 coefficient of their sets; sets whose sizes rule a wanted coefficient out are not
-compared, and near duplicates are looked for within partitions of set length.
+compared, and near duplicates are looked for within partitions of set length:
+a set of one partition can only be near sets of that and the adjacent ones.
 """
 
 from __future__ import annotations
@@ -18,8 +19,14 @@ from tessera.operators.components import connected_components
 from tessera.plans.workspace import Workspace
 
 CHAIN = 2
-#: Documents in a range of ids that is put in order in one go, about, and the most ranges.
-RANGE, RANGES = 500, 1024
+#: Documents in a range of ids that is put in order in one go, about; beyond RANGES of them, which bound the plan, ranges grow and their sorts spill.
+RANGE, RANGES = 500, 8192
+#: Signatures in fewer sets than this need no place in the order of frequency.
+OFTEN_FROM = 16
+#: Most rows that are broadcast.
+BROADCAST_ROWS = 2_000_000
+#: Members of a list that are compared with as many others in one go.
+BLOCK = 256
 #: Common words of English, French, German and Spanish.
 ANTECEDENTS = """
 a an and are as at be been but by can did do for from had has have he her his if in is it its not of on or she so that the
@@ -71,6 +78,15 @@ def pruned_jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).when(apart, 0.0).otherwise(exact)
 
 
+def _place(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are not above a key, by halving."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*[F.lit(c).cast("long") for c in cuts])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, n: F.when((at + n <= len(cuts)) & (F.get(table, at + n - 1) <= key), at + n).otherwise(at))
+
+
 def with_next(docs: DataFrame, doc_id: str, text: str, derive) -> DataFrame:
     """``docs`` with ``next_text``, ``derived`` (of ``text``) and ``next_derived`` of the following row.
 
@@ -81,14 +97,13 @@ def with_next(docs: DataFrame, doc_id: str, text: str, derive) -> DataFrame:
     keyed = docs.withColumn("_key", F.coalesce(F.col(doc_id), F.lit(-(1 << 63)))).withColumn("_last", F.lit(False))
     ids = keyed.select("_key")
     parts = min(RANGES, max(1, math.ceil(ids.count() / RANGE)))
-    cuts = ids.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    keyed = keyed.withColumn("_range", F.size(F.filter(edges, lambda c: c <= F.col("_key"))))
+    cuts = ids.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
+    keyed = keyed.withColumn("_range", _place(F.col("_key"), sorted(set(cuts))))
     heads = sorted((r["_range"], r["key"]) for r in keyed.groupBy("_range").agg(F.min("_key").alias("key")).collect())
-    before = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}
-    turn = F.coalesce(*[F.when(F.col("_key") == key, F.lit(range_)) for key, range_ in before.items()]) if before else F.lit(0)
-    first = keyed.where(F.col("_key").isin(list(before))).groupBy("_key").agg(F.min(text).alias("least"), F.max(F.col(text).isNull()).alias("null"))
+    firsts = [key for _, key in heads]
+    # the first key of a range goes to the range before it, the very first one to the last
+    turn = F.element_at(F.array(*[F.lit(heads[i - 1][0]) for i in range(len(heads))]), _place(F.col("_key"), firsts)) if heads else F.lit(0)
+    first = keyed.where(F.col("_key").isin(firsts)).groupBy("_key").agg(F.min(text).alias("least"), F.max(F.col(text).isNull()).alias("null"))
     copies = first.select("_key", F.when(~F.col("null"), F.col("least")).alias(text), turn.cast("int").alias("_range"), F.lit(True).alias("_last"))
     every = keyed.unionByName(copies, allowMissingColumns=True)
     order = Window.partitionBy("_range").orderBy("_last", "_key", text)
@@ -120,26 +135,79 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, workspace: Workspace | None = None) -> DataFrame:
-    """(fingerprint, group) of every distinct fingerprint that is near another: groups of Jaccard ``least`` or more, linked through.
+def _bounds(most: int, least: float) -> list[int]:
+    """First sizes of the partitions of set length: what is near a set of one is in that one or an adjacent one."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, math.floor(out[-1] / least + 1e-9) + 1))
+    return out
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    Sets are partitioned by length so that only sets of the same or adjacent
-    partitions can be near.  Within them, sets sharing one of their rarest
-    signatures are compared: a set of n has ``n - ceil(least * n) + 1`` of them,
-    which every near set shares one of.
+
+def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard coefficient of ``least`` or more."""
+    whole = lambda x, s: sets.select(F.col("set").alias(x), F.col("signs").alias(s))
+    both = pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
+    return both.where(pruned_jaccard(F.col("x"), F.col("y"), least) >= least - 1e-9).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, workspace: Workspace | None = None) -> DataFrame:
+    """(fingerprint, print, group) of every distinct fingerprint that is near another: groups of Jaccard ``least`` or more, linked through.
+
+    print is the fingerprint's MD5, group the least print of its group.  A set of
+    n is posted to the lists of its first ``n - ceil(least * n) + 1`` signatures,
+    the rarest first; every near set shares one of them.  A list holds the sets
+    of one partition of length, and as visitors those of the next shorter one.
+    In each list all sets are compared with its first and last one; only where
+    that leaves sets unconnected are all pairs of a list compared, block by
+    block, that differ in their component.  No list is cut off.
     """
     workspace = workspace or Workspace(docs.sparkSession, "spotsigs")
     sets = docs.select(signatures(F.coalesce(F.col(text), F.lit(""))).alias("signs")).distinct()
-    sets = workspace.save(sets.select("signs", fingerprint(F.col("signs")).alias("fingerprint"), F.size("signs").alias("n")))
-    often = sets.select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count("*").alias("df"))
-    ranked = sets.select("fingerprint", "n", F.explode("signs").alias("sign")).join(often, "sign")
-    ranked = ranked.groupBy("fingerprint", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sign"))).alias("ranked"))
-    reach = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    part = F.floor(F.log("n") / math.log(1 / least))
-    posted = workspace.save(ranked.select("fingerprint", "n", part.alias("part"), F.explode(F.slice("ranked", F.lit(1), reach.cast("int"))["sign"]).alias("sign")))
-    a = posted.select("sign", "part", F.col("fingerprint").alias("a"), F.col("n").alias("n_a"))
-    b = posted.select("sign", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"), F.col("fingerprint").alias("b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, ["sign", "part"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
-    whole = lambda x, s: sets.select(F.col("fingerprint").alias(x), F.col("signs").alias(s))
-    links = pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b").where(pruned_jaccard(F.col("x"), F.col("y"), least) >= least - 1e-9).select("a", "b")
-    return connected_components(workspace.save(links), "a", "b", workspace).withColumnsRenamed({"node": "fingerprint", "component": "group"})
+    # the table is written once, so each set keeps its number
+    sets = workspace.save(sets.select(F.monotonically_increasing_id().alias("set"), F.size("signs").alias("n"), "signs"))
+    bounds = F.array(*[F.lit(b) for b in _bounds(sets.agg(F.max("n")).first()[0] or 1, least)])
+
+    often = workspace.save(sets.select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count("*").alias("df")).where(F.col("df") >= OFTEN_FROM))
+    late = sets.select("set", F.explode("signs").alias("sign")).join(_few(often), "sign")
+    late = late.groupBy("set").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "sign"))), lambda x: x["sign"]).alias("late"))
+    late = F.coalesce("late", F.array().cast("array<long>")), sets.join(late, "set", "left")
+    reach = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = F.slice(F.concat(F.array_except("signs", late[0]), late[0]), F.lit(1), reach)
+    part = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
+    posted = workspace.save(late[1].select("set", "n", part.alias("part"), F.explode(prefix).alias("sign")))
+
+    lists = posted.withColumn("native", F.lit(True)).unionByName(posted.withColumn("part", F.col("part") + 1).withColumn("native", F.lit(False)))
+    ends = [F.min(F.when(F.col("native"), F.col("set"))).alias("low"), F.max(F.when(F.col("native"), F.col("set"))).alias("high")]
+    shared = workspace.save(lists.groupBy("sign", "part").agg(F.count("*").alias("c"), *ends).where("c > 1 and low is not null"))
+    lists = workspace.save(lists.join(_few(shared), ["sign", "part"]))
+    near = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
+    sizes = sets.select(F.col("set").alias("end"), F.col("n").alias("m"))
+    stars = lists.select("set", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).where("set <> end").distinct()
+    stars = stars.join(sizes, "end").where(near(F.col("n"), F.col("m"))).select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
+    links = workspace.save(_linked(workspace.save(stars), sets, least))
+    parts = connected_components(links, "a", "b", workspace)
+
+    named = lists.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    mixed = named.groupBy("sign", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    rest = named.where("c > 2").join(mixed.select("sign", "part"), ["sign", "part"], "left_semi").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    rest = workspace.save(rest.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    side = lambda s, i, j: rest.select("sign", "part", F.col("own").alias(i), F.col("other").alias(j), *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "native", "component")])
+    pairs = side("a", "i", "j").where("native_a").join(side("b", "j", "i"), ["sign", "part", "i", "j"])
+    pairs = pairs.where((F.col("component_a") != F.col("component_b")) & (~F.col("native_b") | (F.col("set_a") < F.col("set_b"))) & near(F.col("n_a"), F.col("n_b")))
+    more = workspace.save(_linked(workspace.save(pairs.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()), sets, least))
+    if more.limit(1).count():
+        parts = connected_components(links.union(more), "a", "b", workspace)
+    found = parts.join(sets, F.col("node") == F.col("set")).select("component", fingerprint(F.col("signs")).alias("fingerprint"))
+    found = workspace.save(found.withColumn("print", F.md5("fingerprint")))
+    return found.join(found.groupBy("component").agg(F.min("print").alias("group")), "component").select("fingerprint", "print", "group")
+
+
+def grouped(found: DataFrame, docs: DataFrame, text: str = "text", least: float = 0.8, workspace: Workspace | None = None) -> DataFrame:
+    """``fingerprints`` of ``docs`` with ``group``: equal for documents that near fingerprints connect, equal ones included."""
+    near = (workspace or Workspace(docs.sparkSession, "spotsigs")).save(near_duplicates(docs, text, least, workspace).select("print", "group"))
+    joined = found.drop("group").withColumn("print", F.md5("fingerprint")).join(_few(near), "print", "left")
+    return joined.withColumn("group", F.coalesce("group", "print")).drop("print")

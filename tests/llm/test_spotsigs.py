@@ -52,11 +52,64 @@ def test_query(spark, tmp_path, monkeypatch, size):
         assert r.near_next == pytest.approx(jaccard(chains(text), chains(following)))
         assert len(r.fingerprint) == 8 * len(chains(text)) and len(r.edited_fingerprint) == 8 * len(chains(other))
     assert got[rows[0][0]].fingerprint == got[rows[-2][0]].fingerprint
+    want = groups([chains(t or "") for t in texts])
+    found = {}
+    for (doc, _), w in zip(rows, want, strict=True):
+        found.setdefault(got[doc].group, set()).add(w)
+    assert all(len(x) == 1 for x in found.values()) and len(found) == len(set(want))
+
+
+def groups(sets, least=0.8):
+    """For each set the number of the first one that near sets connect it with."""
+    label = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if label[i] != label[j] and jaccard(a, sets[j]) >= least:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label
+
+
+def test_adjacent_partitions_hold_all_near_sizes():
+    for least in (0.5, 0.8, 0.9):
+        bounds = spotsigs._bounds(3000, least)
+        part = [sum(b <= n for b in bounds) for n in range(3001)]
+        for n in range(1, 3001):
+            assert part[min(3000, int(n / least + 1e-9))] - part[n] <= 1
+
+
+@pytest.mark.parametrize(("often", "block"), [(16, 256), (2, 3)])
+def test_groups_of_near_copies_and_a_common_passage(spark, monkeypatch, often, block):
+    """Chains of near copies of one text, all sharing signatures with texts that aren't near."""
+    monkeypatch.setattr(spotsigs, "OFTEN_FROM", often)
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    rng = random.Random(4)
+    passage = " ".join(f"the common{i} passage{i}" for i in range(8))
+    base = [f"the word{i} thing{i}" for i in range(40)]
+    texts = [passage + " " + " ".join(base)]
+    for i in range(30):
+        edited_one = rng.choice(texts).split("the ")[1:]
+        edited_one[rng.randrange(8, len(edited_one))] = f"new{i} text{i} "
+        texts.append("the " + "the ".join(edited_one))
+    texts += [passage + " " + " ".join(f"the own{i}x{j} other{i}x{j}" for j in range(rng.randrange(1, 30))) for i in range(40)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group for r in spotsigs.grouped(spotsigs.fingerprints(docs), docs).collect()}
+    want = groups([chains(t) for t in texts])
+    assert len({(w, got[i]) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
+def test_native(spark):
+    docs = spark.createDataFrame([(1, "the a b")], "doc_id long, text string")
+    assert "Python" not in spotsigs.grouped(spotsigs.fingerprints(docs), docs)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, derived string, _range string")
-    assert spotsigs.fingerprints(empty).count() == 0
+    assert spotsigs.fingerprints(empty).count() == spotsigs.near_duplicates(empty).count() == 0
     rows = spark.createDataFrame([(None, "the a b", "x", "y"), (None, None, "x", "y"), (1, "the a b", "x", "y"), (1, "the a b", "x", "y")], empty.schema)
     got = spotsigs.fingerprints(rows).collect()
     assert len(got) == 4 and sum(r.near_next == 1 for r in got) >= 2
