@@ -24,7 +24,7 @@ RANGE, RANGES = 500, 8192
 #: Signatures in fewer sets than this need no place in the order of frequency.
 OFTEN_FROM = 16
 #: Most rows that are broadcast.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 250_000
 #: Members of a list that are compared with as many others in one go.
 BLOCK = 256
 #: Common words of English, French, German and Spanish.
