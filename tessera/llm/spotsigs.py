@@ -27,6 +27,10 @@ OFTEN_FROM = 16
 BROADCAST_ROWS = 250_000
 #: Members of a list that are compared with as many others in one go.
 BLOCK = 256
+#: Further members of a list that all are compared with where its first and last don't connect it.
+PIVOTS = 4
+#: Words of 64 bits in a parity sketch.
+SKETCH = 8
 #: Common words of English, French, German and Spanish.
 ANTECEDENTS = """
 a an and are as at be been but by can did do for from had has have he her his if in is it its not of on or she so that the
@@ -143,6 +147,13 @@ def _bounds(most: int, least: float) -> list[int]:
     return out
 
 
+def _sketch(signs: Column) -> list[Column]:
+    """The parities of the numbers of signatures by their lowest bits, as s0, s1, ..."""
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda i: F.aggregate(signs, F.lit(0).cast("long"), lambda acc, s: F.when(F.shiftright(s, 6).bitwiseAND(F.lit(SKETCH - 1)) == i, acc.bitwiseXOR(bit(s))).otherwise(acc))
+    return [word(i).alias(f"s{i}") for i in range(SKETCH)]
+
+
 def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
@@ -161,9 +172,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     n is posted to the lists of its first ``n - ceil(least * n) + 1`` signatures,
     the rarest first; every near set shares one of them.  A list holds the sets
     of one partition of length, and as visitors those of the next shorter one.
-    In each list all sets are compared with its first and last one; only where
-    that leaves sets unconnected are all pairs of a list compared, block by
-    block, that differ in their component.  No list is cut off.
+    In each list all sets are compared with its first and last one, then, where
+    that leaves sets unconnected, with PIVOTS more; what is still unconnected is
+    compared pair by pair, block by block, by a parity sketch that can only
+    reject pairs below ``least``, and then whole.  No list is cut off.
     """
     workspace = workspace or Workspace(docs.sparkSession, "spotsigs")
     sets = docs.select(signatures(F.coalesce(F.col(text), F.lit(""))).alias("signs")).distinct()
@@ -180,6 +192,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     part = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
     posted = workspace.save(late[1].select("set", "n", part.alias("part"), F.explode(prefix).alias("sign")))
 
+    common = workspace.save(posted.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"))
+    posted = workspace.save(posted.join(_few(common), "sign"))
     lists = posted.withColumn("native", F.lit(True)).unionByName(posted.withColumn("part", F.col("part") + 1).withColumn("native", F.lit(False)))
     ends = [F.min(F.when(F.col("native"), F.col("set"))).alias("low"), F.max(F.when(F.col("native"), F.col("set"))).alias("high")]
     shared = workspace.save(lists.groupBy("sign", "part").agg(F.count("*").alias("c"), *ends).where("c > 1 and low is not null"))
@@ -191,14 +205,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     links = workspace.save(_linked(workspace.save(stars), sets, least))
     parts = connected_components(links, "a", "b", workspace)
 
-    named = lists.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    mixed = named.groupBy("sign", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    rest = named.where("c > 2").join(mixed.select("sign", "part"), ["sign", "part"], "left_semi").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    def unconnected():
+        """Members of the lists of more than one component, with their sketches and the number of blocks."""
+        named = lists.where("c > 2").drop("low", "high").join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        mixed = named.groupBy("sign", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sign", "part")
+        rest = workspace.save(named.join(_few(workspace.save(mixed)), ["sign", "part"], "left_semi"))
+        drawn = workspace.save(rest.select("set").distinct().join(sets.select("set", "signs"), "set").select("set", *_sketch(F.col("signs"))))
+        return workspace.save(rest.join(drawn, "set").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")))
+
+    def may_link(a, b):
+        """Linked sets have (1 + least) * d <= (1 - least) * (n + m) for d signatures in one of them only, and sketches differ in d bits at most."""
+        differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        return (F.col(f"{a}.component") != F.col(f"{b}.component")) & near(n, m) & ((1 + least) * differ <= (1 - least) * (n + m) + 1e-9)
+
+    pair = [F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")]
+    rest = unconnected()
+    drawn = [F.min(F.when(F.col("native"), F.struct(F.xxhash64(F.lit(i), "set").alias("h"), "set", "n", "component", *[f"s{j}" for j in range(SKETCH)]))).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = rest.groupBy("sign", "part").agg(*drawn).select("sign", "part", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).select("sign", "part", "p.*").distinct()
+    some = rest.alias("a").join(workspace.save(pivots).alias("b"), ["sign", "part"]).where(may_link("a", "b")).select(*pair).distinct()
+    more = workspace.save(_linked(workspace.save(some), sets, least))
+    if more.limit(1).count():
+        links = workspace.save(links.union(more))
+        parts = connected_components(links, "a", "b", workspace)
+        rest = unconnected()
     rest = workspace.save(rest.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    side = lambda s, i, j: rest.select("sign", "part", F.col("own").alias(i), F.col("other").alias(j), *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "native", "component")])
-    pairs = side("a", "i", "j").where("native_a").join(side("b", "j", "i"), ["sign", "part", "i", "j"])
-    pairs = pairs.where((F.col("component_a") != F.col("component_b")) & (~F.col("native_b") | (F.col("set_a") < F.col("set_b"))) & near(F.col("n_a"), F.col("n_b")))
-    more = workspace.save(_linked(workspace.save(pairs.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()), sets, least))
+    one = rest.withColumnsRenamed({"own": "i", "other": "j"}).where("native").alias("a")
+    two = rest.withColumnsRenamed({"own": "j", "other": "i"}).alias("b")
+    pairs = one.join(two, ["sign", "part", "i", "j"]).where((~F.col("b.native") | (F.col("a.set") < F.col("b.set"))) & may_link("a", "b"))
+    more = workspace.save(_linked(workspace.save(pairs.select(*pair).distinct()), sets, least))
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b", workspace)
     found = parts.join(sets, F.col("node") == F.col("set")).select("component", fingerprint(F.col("signs")).alias("fingerprint"))
