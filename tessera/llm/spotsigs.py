@@ -21,8 +21,8 @@ from tessera.plans.workspace import Workspace
 CHAIN = 2
 #: Documents in a range of ids that is put in order in one go, about; beyond RANGES of them, which bound the plan, ranges grow and their sorts spill.
 RANGE, RANGES = 500, 8192
-#: Signatures in fewer sets than this need no place in the order of frequency.
-OFTEN_FROM = 16
+#: Signatures in fewer sets than this need no place in the order of frequency; of the others the most frequent, at most so many, have one.
+OFTEN_FROM, OFTEN_LIMIT = 16, 1 << 18
 #: Most rows that are broadcast.
 BROADCAST_ROWS = 250_000
 #: Members of a list that are compared with as many others in one go.
@@ -154,6 +154,18 @@ def _sketch(signs: Column) -> list[Column]:
     return [word(i).alias(f"s{i}") for i in range(SKETCH)]
 
 
+def _most(often: DataFrame, most: int) -> DataFrame:
+    """The rows of highest ``df``, at most so many: all from the smallest class of df on that fits, by classes of a quarter power of 2."""
+    of = F.floor(4 * F.log2("df"))
+    from_, held = None, 0
+    for r in sorted(often.groupBy(of.alias("class")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["class"]):
+        held += r["c"]
+        if held > most:
+            break
+        from_ = r["class"]
+    return often.where(of >= from_) if from_ is not None else often.where("false")
+
+
 def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
@@ -184,7 +196,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     bounds = F.array(*[F.lit(b) for b in _bounds(sets.agg(F.max("n")).first()[0] or 1, least)])
 
     often = workspace.save(sets.select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count("*").alias("df")).where(F.col("df") >= OFTEN_FROM))
-    late = sets.select("set", F.explode("signs").alias("sign")).join(_few(often), "sign")
+    late = sets.select("set", F.explode("signs").alias("sign")).join(F.broadcast(_most(often, OFTEN_LIMIT)), "sign")
     late = late.groupBy("set").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "sign"))), lambda x: x["sign"]).alias("late"))
     late = F.coalesce("late", F.array().cast("array<long>")), sets.join(late, "set", "left")
     reach = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
@@ -193,11 +205,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     posted = workspace.save(late[1].select("set", "n", part.alias("part"), F.explode(prefix).alias("sign")))
 
     common = workspace.save(posted.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"))
-    posted = workspace.save(posted.join(_few(common), "sign"))
+    posted = workspace.save(posted.join(common.hint("merge"), "sign"))
     lists = posted.withColumn("native", F.lit(True)).unionByName(posted.withColumn("part", F.col("part") + 1).withColumn("native", F.lit(False)))
     ends = [F.min(F.when(F.col("native"), F.col("set"))).alias("low"), F.max(F.when(F.col("native"), F.col("set"))).alias("high")]
     shared = workspace.save(lists.groupBy("sign", "part").agg(F.count("*").alias("c"), *ends).where("c > 1 and low is not null"))
-    lists = workspace.save(lists.join(_few(shared), ["sign", "part"]))
+    lists = workspace.save(lists.join(shared.hint("merge"), ["sign", "part"]))
     near = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
     sizes = sets.select(F.col("set").alias("end"), F.col("n").alias("m"))
     stars = lists.select("set", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).where("set <> end").distinct()
@@ -209,7 +221,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
         """Members of the lists of more than one component, with their sketches and the number of blocks."""
         named = lists.where("c > 2").drop("low", "high").join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         mixed = named.groupBy("sign", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sign", "part")
-        rest = workspace.save(named.join(_few(workspace.save(mixed)), ["sign", "part"], "left_semi"))
+        rest = workspace.save(named.join(workspace.save(mixed).hint("merge"), ["sign", "part"], "left_semi"))
         drawn = workspace.save(rest.select("set").distinct().join(sets.select("set", "signs"), "set").select("set", *_sketch(F.col("signs"))))
         return workspace.save(rest.join(drawn, "set").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")))
 
