@@ -170,11 +170,20 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, least: float, workspace: Workspace) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard coefficient of ``least`` or more."""
-    whole = lambda x, s: sets.select(F.col("set").alias(x), F.col("signs").alias(s))
+    pairs = workspace.save(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    own = workspace.save(sets.select("set", "signs").join(wanted, "set"))
+    whole = lambda x, s: own.select(F.col("set").alias(x), F.col("signs").alias(s))
     both = pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
-    return both.where(pruned_jaccard(F.col("x"), F.col("y"), least) >= least - 1e-9).select("a", "b")
+    found = workspace.save(both.where(pruned_jaccard(F.col("x"), F.col("y"), least) >= least - 1e-9).select("a", "b"))
+    workspace.drop(pairs, own)
+    return found
+
+
+def _sized(signs: str, bounds: list[int]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.size(signs)))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, workspace: Workspace | None = None) -> DataFrame:
@@ -190,66 +199,70 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     reject pairs below ``least``, and then whole.  No list is cut off.
     """
     workspace = workspace or Workspace(docs.sparkSession, "spotsigs")
-    sets = docs.select(signatures(F.coalesce(F.col(text), F.lit(""))).alias("signs")).distinct()
+    # signatures as 32-bit numbers in the same order
+    sets = docs.select(F.transform(signatures(F.coalesce(F.col(text), F.lit(""))), lambda s: (s - (1 << 31)).cast("int")).alias("signs")).distinct()
     # the table is written once, so each set keeps its number
-    sets = workspace.save(sets.select(F.monotonically_increasing_id().alias("set"), F.size("signs").alias("n"), "signs"))
-    bounds = F.array(*[F.lit(b) for b in _bounds(sets.agg(F.max("n")).first()[0] or 1, least)])
+    sets = workspace.save(sets.select(F.monotonically_increasing_id().alias("set"), F.size("signs").alias("n"), "signs", *_sketch(F.col("signs"))))
+    bounds = _bounds(sets.agg(F.max("n")).first()[0] or 1, least)
+    small = ["set", "n", *[f"s{i}" for i in range(SKETCH)]]
+    near = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
+
+    def alike(a, b):
+        """Linked sets have (1 + least) * d <= (1 - least) * (n + m) for d signatures in one of them only, and sketches differ in d bits at most."""
+        differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        return near(n, m) & ((1 + least) * differ <= (1 - least) * (n + m) + 1e-9)
 
     often = workspace.save(sets.select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count("*").alias("df")).where(F.col("df") >= OFTEN_FROM))
     late = sets.select("set", F.explode("signs").alias("sign")).join(F.broadcast(_most(often, OFTEN_LIMIT)), "sign")
     late = late.groupBy("set").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "sign"))), lambda x: x["sign"]).alias("late"))
-    late = F.coalesce("late", F.array().cast("array<long>")), sets.join(late, "set", "left")
+    last = F.coalesce("late", F.array().cast("array<int>"))
     reach = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = F.slice(F.concat(F.array_except("signs", late[0]), late[0]), F.lit(1), reach)
-    part = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
-    posted = workspace.save(late[1].select("set", "n", part.alias("part"), F.explode(prefix).alias("sign")))
-
-    common = workspace.save(posted.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"))
-    posted = workspace.save(posted.join(common.hint("merge"), "sign"))
-    lists = posted.withColumn("native", F.lit(True)).unionByName(posted.withColumn("part", F.col("part") + 1).withColumn("native", F.lit(False)))
+    prefix = F.slice(F.concat(F.array_except("signs", last), last), F.lit(1), reach)
+    every = workspace.save(sets.select("set", "n", "signs").join(late, "set", "left").select("set", _sized("signs", bounds).alias("part"), F.explode(prefix).alias("sign")))
+    common = every.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign")
+    posted = workspace.save(every.join(common.hint("merge"), "sign"))
+    workspace.drop(often, every)
+    both = posted.withColumn("native", F.lit(True)).unionByName(posted.withColumn("part", F.col("part") + 1).withColumn("native", F.lit(False)))
     ends = [F.min(F.when(F.col("native"), F.col("set"))).alias("low"), F.max(F.when(F.col("native"), F.col("set"))).alias("high")]
-    shared = workspace.save(lists.groupBy("sign", "part").agg(F.count("*").alias("c"), *ends).where("c > 1 and low is not null"))
-    lists = workspace.save(lists.join(shared.hint("merge"), ["sign", "part"]))
-    near = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
-    sizes = sets.select(F.col("set").alias("end"), F.col("n").alias("m"))
-    stars = lists.select("set", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).where("set <> end").distinct()
-    stars = stars.join(sizes, "end").where(near(F.col("n"), F.col("m"))).select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
-    links = workspace.save(_linked(workspace.save(stars), sets, least))
+    shared = both.groupBy("sign", "part").agg(F.count("*").alias("c"), *ends).where("c > 1 and low is not null")
+    lists = workspace.save(both.join(shared.hint("merge"), ["sign", "part"]))
+    workspace.drop(posted)
+    stars = lists.select("set", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).where("set <> end")
+    stars = stars.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
+    stars = stars.join(sets.select(small).alias("x"), F.col("a") == F.col("x.set")).join(sets.select(small).alias("y"), F.col("b") == F.col("y.set")).where(alike("x", "y")).select("a", "b")
+    links = _linked(stars, sets, least, workspace)
     parts = connected_components(links, "a", "b", workspace)
 
     def unconnected():
         """Members of the lists of more than one component, with their sketches and the number of blocks."""
-        named = lists.where("c > 2").drop("low", "high").join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        named = lists.where("c > 2").select("sign", "part", "set", "native", "c").join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         mixed = named.groupBy("sign", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sign", "part")
-        rest = workspace.save(named.join(workspace.save(mixed).hint("merge"), ["sign", "part"], "left_semi"))
-        drawn = workspace.save(rest.select("set").distinct().join(sets.select("set", "signs"), "set").select("set", *_sketch(F.col("signs"))))
-        return workspace.save(rest.join(drawn, "set").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")))
-
-    def may_link(a, b):
-        """Linked sets have (1 + least) * d <= (1 - least) * (n + m) for d signatures in one of them only, and sketches differ in d bits at most."""
-        differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
-        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return (F.col(f"{a}.component") != F.col(f"{b}.component")) & near(n, m) & ((1 + least) * differ <= (1 - least) * (n + m) + 1e-9)
+        rest = named.join(mixed.hint("merge"), ["sign", "part"], "left_semi")
+        return workspace.save(rest.join(sets.select(small), "set").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")))
 
+    apart = lambda a, b: (F.col(f"{a}.component") != F.col(f"{b}.component")) & alike(a, b)
     pair = [F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")]
     rest = unconnected()
     drawn = [F.min(F.when(F.col("native"), F.struct(F.xxhash64(F.lit(i), "set").alias("h"), "set", "n", "component", *[f"s{j}" for j in range(SKETCH)]))).alias(f"p{i}") for i in range(PIVOTS)]
     pivots = rest.groupBy("sign", "part").agg(*drawn).select("sign", "part", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).select("sign", "part", "p.*").distinct()
-    some = rest.alias("a").join(workspace.save(pivots).alias("b"), ["sign", "part"]).where(may_link("a", "b")).select(*pair).distinct()
-    more = workspace.save(_linked(workspace.save(some), sets, least))
+    some = rest.alias("a").join(workspace.save(pivots).alias("b"), ["sign", "part"]).where(apart("a", "b")).select(*pair).distinct()
+    more = _linked(some, sets, least, workspace)
     if more.limit(1).count():
         links = workspace.save(links.union(more))
         parts = connected_components(links, "a", "b", workspace)
+        workspace.drop(rest)
         rest = unconnected()
     rest = workspace.save(rest.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     one = rest.withColumnsRenamed({"own": "i", "other": "j"}).where("native").alias("a")
     two = rest.withColumnsRenamed({"own": "j", "other": "i"}).alias("b")
-    pairs = one.join(two, ["sign", "part", "i", "j"]).where((~F.col("b.native") | (F.col("a.set") < F.col("b.set"))) & may_link("a", "b"))
-    more = workspace.save(_linked(workspace.save(pairs.select(*pair).distinct()), sets, least))
+    pairs = one.join(two, ["sign", "part", "i", "j"]).where((~F.col("b.native") | (F.col("a.set") < F.col("b.set"))) & apart("a", "b"))
+    more = _linked(pairs.select(*pair).distinct(), sets, least, workspace)
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b", workspace)
-    found = parts.join(sets, F.col("node") == F.col("set")).select("component", fingerprint(F.col("signs")).alias("fingerprint"))
+    found = parts.join(sets, F.col("node") == F.col("set")).select("component", fingerprint(F.transform("signs", lambda s: s.cast("long") + (1 << 31))).alias("fingerprint"))
     found = workspace.save(found.withColumn("print", F.md5("fingerprint")))
+    workspace.drop(sets, lists, rest)
     return found.join(found.groupBy("component").agg(F.min("print").alias("group")), "component").select("fingerprint", "print", "group")
 
 
