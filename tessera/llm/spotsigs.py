@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     last = F.coalesce("late", F.array().cast("array<int>"))
     reach = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
     prefix = F.slice(F.concat(F.array_except("signs", last), last), F.lit(1), reach)
-    every = workspace.save(sets.select("set", "n", "signs").join(late, "set", "left").select("set", _sized("signs", bounds).alias("part"), F.explode(prefix).alias("sign")))
+    every = workspace.save(sets.select("set", "n", "signs").join(late.hint("merge"), "set", "left").select("set", _sized("signs", bounds).alias("part"), F.explode(prefix).alias("sign")))
     common = every.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign")
     posted = workspace.save(every.join(common.hint("merge"), "sign"))
     workspace.drop(often, every)
@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     workspace.drop(posted)
     stars = lists.select("set", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).where("set <> end")
     stars = stars.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
-    stars = stars.join(sets.select(small).alias("x"), F.col("a") == F.col("x.set")).join(sets.select(small).alias("y"), F.col("b") == F.col("y.set")).where(alike("x", "y")).select("a", "b")
+    drawn = sets.select(small).hint("merge")
+    stars = stars.join(drawn.alias("x"), F.col("a") == F.col("x.set")).join(drawn.alias("y"), F.col("b") == F.col("y.set")).where(alike("x", "y")).select("a", "b")
     links = _linked(stars, sets, least, workspace)
     parts = connected_components(links, "a", "b", workspace)
 
