@@ -42,7 +42,8 @@ def merge_score(label: Column, vector: Column, neighbours: Column, aliases: Colu
 
 
 def edge_weight(confidence: Column, support: Column, prior: Column) -> Column:
-    return 0.50 * F.coalesce(confidence, F.lit(0.5)) + 0.35 * F.least(F.log1p(support) / 10, F.lit(1.0)) + 0.15 * prior
+    """Half the weight from support, on a logarithmic scale up to 1, then confidence and the predicate's prior."""
+    return 0.50 * F.least(F.log1p(support) / 10, F.lit(1.0)) + 0.35 * F.coalesce(confidence, F.lit(0.5)) + 0.15 * prior
 
 
 def edge_rank(weight: Column, rank_a: Column, rank_b: Column, support: Column) -> Column:
@@ -55,9 +56,10 @@ def max_normalized(c: Column, *by: str) -> Column:
     return F.when(most > 0, c / most).otherwise(0.0)
 
 
-def rerank_blend(model: Column, fused: Column, lexical: Column, vector: Column) -> Column:
+def rerank_blend(relevance: Column, topic_match: Column, specificity: Column, recency_fit: Column) -> Column:
+    """A judge's four marks from 0 to 1 as one; a missing mark counts as a half."""
     half = F.lit(0.5)
-    return 0.55 * F.coalesce(model, half) + 0.20 * F.coalesce(fused, half) + 0.15 * F.coalesce(lexical, half) + 0.10 * F.coalesce(vector, half)
+    return 0.55 * F.coalesce(relevance, half) + 0.20 * F.coalesce(topic_match, half) + 0.15 * F.coalesce(specificity, half) + 0.10 * F.coalesce(recency_fit, half)
 
 
 def bill_score(distance: Column, rank: Column, known: Column) -> Column:
@@ -66,10 +68,20 @@ def bill_score(distance: Column, rank: Column, known: Column) -> Column:
 
 
 def date_score(days: Column) -> Column:
-    """Points for the distance between an upload and a sitting."""
+    """Points for the distance between an upload and a sitting; none if it is unknown."""
     apart = F.abs(days)
     return F.when(apart == 0, 55).when(apart == 1, 35).when(apart <= 3, 20).when(apart <= 7, 8).otherwise(0)
 
 
+def title_score(days: Column, same_chamber: Column) -> Column:
+    """Points for the distance between the date in a title and a sitting, and for a chamber that both name."""
+    apart = F.abs(days)
+    return F.when(apart == 0, 35).when(apart == 1, 20).when(apart <= 3, 8).otherwise(0) + F.when(same_chamber, 10).otherwise(0)
+
+
 def match_confidence(points: Column) -> Column:
     return F.when(points >= 75, "high").when(points >= 60, "medium").otherwise("low")
+
+
+def match_status(confidence: Column) -> Column:
+    return F.when(confidence == "high", "auto_matched").otherwise("needs_review")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import vocabulary as v
+
 #: Accented letters and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
@@ -66,10 +68,23 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def query_terms(c: Column, stopwords: list[str], least: int = 3) -> Column:
-    """Distinct tokens in first-seen order, without short ones and stop words."""
+def words_of(c: Column, pattern: str = r"[A-Za-z][A-Za-z0-9-]{2,}") -> Column:
+    """Lower-case matches that stand as words, by default of three or more letters, digits and hyphens after a letter."""
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){pattern}(?:(?<!-)(?![\p{{L}}\p{{N}}_])|(?<=-)(?=[\p{{L}}\p{{N}}_]))"), F.lit(0)), lambda t: F.lower(t))
+
+
+def query_terms(c: Column, stopwords: list[str]) -> Column:
+    """Distinct words in first-seen order, without stop words."""
     stop = F.array(*map(F.lit, stopwords))
-    return F.array_distinct(F.filter(tokens(c), lambda t: (F.length(t) >= least) & ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(words_of(c), lambda t: ~F.array_contains(stop, t)))
+
+
+def query_intent(c: Column) -> Column:
+    """struct<topic_terms, generic_terms, has_recency, is_topical> of a query; lists in first-seen order."""
+    found = F.array_distinct(words_of(c))
+    of = lambda names: F.filter(found, lambda t: t.isin(names))
+    recent = F.lower(c).rlike("|".join(v.RECENCY_TERMS))
+    return F.struct(of(v.TOPIC_TERMS).alias("topic_terms"), of(v.GENERIC_TERMS).alias("generic_terms"), F.coalesce(recent, F.lit(False)).alias("has_recency"), (F.size(of(v.TOPIC_TERMS)) > 0).alias("is_topical"))
 
 
 def matched_terms(terms: Column, text: Column, most: int = 6) -> Column:
@@ -94,11 +109,11 @@ def first_category(text: Column, categories: dict[str, list[str]], other: str =
     return out.otherwise(F.lit(other))
 
 
-def keywords(title: Column, text: Column, stopwords: list[str], most: int = 15) -> Column:
-    """Distinct tokens of more than three letters, the title's first."""
+def keywords(title: Column, others: Column, stopwords: list[str], most: int = 15) -> Column:
+    """Distinct words of three or more characters: the title's, then those of an array of texts, in order."""
     stop = F.array(*map(F.lit, stopwords))
-    useful = lambda t: (F.length(t) > 3) & ~F.array_contains(stop, t)
-    return F.slice(F.array_distinct(F.concat(F.filter(tokens(title), useful), F.filter(tokens(text), useful))), 1, most)
+    useful = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: (F.char_length(t) >= 3) & ~F.array_contains(stop, t))
+    return F.slice(F.array_distinct(F.concat(useful(F.coalesce(title, F.lit(""))), F.flatten(F.transform(others, useful)))), 1, most)
 
 
 def to_seconds(c: Column) -> Column:
@@ -119,24 +134,39 @@ def to_timestamp_text(seconds: Column) -> Column:
     return F.concat_ws(":", padded, two(F.floor(s % 3600 / 60)), two(s % 60))
 
 
-def repaired_timestamp(raw: Column, previous: Column | None = None) -> Column:
-    """struct<seconds, reason>: the reading of a damaged timestamp.
+def duration_seconds(c: Column) -> Column:
+    """Seconds of H:MM:SS or MM:SS without bounds on minutes and seconds; null for another shape."""
+    p = F.transform(F.split(F.trim(c), ":"), lambda x: x.try_cast("long"))
+    two, three = F.get(p, F.lit(0)) * 60 + F.get(p, F.lit(1)), F.get(p, F.lit(0)) * 3600 + F.get(p, F.lit(1)) * 60 + F.get(p, F.lit(2))
+    return F.when(F.size(p) == 3, three).when(F.size(p) == 2, two)
+
+
+def timestamp_readings(raw: Column, duration: Column | None = None) -> Column:
+    """array<struct<seconds, reason>>: how a timestamp, perhaps damaged, can be read; empty if it can't.
 
-    M:S:000 is minutes and seconds with milliseconds; 49:08:00 an hour field
-    that holds minutes (over 23); 0:87:47 minutes beyond 59.
+    Of three parts the plain reading comes first, if minutes and seconds are below
+    60; then minutes and seconds whose third part is milliseconds (three digits, or
+    over 59), whose first part can't be hours (24 and more), or whose second part
+    can't be minutes.  Readings of three parts past the duration are left out.
     """
-    p = F.transform(F.split(F.trim(raw), ":"), lambda x: x.cast("int"))
-    a, b, c = (F.get(p, i) for i in range(3))
-    made = lambda s, why: F.struct(s.cast("int").alias("seconds"), F.lit(why).alias("reason"))
-    ok = F.trim(raw).rlike(r"^\d+(:\d+){1,2}$")
-    return (
-        F.when(~ok, F.struct(F.lit(None).cast("int").alias("seconds"), F.lit("invalid").alias("reason")))
-        .when(F.size(p) == 2, made(a * 60 + b, "mmss"))
-        .when(F.trim(raw).rlike(r":\d{3}$"), made(a * 60 + b, "mmss_millis"))
-        .when((a == 0) & (b > 59), made(b * 60 + c, "mmss_zero_hours"))
-        .when((a > 23) & (c == 0), made(a * 60 + b, "mmss_hours"))
-        .otherwise(made(a * 3600 + b * 60 + c, "hms"))
-    )
+    p = F.split(F.trim(raw), ":")
+    a, b, c = (F.get(p, F.lit(i)).try_cast("long") for i in range(3))
+    made = lambda s, why: F.struct(s.alias("seconds"), F.lit(why).alias("reason"))
+    millis = (F.length(F.get(p, F.lit(2))) > 2) | (c > 59)
+    plain = F.when((b <= 59) & (c <= 59), made(a * 3600 + b * 60 + c, "hms"))
+    other = F.when((b <= 59) & millis, made(a * 60 + b, "mmss_millis")).when((b <= 59) & (a >= 24), made(a * 60 + b, "mmss_hours")).when((b > 59) & (a == 0) & (c <= 59), made(b * 60 + c, "mmss_zero_hours"))
+    three = F.array_compact(F.array(plain, other))
+    if duration is not None:
+        three = F.filter(three, lambda x: duration.isNull() | (x["seconds"] <= duration))
+    none = F.array().cast("array<struct<seconds:bigint,reason:string>>")
+    shaped = F.coalesce(F.trim(raw).rlike(r"^\d{1,9}(:\d{1,9}){1,2}$"), F.lit(False))
+    return F.when(~shaped, none).when(F.size(p) == 2, F.array(made(a * 60 + b, "mmss"))).otherwise(three)
+
+
+def first_reading(readings: Column) -> Column:
+    """The reading of a sequence's first timestamp: milliseconds or hours that can't be before the plain one."""
+    better = F.filter(readings, lambda x: x["reason"].isin("mmss_millis", "mmss_hours"))
+    return F.get(F.concat(better, readings), F.lit(0))
 
 
 def to_date_or_null(c: Column, form: str = "yyyyMMdd") -> Column:
@@ -151,6 +181,12 @@ def prose_date(c: Column) -> Column:
     return F.when(day != "", F.try_to_date(F.concat_ws("-", year, F.lpad(F.array_position(months, F.lower(month)).cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"))
 
 
+def title_date(c: Column) -> Column:
+    """The date after a weekday in a title: "Tuesday 13th January, 2026"."""
+    days = r"(?i)(?<![\p{L}\p{N}_])(?:mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)\s+(\d{1,2}(?:st|nd|rd|th)?\s+(?:january|february|march|april|may|june|july|august|september|october|november|december)[,]?\s+\d{4})(?!\d)"
+    return prose_date(F.nullif(F.regexp_extract(c, days, 1), F.lit("")))
+
+
 def slash_date(c: Column) -> Column:
     """DD/MM/YYYY as ISO text."""
     p = F.split(F.trim(c), "/")
@@ -182,8 +218,22 @@ def timed_url(url: Column, seconds: Column) -> Column:
     return F.when(seconds.isNull(), url).when(url.rlike(r"[?]"), F.concat(url, F.lit("&t="), seconds.cast("string"), F.lit("s"))).otherwise(F.concat(url, F.lit("?t="), seconds.cast("string"), F.lit("s")))
 
 
+def url_seconds(url: Column) -> Column:
+    """The time in a video's URL (t=90, t=90s or t=1m30s); null if there is none."""
+    t = F.regexp_extract(url, r"[?&#]t=((?:\d+h)?(?:\d+m)?\d*s?)(?:[&#]|$)", 1)
+    part = lambda unit: F.coalesce(F.regexp_extract(t, rf"(\d+){unit}", 1).try_cast("long"), F.lit(0))
+    return F.when(t.rlike(r"^\d+s?$"), F.regexp_extract(t, r"^(\d+)", 1).try_cast("long")).when(t.rlike(r"\d"), part("h") * 3600 + part("m") * 60 + part("s"))
+
+
+def source_seconds(seconds: Column, url: Column, stamp: Column) -> Column:
+    """A source's time: its own seconds, else its URL's, else its timestamp's."""
+    return F.coalesce(seconds.cast("long"), url_seconds(url), to_seconds(stamp).cast("long"))
+
+
 def page_url(url: Column, page: Column) -> Column:
-    return F.when(page.isNotNull() & url.rlike(r"(?i)\.pdf($|[?#])"), F.concat(url, F.lit("#page="), page.cast("string"))).otherwise(url)
+    """A document's URL at a page; one that already has a page, or no page number above 0, leaves it as it is."""
+    base = F.trim(url)
+    return F.when((page > 0) & (base != "") & ~base.rlike(r"#page=\d+"), F.concat(base, F.lit("#page="), page.cast("string"))).otherwise(base)
 
 
 def citation_parts(c: Column) -> Column:
@@ -197,11 +247,52 @@ def citation_parts(c: Column) -> Column:
     )
 
 
+def citation_id(c: Column) -> Column:
+    """An id as it is cited, without a link's beginning, the source marker, and closing punctuation."""
+    out = F.regexp_replace(F.trim(c), r"(?i)^https?://[^#]+#", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)^#?src:", ""), r"(?i)^source:", "")
+    return F.trim(F.regexp_replace(out, r"[\]),.;]+$", ""))
+
+
+def citation_keys(c: Column) -> Column:
+    """What an id may be known as, best first: itself and its lower case, without or with the utterance prefix."""
+    bare = F.when(F.startswith(c, F.lit("utt_")), F.substr(c, F.lit(5))).otherwise(F.concat(F.lit("utt_"), c))
+    return F.array_distinct(F.filter(F.array(c, F.lower(c), bare, F.lower(bare)), lambda k: k != ""))
+
+
+def cited_ids(answer: Column) -> Column:
+    """Ids of #src: and source: links of an answer, in order and normalised."""
+    found = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"(?i)(?:#src:|source:)([^,\s)\]]+)"), F.lit(1))
+    return F.filter(F.transform(found, citation_id), lambda x: x != "")
+
+
 def citations_in(answer: Column) -> Column:
     """Ids cited as [id] or as a link's #src: fragment, in first-seen order."""
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"(?:\(#src:|\[)([A-Za-z0-9_-]+(?::[A-Za-z0-9_-]+)+)[)\]]"), F.lit(1)))
 
 
+def utterance_ids(ids: Column, video: Column) -> Column:
+    """Ids with the video's prefix where they are bare seconds."""
+    return F.transform(ids, lambda u: F.when(F.trim(u).rlike(r"^\d+$"), F.concat(video, F.lit(":"), F.trim(u))).otherwise(F.trim(u)))
+
+
+def anchored_evidence(evidence: Column, content: Column) -> Column:
+    """Evidence as it stands in a text: itself if it is there, else the text from the first run of 6, 5, 4 or 3 of its words that is, or from the beginning.
+
+    The snippet is 40 characters longer than the evidence, 60 at least and 220 at most.
+    """
+    words = F.filter(F.split(F.regexp_replace(evidence, r"\s", " "), " "), lambda w: w != "")
+
+    def anchors(n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.when(F.size(words) >= n, F.instr(content, F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.lit(0)))
+
+    # from the first run that is found, of the longest length that has one
+    at = F.coalesce(*[F.get(F.filter(anchors(n), lambda x: x > 0), F.lit(0)) for n in (6, 5, 4, 3)], F.lit(1))
+    length = F.least(F.lit(220), F.greatest(F.lit(60), F.char_length(evidence) + 40))
+    snippet = F.regexp_replace(F.substring(content, at, length), r"\s+$", "")
+    return F.when((evidence != "") & F.contains(content, evidence), evidence).when(F.coalesce(content, F.lit("")) == "", evidence).otherwise(F.coalesce(F.nullif(snippet, F.lit("")), evidence))
+
+
 def fenced_json(c: Column) -> Column:
     """The JSON object in a model's answer: without fences, from the first brace to the last."""
     bare = F.regexp_replace(c, r"```(?:json)?", "")

@@ -12,6 +12,10 @@ from tessera.operators.components import connected_components
 from tessera.plans.workspace import Workspace
 
 
+#: Most rows that are broadcast, and nodes of a block that are compared with as many others in one go.
+BROADCAST_ROWS, BLOCK = 1_000_000, 512
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, order: list[Column], most: int | None = None, workspace: Workspace | None = None) -> DataFrame:
     """Edges within ``hops`` of the seeds (column ``node``), each once with its first hop.
 
@@ -19,14 +23,18 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, order: list[Column], m
     is expanded once; each hop takes its first ``most`` edges in ``order``.
     """
     workspace = workspace or Workspace(edges.sparkSession, "expand")
+    edges = workspace.save(edges)
     frontier = workspace.save(seeds.select("node").where("node is not null").distinct())
     visited, found = frontier, None
     for hop in range(1, hops + 1):
-        ends = edges.select("id", F.col("source_id").alias("node")).union(edges.select("id", F.col("target_id").alias("node")))
-        ids = ends.join(frontier, "node", "left_semi").select("id").distinct()
+        near = F.broadcast(frontier) if frontier.count() <= BROADCAST_ROWS else frontier
+        step = edges
+        for end in ("source", "target"):
+            step = step.join(near.select(F.col("node").alias(f"{end}_id"), F.lit(True).alias(f"_{end}")), f"{end}_id", "left")
+        step = step.where("_source or _target").select(edges.columns)
         if found is not None:
-            ids = ids.join(found.select("id"), "id", "left_anti")
-        step = edges.join(ids, "id", "left_semi").withColumn("hop", F.lit(hop))
+            step = step.join(found.select("id"), "id", "left_anti")
+        step = step.withColumn("hop", F.lit(hop))
         if most is not None:
             step = step.orderBy(*order, "id").limit(most)
         step = workspace.save(step)
@@ -68,15 +76,21 @@ def candidate_pairs(nodes: DataFrame, similarity, least: float = 0.7, guards: li
     (generic) label merge only if they share a neighbour.
     """
     guarded = ft.normalize_label(F.col("label")).isin(v.GENERIC_LABELS if guards is None else guards)
+    folded = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), ft.fold)
     keyed = nodes.where(F.col("label").isNotNull() & (F.col("label") != "")).withColumn("block", block_key(F.col("type"), F.col("label"))).withColumn("folded", ft.fold(F.col("label"))).withColumn("guarded", guarded)
     keyed = keyed.where(F.col("block").isNotNull() & ~F.col("block").isin("", "|"))
-    names = ["id", "folded", "guarded", "aliases", "embedding", "neighbors"]
-    side = lambda n: keyed.select("type", "block", *[F.col(c).alias(f"{c}_{n}") for c in names])
-    pairs = side(1).join(side(2), ["type", "block"]).where("id_1 < id_2")
-    near = score.jaccard(F.col("neighbors_1"), F.col("neighbors_2"))
-    pairs = pairs.withColumn("near", near).where(~(F.col("guarded_1") | F.col("guarded_2")) | (F.col("near") > 0))
+    # labels decide first which pairs can still reach ``least``; a large block is dealt into parts that are compared with one another
+    parts = keyed.groupBy("type", "block").agg(F.count("*").alias("_c")).where("_c > 1").select("type", "block", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_parts"))
+    narrow = keyed.select("type", "block", "id", "folded", "guarded").join(parts, ["type", "block"])
+    narrow = narrow.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    side = lambda n, i, j: narrow.select("type", "block", F.col("_own").alias(i), F.col("_other").alias(j), *[F.col(c).alias(f"{c}_{n}") for c in ("id", "folded", "guarded")])
+    pairs = side(1, "_i", "_j").join(side(2, "_j", "_i"), ["type", "block", "_i", "_j"]).where("id_1 < id_2")
+    pairs = pairs.withColumn("_label", similarity(F.col("folded_1"), F.col("folded_2")) / 100)
+    pairs = pairs.where(0.45 * F.col("_label") + 0.55 + 1e-9 >= least).select("id_1", "id_2", "_label", (F.col("guarded_1") | F.col("guarded_2")).alias("_guarded"))
+    rest = lambda n: keyed.select(F.col("id").alias(f"id_{n}"), folded(F.col("aliases")).alias(f"aliases_{n}"), F.col("embedding").alias(f"embedding_{n}"), F.col("neighbors").alias(f"neighbors_{n}"))
+    pairs = pairs.join(rest(1), "id_1").join(rest(2), "id_2").withColumn("near", score.jaccard(F.col("neighbors_1"), F.col("neighbors_2"))).where(~F.col("_guarded") | (F.col("near") > 0))
     vector = F.greatest(F.coalesce(1 - score.cosine_distance(F.col("embedding_1"), F.col("embedding_2")), F.lit(0.0)), F.lit(0.0))
-    total = score.merge_score(similarity(F.col("folded_1"), F.col("folded_2")) / 100, vector, F.col("near"), score.jaccard(F.col("aliases_1"), F.col("aliases_2")))
+    total = score.merge_score(F.col("_label"), vector, F.col("near"), score.jaccard(F.col("aliases_1"), F.col("aliases_2")))
     return pairs.select(F.col("id_1").alias("node_id_1"), F.col("id_2").alias("node_id_2"), total.alias("score")).where(F.col("score") >= least)
 
 
@@ -121,15 +135,16 @@ def collapse_edges(edges: DataFrame, extra: list[str] | None = None) -> DataFram
     id arrays are united and sorted; evidence is the longest (first by text of
     equals); confidence and ``extra`` columns are the largest.
     """
-    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     aggregates = [F.min("id").alias("id"), F.min("earliest_seconds").alias("earliest_seconds"), F.count("*").alias("support_count"), F.max("confidence").alias("confidence")]
     have = set(edges.columns)
     if "earliest_timestamp_str" in have:
         aggregates.append(F.min_by("earliest_timestamp_str", F.struct("earliest_seconds", "earliest_timestamp_str")).alias("earliest_timestamp_str"))
-    aggregates += [united(c) for c in ("utterance_ids", "evidence_ids", "speaker_ids") if c in have]
     if "evidence" in have:
         aggregates.append(F.min(F.struct(-F.length("evidence"), "evidence"))["evidence"].alias("evidence"))
     aggregates += [F.max(c).alias(c) for c in extra or []]
+    # equal arrays are one before an edge's are put together
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    aggregates += [united(c) for c in ("utterance_ids", "evidence_ids", "speaker_ids") if c in have]
     return edges.groupBy("source_id", "predicate", "target_id", "youtube_video_id").agg(*aggregates)
 
 
@@ -171,15 +186,16 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return state.select("node", "score")
 
 
-def rank_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+def rank_edges(edges: DataFrame, ranks: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """``edges`` with edge_weight and edge_rank_score (over its maximum) from predicate priors and the ends' ranks."""
-    prior = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in v.PRIORS.items() for x in p]), F.col("predicate")), F.lit(0.0))
+    prior = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in v.PRIORS.items() for x in p]), F.col("predicate")), F.lit(v.OTHER_PRIOR))
     a, b = ranks.select(F.col("node").alias("_a"), F.col("score").alias("_ra")), ranks.select(F.col("node").alias("_b"), F.col("score").alias("_rb"))
     both = edges.join(a, F.col("source_id") == F.col("_a"), "left").join(b, F.col("target_id") == F.col("_b"), "left").fillna(0.0, ["_ra", "_rb"])
     weighed = both.withColumn("edge_weight", score.edge_weight(F.col("confidence"), F.col("support_count"), prior))
     raw = weighed.withColumn("_raw", score.edge_rank(F.col("edge_weight"), F.col("_ra"), F.col("_rb"), F.col("support_count")))
-    most = raw.agg(F.max("_raw").alias("_most"))
-    ranked = raw.join(F.broadcast(most)).withColumn("edge_rank_score", F.when(F.col("_most") > 0, F.col("_raw") / F.col("_most")).otherwise(0.0))
+    raw = (workspace or Workspace(edges.sparkSession, "ranks")).save(raw.drop("_a", "_b", "_ra", "_rb"))
+    most = raw.agg(F.max("_raw")).first()[0] or 0.0
+    ranked = raw.withColumn("edge_rank_score", F.col("_raw") / most if most > 0 else F.lit(0.0))
     return ranked.select(*edges.columns, "edge_weight", "edge_rank_score")
 
 

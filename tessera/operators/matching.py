@@ -8,38 +8,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import score
+from tessera.functions import text as ft
+from tessera.functions import vocabulary as v
+from tessera.operators.sequence import top_per_group
 
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame, by: str, seconds: str, value: str) -> DataFrame:
     """``rows`` with ``value`` replaced inside the intervals of ``overrides``.
 
     Overrides have ``by``, start, end, new_value and old_value (null: any).  The
-    interval that begins last wins; ``by`` keeps the join an equality join.
+    interval that begins last wins.  Intervals are looked up once for each
+    distinct (by, seconds, value); ``by`` keeps that an equality join.
     """
-    r, o = rows.withColumn("_row", F.struct(*rows.columns)).alias("r"), overrides.alias("o")
+    asked = rows.select(by, seconds, value).where(F.col(by).isNotNull() & F.col(seconds).isNotNull()).distinct().alias("r")
     inside = (F.col(f"r.{by}") == F.col(f"o.{by}")) & F.col(f"r.{seconds}").between(F.col("o.start"), F.col("o.end")) & (F.col("o.old_value").isNull() | (F.col("o.old_value") == F.col(f"r.{value}")))
-    best = r.join(o, inside).groupBy("r._row").agg(F.max(F.struct("o.start", "o.new_value")).alias("b"))
-    best = best.select("_row.*", F.col("b.new_value").alias("_new")).distinct()
-    keys = rows.columns
-    joined = rows.alias("r").join(best.alias("b"), [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys], "left")
-    return joined.select(*[F.coalesce(F.col("b._new"), F.col(f"r.{c}")).alias(c) if c == value else F.col(f"r.{c}") for c in keys])
+    best = asked.join(overrides.alias("o"), inside).groupBy(f"r.{by}", f"r.{seconds}", f"r.{value}").agg(F.max_by("o.new_value", F.struct("o.start", "o.new_value")).alias("_new")).toDF("_b", "_s", "_v", "_new")
+    joined = rows.join(best, (F.col(by) == F.col("_b")) & (F.col(seconds) == F.col("_s")) & F.col(value).eqNullSafe(F.col("_v")), "left")
+    return joined.withColumn(value, F.coalesce("_new", value)).select(rows.columns)
 
 
-def nearest_dates(left: DataFrame, right: DataFrame, left_key: str, left_date: str, right_key: str, right_date: str, days: int = 7, most: int = 5) -> DataFrame:
-    """For each left row up to ``most`` right rows within ``days``, with points and confidence.
+def match_papers(videos: DataFrame, papers: DataFrame, days: int = 7, candidates: int = 25, most: int = 5) -> DataFrame:
+    """The best ``most`` order papers of each video: (video, paper, day_delta, points, rank, confidence, status).
 
-    Both sides are dealt by blocks of 2 * days + 1 days, a right row into the one
-    or two blocks that its band touches, so the join is on equality of blocks.
+    Videos have video, title and uploaded; papers paper, sitting and session.  A
+    video's date is its upload's, else that in its title.  Its candidates are the
+    ``candidates`` papers nearest to it within ``days`` (then by paper), for a
+    video without a date the first of all; those get points for upload date,
+    title date and a chamber that title and session both name, 100 at most.
+
+    Only date, title date and chambers of a video count, so papers are matched
+    with the distinct ones of those, and of one day's papers only the first
+    ``candidates`` are looked at: no join grows with the square of the tables.
     """
-    width = 2 * days + 1
-    block = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01")) / width)
-    a = left.select(F.col(left_key), F.col(left_date), block(F.col(left_date)).alias("_b"))
-    b = right.select(F.col(right_key), F.col(right_date))
-    b = b.withColumn("_b", F.explode(F.array_distinct(F.array(block(F.date_sub(right_date, days)), block(F.date_add(right_date, days))))))
-    gap = F.datediff(F.col(left_date), F.col(right_date))
-    found = a.join(b, "_b").where(F.abs(gap) <= days).withColumn("day_delta", F.abs(gap)).withColumn("points", score.date_score(gap))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(left_key).orderBy(F.desc("points"), "day_delta", right_key)))
-    return ranked.where(F.col("rank") <= most).select(left_key, right_key, "day_delta", "points", "rank", score.match_confidence(F.col("points")).alias("confidence"))
+    named = lambda c: F.filter(F.array(*map(F.lit, v.CHAMBERS)), lambda w: F.contains(F.lower(F.coalesce(c, F.lit(""))), w))
+    dated = videos.withColumn("_title", ft.title_date(F.col("title"))).withColumn("_day", F.coalesce("uploaded", "_title")).withColumn("_rooms", F.array_join(named(F.col("title")), ","))
+    profiles = dated.select("_day", "_title", "_rooms").distinct()
+    daily = top_per_group(papers.select("paper", "sitting", named(F.col("session")).alias("_room")), ["sitting"], [F.col("paper")], candidates)
+    around = profiles.where("_day is not null").withColumn("sitting", F.explode(F.sequence(F.date_sub("_day", days), F.date_add("_day", days))))
+    dateless = F.broadcast(papers.select("paper", "sitting", named(F.col("session")).alias("_room")).orderBy("paper").limit(candidates))
+    found = around.join(daily, "sitting").unionByName(profiles.where("_day is null").join(dateless))
+    found = found.withColumn("day_delta", F.abs(F.datediff("_day", "sitting")))
+    key = ["_day", "_title", "_rooms"]
+    found = top_per_group(found, key, [F.col("day_delta"), F.col("paper")], candidates)
+    points = score.date_score(F.col("day_delta")) + score.title_score(F.datediff("_title", "sitting"), F.arrays_overlap(F.split("_rooms", ","), "_room"))
+    found = found.withColumn("points", F.least(F.lit(100), points))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("points"), "day_delta", "paper"))).where(F.col("rank") <= most)
+    ranked = ranked.withColumn("confidence", score.match_confidence(F.col("points"))).withColumn("status", score.match_status(F.col("confidence")))
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
+    return dated.select("video", *key).alias("v").join(ranked.alias("m"), same).select("v.video", "m.paper", "m.day_delta", "m.points", "m.rank", "m.confidence", "m.status")
+
+
+def decisions(videos: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(video, paper, points, confidence, status, candidates) for every video from ``match_papers``; without a candidate a low one to review."""
+    order = F.array_sort(F.collect_list(F.struct("rank", "paper", "points")))
+    best = ranked.groupBy("video").agg(F.min_by(F.struct("paper", "points", "confidence", "status"), "rank").alias("b"), F.transform(order, lambda x: F.struct(x["paper"].alias("paper"), x["points"].alias("points"))).alias("candidates"))
+    out = videos.select("video").join(best, "video", "left")
+    return out.select("video", "b.paper", F.coalesce("b.points", F.lit(0)).alias("points"), F.coalesce("b.confidence", F.lit("low")).alias("confidence"), F.coalesce("b.status", F.lit("needs_review")).alias("status"), F.coalesce("candidates", F.array().cast(best.schema["candidates"].dataType)).alias("candidates"))
 
 
 def overlapping(cues: DataFrame, segments: DataFrame, by: str, buffer: float = 0.0) -> DataFrame:

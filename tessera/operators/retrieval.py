@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +16,8 @@ from tessera.functions import score
 from tessera.functions import text as ft
 from tessera.functions import vocabulary as v
 from tessera.operators import graph, matching
-from tessera.operators.sequence import top_per_group
+from tessera.operators.sequence import running_number, top_per_group
+from tessera.plans.workspace import Workspace
 
 
 def vector_topk(rows: DataFrame, key: str, embedding: str, query: Sequence[float], k: int) -> DataFrame:
@@ -25,7 +30,11 @@ def vector_topk(rows: DataFrame, key: str, embedding: str, query: Sequence[float
 def lexical_search(rows: DataFrame, key: str, text: str, query: Sequence[str], k: int | None = None) -> DataFrame:
     """Rows whose text has every query term, best ``rank`` first; all of them without ``k``."""
     terms = F.array(*[F.lit(t) for t in dict.fromkeys(query)])
-    words = rows.withColumn("_w", ft.tokens(F.col(text)))
+    # texts without the terms are left out before they are split into words
+    words = rows
+    for t in dict.fromkeys(query):
+        words = words.where(F.contains(F.lower(F.col(text)), F.lit(t)))
+    words = words.withColumn("_w", ft.tokens(F.col(text)))
     for t in dict.fromkeys(query):
         words = words.where(F.array_contains("_w", t))
     found = words.withColumn("rank", ft.lexical_rank(terms, F.col("_w"))).drop("_w")
@@ -48,14 +57,18 @@ def fuse(channels: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:
     return every.groupBy(key).agg(F.array_sort(F.collect_set("channel")).alias("channels"), F.sum(score.reciprocal_rank(F.col("rank"), k)).alias("fused"))
 
 
-def boosted(fused: DataFrame, label: str, terms: Sequence[str], in_alias: Column | None = None) -> DataFrame:
-    """Fused scores with +0.10 for each of up to three query terms in the label, +0.05 for an alias, and -0.05 for a generic label."""
-    low = ft.normalize_label(F.col(label))
-    covered = sum((F.contains(low, F.lit(t)).cast("int") for t in dict.fromkeys(terms)), F.lit(0))
-    points = F.col("fused") + 0.10 * F.least(covered, F.lit(3)) + F.when(low.isin(v.GENERIC_LABELS), -0.05).otherwise(0.0)
-    if in_alias is not None:
-        points = points + F.when(in_alias, 0.05).otherwise(0.0)
-    return fused.withColumn("score", points)
+def boosted(fused: DataFrame, label: str, aliases: str, intent: Column) -> DataFrame:
+    """``fused`` with ``score``: the fused score with what label and aliases say to a query's ``text.query_intent``.
+
+    +0.10 for each of up to three topic terms that are words of them, +0.05 if one
+    occurs in them at all, +0.03 for a query after recent things, and -0.05 for a
+    topical query with general terms too if none of the topic terms is a word.
+    """
+    said = F.lower(F.concat_ws(" ", label, F.array_join(F.coalesce(aliases, F.array().cast("array<string>")), " ")))
+    shared = F.size(F.array_intersect(intent["topic_terms"], ft.words_of(said)))
+    points = 0.10 * F.least(shared, F.lit(3)) + F.when(F.exists(intent["topic_terms"], lambda t: F.contains(said, t)), 0.05).otherwise(0.0) + F.when(intent["has_recency"], 0.03).otherwise(0.0)
+    aside = (F.size(intent["generic_terms"]) > 0) & intent["is_topical"] & (shared == 0)
+    return fused.withColumn("score", F.col("fused") + points - F.when(aside, 0.05).otherwise(0.0))
 
 
 def prefer_mentioned(rows: DataFrame, label: str, aliases: str, query: str) -> DataFrame:
@@ -71,23 +84,22 @@ def seed_nodes(nodes: DataFrame, aliases: DataFrame, query: str, vector: Sequenc
 
     Nodes have id, type, label, aliases and embedding; aliases alias_norm and node_id.
     """
-    import re
-
-    terms = list(dict.fromkeys(t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) >= 3 and t not in v.STOPWORDS))
+    terms = list(dict.fromkeys(t.lower() for t in re.findall(r"\b[a-zA-Z][a-zA-Z0-9-]{2,}\b", query) if t.lower() not in v.QUERY_STOPWORDS))
+    words = list(dict.fromkeys(w for t in terms for w in re.findall("[a-z0-9]+", t)))
     described = nodes.withColumn("_text", F.concat_ws(" ", "label", F.array_join("aliases", " ")))
     channels = []
     if vector is not None:
         near = vector_topk(nodes, "id", "embedding", vector, 2 * k)
         channels.append(in_rank_order(near, "vector", [F.col("distance")], "id", 2 * k))
     if terms:
-        full = lexical_search(described, "id", "_text", terms, 2 * k)
+        full = lexical_search(described, "id", "_text", words, 2 * k)
         channels.append(in_rank_order(full, "fulltext", [-F.col("rank")], "id", 2 * k))
         phrase = described.where(F.contains(ft.normalize_label(F.col("_text")), F.lit(" ".join(terms[:2]))))
         channels.append(in_rank_order(phrase, "phrase", [F.length("label")], "id", 2 * k))
     known = aliases.where(F.col("alias_norm").isin([*terms, " ".join(query.lower().split())])).select(F.col("node_id").alias("id"))
     channels.append(in_rank_order(known, "alias", [F.lit(0)], "id", 10))
     fused = fuse(channels, "id").join(nodes.select("id", "type", "label", "aliases"), "id")
-    ranked = boosted(fused, "label", terms, F.array_contains("channels", "alias"))
+    ranked = boosted(fused, "label", "aliases", ft.query_intent(F.lit(query)))
     return prefer_mentioned(ranked, "label", "aliases", query).orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -141,7 +153,47 @@ def merge_hits(hits: DataFrame, key: str, points: str, order: str) -> DataFrame:
     return top_per_group(first, [key], [F.desc(points), F.col(order)]).withColumn(order, F.col("_first")).drop("_first")
 
 
-def grouped_sources(rows: DataFrame, group: str, position: str, order: Sequence[str]) -> DataFrame:
+def grouped_sources(rows: DataFrame, group: str, position: str, order: Sequence[str], workspace: Workspace | None = None) -> DataFrame:
     """``rows`` with a running ``number``: groups by first appearance, rows in order within them."""
-    first = rows.withColumn("_g", F.min(position).over(Window.partitionBy(group)))
-    return first.withColumn("number", F.row_number().over(Window.orderBy("_g", group, *order))).drop("_g")
+    first = rows.groupBy(F.col(group).alias("_k")).agg(F.min(position).alias("_g"))
+    found = rows.join(first, F.col(group).eqNullSafe(F.col("_k")), "left").drop("_k")
+    return running_number(found, ["_g", group, *order], "number", workspace).drop("_g")
+
+
+def nearest_of_each(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, block: int = 4096) -> DataFrame:
+    """(query, key, distance, rank): the ``k`` rows nearest to each query vector (columns query, vector), ties by key.
+
+    Exact: every query is compared with every row, in blocks.  Blocks of queries
+    are few and bounded, so each is sent to all rows; within a batch of rows the
+    distances are one matrix product, and a batch gives its ``k`` nearest only.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    asked = queries.select("query", "vector").where("vector is not null").orderBy("query").toArrow()
+    name = queries.schema["query"].dataType.simpleString()
+    sc, out = rows.sparkSession.sparkContext, None
+    for at in range(0, max(1, len(asked)), block):
+        part = asked.slice(at, block)
+        vectors = np.array(part.column("vector").to_pylist(), np.float64).reshape(len(part), -1)
+        shared = sc.broadcast((part.column("query").combine_chunks(), vectors))
+
+        def near(batches, shared=shared):
+            names, wanted = shared.value
+            norms = np.linalg.norm(wanted, axis=1)
+            for batch in batches:
+                batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), wanted.shape[1]), False))
+                if not len(batch) or not len(names):
+                    continue
+                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+                length = np.linalg.norm(own, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    apart = 1 - (wanted @ own.T) / norms[:, None] / length
+                order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
+                best = order[np.argsort(apart[:, order], axis=1, kind="stable")[:, :k]]
+                rank_of = np.take_along_axis(apart, best, 1)
+                q, r = np.nonzero(np.isfinite(rank_of))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(best[q, r])), pa.array(rank_of[q, r])], ["query", key, "distance"])
+
+        found = rows.select(key, embedding).mapInArrow(near, f"query {name}, {key} {kind}, distance double")
+        out = found if out is None else out.unionByName(found)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)))
+    return ranked.where(F.col("rank") <= k)

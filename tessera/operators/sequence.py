@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as ft
+from tessera.plans.workspace import Workspace
 
 
 def islands(rows: DataFrame, by: Sequence[str], order: Sequence[str], key: str, name: str = "island") -> DataFrame:
@@ -82,22 +83,77 @@ def block_summary(blocks: DataFrame, by: Sequence[str], start: str, end: str, nu
     return found.select(*by, "blocks", "total_seconds", F.col("_l.length").alias("longest_seconds"), F.array("_l.start", middle, "_l.end").alias("samples"))
 
 
-def repair_timestamps(rows: DataFrame, by: Sequence[str], order: str, raw: str) -> DataFrame:
-    """``rows`` with ``seconds`` and ``reason``: damaged timestamps read so that they don't fall within a sequence.
+def repair_timestamps(rows: DataFrame, by: Sequence[str], order: str, raw: str, duration: str | None = None) -> DataFrame:
+    """``rows`` with ``seconds`` and ``reason``: damaged timestamps read so that they fall as little as possible within a sequence.
 
-    A reading below the row before it takes that row's seconds (``carried``), and
-    so does an unreadable one.  As every value depends on the one repaired before
-    it, a sequence is folded as a sorted array.
+    Of a timestamp's readings the nearest one not before the row before counts;
+    if all are before it, the nearest, with ``_non_monotonic`` added to its reason.
+    The first readable row takes its likeliest reading.  A row without a reading
+    has null seconds, reason ``invalid``, and doesn't count as a row before.
+    Only a row with two readings depends on what was chosen before it, so a
+    sequence is cut after every row with one, and only the parts are folded.
     """
-    packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*rows.columns).alias("row"), ft.repaired_timestamp(F.col(raw)).alias("t")))).alias("a"))
-    item = "struct<row:{},seconds:int,reason:string>".format(rows.schema.simpleString())
-
-    def step(acc, x):
-        last = acc["last"]
-        low = x["t"]["seconds"].isNull() | (x["t"]["seconds"] < last)
-        seconds = F.when(low, last).otherwise(x["t"]["seconds"])
-        return F.struct(seconds.alias("last"), F.concat(acc["done"], F.array(F.struct(x["row"].alias("row"), seconds.alias("seconds"), F.when(low, F.lit("carried")).otherwise(x["t"]["reason"]).alias("reason")))).alias("done"))
-
-    start = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{item}>").alias("done"))
-    folded = packed.select(F.explode(F.aggregate("a", start, step)["done"]).alias("x"))
-    return folded.select("x.row.*", "x.seconds", "x.reason")
+    at = Window.partitionBy(*by).orderBy(order)
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+    read = rows.withColumn("_r", ft.timestamp_readings(F.col(raw), F.col(duration) if duration else None))
+    readable = F.size("_r") > 0
+    read = read.withColumn("_n", F.sum(readable.cast("int")).over(upto))
+    read = read.withColumn("_r", F.when(readable & (F.col("_n") == 1), F.array(ft.first_reading(F.col("_r")))).otherwise(F.col("_r")))
+    read = read.withColumn("_part", F.sum((F.size("_r") == 1).cast("int")).over(upto))
+    packed = read.groupBy(*by, "_part").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*rows.columns).alias("row"), F.col("_r").alias("r")))).alias("a"))
+
+    def step(chosen, x):
+        """The place of the reading among the row's, after those of the rows before it."""
+        last = F.element_at(chosen, -1)
+        nearest = F.array_min(F.transform(F.filter(x["r"], lambda c: c["seconds"] >= last), lambda c: c["seconds"]))
+        seconds = F.coalesce(nearest, F.array_max(F.transform(x["r"], lambda c: c["seconds"])))
+        return F.concat(chosen, F.array(F.coalesce(F.when(F.size(x["r"]) == 1, x["r"][0]["seconds"]).when(F.size(x["r"]) > 1, seconds), last)))
+
+    folded = packed.withColumn("s", F.slice(F.aggregate("a", F.array(F.lit(None).cast("long")), step), F.lit(2), F.size("a")))
+    each = folded.select(F.explode(F.arrays_zip("a", "s")).alias("x")).select("x.a.row.*", F.when(F.size("x.a.r") > 0, F.col("x.s")).alias("seconds"), F.col("x.a.r").alias("_r"))
+    before = F.last("seconds", ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1))
+    reason = F.filter("_r", lambda c: c["seconds"] == F.col("seconds"))[0]["reason"]
+    falls = (before > F.col("seconds")) & (reason != "mmss")
+    return each.withColumn("reason", F.when(F.col("seconds").isNull(), "invalid").when(falls, F.concat(reason, F.lit("_non_monotonic"))).otherwise(reason)).drop("_r")
+
+
+def running_number(rows: DataFrame, order: Sequence[str], name: str, workspace: Workspace | None = None, each: int = 500_000) -> DataFrame:
+    """``rows`` with their 1-based place in one order over all of them.
+
+    Ranges of the order are numbered apart, about ``each`` rows in one, and
+    shifted by the number of rows before them, so no task holds the table.
+    """
+    workspace = workspace or Workspace(rows.sparkSession, "numbers")
+    parts = max(1, -(-rows.count() // each))
+    dealt = workspace.save(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    # as many rows as ranges
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return numbered.join(sizes.select("_range", before.alias("_before")), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def timeline(sequences: DataFrame, key: str, duration: Column, length: int, overlap: int) -> DataFrame:
+    """(key, segment, start, end) in seconds: segments of ``length`` begun ``length - overlap`` after one another, the last cut off at the duration.
+
+    A segment that reaches the end is the last one; no duration, no segment.
+    """
+    if not 0 <= overlap < length:
+        raise ValueError("the overlap must be shorter than a segment")
+    stride = length - overlap
+    last = F.greatest(F.ceil((duration - length) / stride), F.lit(0)).cast("long")
+    rows = sequences.where(duration > 0).select(key, duration.cast("long").alias("_d"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("segment"))
+    start = F.col("segment") * stride
+    return rows.select(key, "segment", start.alias("start"), F.least(start + length, F.col("_d")).alias("end"))
+
+
+def shift_segments(rows: DataFrame, by: Sequence[str], seconds: str, start: str, tolerance: int = 2) -> DataFrame:
+    """``rows`` with times that a segment gives from its own beginning moved to its start: all of a segment, if its first is more than ``tolerance`` before the start."""
+    least = F.min(seconds).over(Window.partitionBy(*by))
+    return rows.withColumn(seconds, F.when(least < F.col(start) - tolerance, F.col(seconds) + F.col(start)).otherwise(F.col(seconds)))
+
+
+def outside_band(rows: DataFrame, seconds: str, low: Column, high: Column, tolerance: int = 2) -> DataFrame:
+    """Rows before or after a band of time widened by ``tolerance``; all where the band is null (a first segment has none)."""
+    within = F.col(seconds).between(low - tolerance, high + tolerance)
+    return rows.where(~F.coalesce(within, F.lit(False)))

@@ -32,11 +32,27 @@ def range_override(spark, sf_dir):
     return matching.apply_overrides(talk, one.union(two), "conv_id", "turn", "role")
 
 
+def _sittings(spark, sf_dir):
+    """Orders of two priorities as videos and order papers; titles name a chamber, and some a date up to four days later."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    said = F.date_format(F.date_add("day", (F.col("o_orderkey") % 5).cast("int")), "EEEE d'th' MMMM, yyyy")
+    title = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("The Honourable The House - "), said, F.lit(" - Part 1"))).when(F.col("o_orderkey") % 3 == 1, "Senate sitting").otherwise("Committee Feed")
+    videos = orders.where("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("video"), title.alias("title"), F.when(F.col("o_orderkey") % 4 > 0, F.col("day")).alias("uploaded"))
+    session = F.when(F.col("o_orderkey") % 2 == 0, "House of Assembly Session").otherwise("Senate Session")
+    papers = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("paper"), F.col("day").alias("sitting"), session.alias("session"))
+    return videos, papers
+
+
 def nearest_dates(spark, sf_dir):
-    videos = table(spark, sf_dir, "orders").where("o_orderpriority = '2-HIGH' and o_totalprice > 400000").select(F.col("o_orderkey").alias("video"), F.to_date("o_orderdate").alias("uploaded"))
-    papers = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 450000").select(F.col("o_orderkey").alias("paper"), F.to_date("o_orderdate").alias("sitting"))
-    found = matching.nearest_dates(videos, papers, "video", "uploaded", "paper", "sitting")
-    return found.select("video", "paper", F.col("day_delta").cast("long").alias("day_delta"), F.col("points").cast("long").alias("points"), F.col("rank").cast("long").alias("rank"), "confidence")
+    found = matching.match_papers(*_sittings(spark, sf_dir))
+    whole = {c: F.col(c).cast("long") for c in ("day_delta", "points", "rank")}
+    return found.withColumns(whole).withColumn("day_delta", F.coalesce("day_delta", F.lit(-1)))
+
+
+def order_paper_decisions(spark, sf_dir):
+    videos, papers = _sittings(spark, sf_dir)
+    found = matching.decisions(videos, matching.match_papers(videos, papers))
+    return found.select("video", F.coalesce("paper", F.lit(-1)).alias("paper"), F.col("points").cast("long").alias("points"), "confidence", "status", F.array_join(F.transform("candidates", lambda c: c["paper"].cast("string")), ",").alias("candidates"))
 
 
 def kth_occurrence(spark, sf_dir):
@@ -121,10 +137,6 @@ def categories(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ft.first_category(F.col("text"), CATEGORIES).alias("category"))
 
 
-def keywords(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(ft.keywords(F.col("source"), F.col("text"), v.STOPWORDS), " ").alias("keywords"))
-
-
 def allowed_edges(spark, sf_dir):
     rows = edges(spark, sf_dir).withColumn("predicate", F.when(F.col("predicate") == "A", "AGREE_WITH").when(F.col("predicate") == "N", "GOVERNS").otherwise("OTHER"))
     return rows.withColumn("predicate", graph.remapped(F.col("predicate"), v.PREDICATES, v.PREDICATE_REMAPS)).where("predicate is not null").groupBy("predicate").agg(F.count("*").alias("edges"))
@@ -135,6 +147,7 @@ QUERIES = {
     "semi_endpoint_filter": endpoint_filter,
     "range_override_join": range_override,
     "nearest_date_band": nearest_dates,
+    "order_paper_decisions": order_paper_decisions,
     "kth_occurrence_join": kth_occurrence,
     "array_posexplode_remap": remap_arrays,
     "tiered_resolution": tiers,
@@ -148,28 +161,32 @@ QUERIES = {
     "group_counts": group_counts,
     "html_fields": page_fields,
     "category_keyword": categories,
-    "keywords15": keywords,
     "remap_allowlist": allowed_edges,
 }
 
 _SPLIT = """WITH rows AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer),
 o AS (SELECT * FROM rows WHERE c_custkey % 3 <> 0),
 n AS (SELECT c_custkey, upper(c_name) AS c_name, c_nationkey, CASE WHEN c_custkey % 5 > 0 THEN lower(c_mktsegment) END AS c_mktsegment FROM rows WHERE c_custkey % 3 <> 1)"""
-_STOP = ", ".join(f"'{w}'" for w in v.STOPWORDS)
-_WORDS = lambda c: f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: length(x) > 3 AND x NOT IN ({_STOP}))"
+_RANKED = """WITH v AS (SELECT *, coalesce(uploaded, said) AS base FROM (SELECT o_orderkey AS video, CASE o_orderkey % 3 WHEN 0 THEN 'house' WHEN 1 THEN 'senate' ELSE '' END AS room, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderdate AS DATE) END AS uploaded,
+    CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) END AS said FROM orders WHERE o_orderpriority = '2-HIGH')),
+p AS (SELECT o_orderkey AS paper, CAST(o_orderdate AS DATE) AS sitting, CASE WHEN o_orderkey % 2 = 0 THEN 'house' ELSE 'senate' END AS session FROM orders WHERE o_orderpriority = '1-URGENT'),
+near AS (SELECT v.*, p.*, abs(date_diff('day', sitting, base)) AS day_delta FROM v JOIN p ON sitting BETWEEN base - 7 AND base + 7
+  UNION ALL SELECT v.*, p.*, NULL FROM v, (SELECT * FROM p ORDER BY paper LIMIT 25) p WHERE base IS NULL),
+few AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY video ORDER BY day_delta, paper) <= 25),
+scored AS (SELECT *, CAST(least(100, CASE WHEN day_delta = 0 THEN 55 WHEN day_delta = 1 THEN 35 WHEN day_delta <= 3 THEN 20 WHEN day_delta <= 7 THEN 8 ELSE 0 END + CASE WHEN said = sitting THEN 35 WHEN abs(date_diff('day', said, sitting)) = 1 THEN 20
+  WHEN abs(date_diff('day', said, sitting)) <= 3 THEN 8 ELSE 0 END + CASE WHEN room = session THEN 10 ELSE 0 END) AS BIGINT) AS points FROM few),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY points DESC, day_delta, paper) AS rank FROM scored QUALIFY rank <= 5)"""
 SQL = {
     "anti_join_unmatched": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "semi_endpoint_filter": """SELECT 'e-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'c' || o_custkey AS source_id, 'p' || l_partkey AS target_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""",
     "range_override_join": """SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND turn BETWEEN 2 AND 4 AND role = 'user' THEN 'guest' WHEN conv_id % 3 = 0 AND turn BETWEEN 1 AND 2 THEN 'moderator' ELSE role END AS role FROM conversations""",
-    "nearest_date_band": """WITH f AS (SELECT a.o_orderkey AS video, b.o_orderkey AS paper, abs(date_diff('day', CAST(b.o_orderdate AS DATE), CAST(a.o_orderdate AS DATE))) AS day_delta FROM orders a JOIN orders b
-  ON a.o_orderpriority = '2-HIGH' AND a.o_totalprice > 400000 AND b.o_orderpriority = '1-URGENT' AND b.o_totalprice > 450000 AND abs(date_diff('day', CAST(b.o_orderdate AS DATE), CAST(a.o_orderdate AS DATE))) <= 7),
-p AS (SELECT *, CASE WHEN day_delta = 0 THEN 55 WHEN day_delta = 1 THEN 35 WHEN day_delta <= 3 THEN 20 ELSE 8 END AS points FROM f)
-SELECT video, paper, day_delta, CAST(points AS BIGINT) AS points, row_number() OVER w AS rank, CASE WHEN points >= 75 THEN 'high' WHEN points >= 60 THEN 'medium' ELSE 'low' END AS confidence
-FROM p WINDOW w AS (PARTITION BY video ORDER BY points DESC, day_delta, paper) QUALIFY rank <= 5""",
-    "kth_occurrence_join": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linenumber > 3 ORDER BY l_orderkey, l_linenumber, l_partkey) AS occurrence FROM lineitem)
-SELECT a.l_suppkey, a.l_returnflag, a.occurrence, a.l_orderkey AS left_order, b.l_orderkey AS right_order FROM x a JOIN x b
-ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = b.l_returnflag AND a.occurrence = b.occurrence AND a.l_linenumber <= 3 AND b.l_linenumber > 3""",
+    "nearest_date_band": f"{_RANKED} SELECT video, paper, coalesce(day_delta, -1) AS day_delta, points, rank, CASE WHEN points >= 75 THEN 'high' WHEN points >= 60 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN points >= 75 THEN 'auto_matched' ELSE 'needs_review' END AS status FROM ranked",
+    "order_paper_decisions": f"""{_RANKED} SELECT video, coalesce(min(paper) FILTER (rank = 1), -1) AS paper, coalesce(max(points) FILTER (rank = 1), 0) AS points, CASE WHEN max(points) >= 75 THEN 'high' WHEN max(points) >= 60 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN max(points) >= 75 THEN 'auto_matched' ELSE 'needs_review' END AS status, coalesce(string_agg(paper, ',' ORDER BY rank), '') AS candidates FROM v LEFT JOIN ranked USING (video) GROUP BY video""",
+    "kth_occurrence_join": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linenumber > 3 ORDER BY l_orderkey, l_linenumber, l_partkey) AS occurrence FROM lineitem),
+a AS MATERIALIZED (SELECT l_suppkey, l_returnflag, occurrence, l_orderkey AS left_order FROM x WHERE l_linenumber <= 3), b AS MATERIALIZED (SELECT l_suppkey, l_returnflag, occurrence, l_orderkey AS right_order FROM x WHERE l_linenumber > 3)
+SELECT l_suppkey, l_returnflag, occurrence, left_order, right_order FROM a JOIN b USING (l_suppkey, l_returnflag, occurrence)""",
     "array_posexplode_remap": """SELECT l_orderkey, string_agg(CASE WHEN l_partkey % 2 = 0 THEN p_brand ELSE CAST(l_partkey AS VARCHAR) END, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
     "tiered_resolution": """SELECT o_orderkey, CAST(CASE WHEN a.c_custkey IS NOT NULL THEN a.c_nationkey WHEN b.c_custkey IS NOT NULL THEN b.c_nationkey ELSE -1 END AS BIGINT) AS nation, CAST(CASE WHEN a.c_custkey IS NOT NULL THEN 0 WHEN b.c_custkey IS NOT NULL THEN 1 ELSE -1 END AS BIGINT) AS tier
 FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey AND a.c_custkey % 3 = 0 LEFT JOIN customer b ON o_custkey % 100 = b.c_custkey AND b.c_custkey < 100 AND b.c_custkey % 2 = 0""",
@@ -185,8 +202,5 @@ FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey AND a.c_custkey % 3
   regexp_extract(html, 'href="([^"]*)"', 1) AS link, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang FROM pages""",
     "category_keyword": """SELECT doc_id, CASE WHEN lower(text) LIKE '%license%' OR lower(text) LIKE '%apache%' OR lower(text) LIKE '%gnu%' THEN 'license' WHEN contains(text, '@') OR lower(text) LIKE '%token%' THEN 'contact'
   WHEN contains(text, ' | ') THEN 'table' ELSE 'other' END AS category FROM documents""",
-    "keywords15": f"""SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY p), '') AS keywords FROM (SELECT doc_id, t, p FROM (
-  SELECT doc_id, t, min(p) AS p FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, {_WORDS("source || ' ' || text")} AS w FROM documents)) GROUP BY ALL)
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p) <= 15) RIGHT JOIN (SELECT doc_id FROM documents) USING (doc_id) GROUP BY doc_id""",
     "remap_allowlist": """SELECT CASE l_returnflag WHEN 'A' THEN 'AGREES_WITH' ELSE 'GOVERNS' END AS predicate, count(*) AS edges FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'N') GROUP BY 1""",
 }

@@ -34,10 +34,10 @@ def collapse_edges(spark, sf_dir):
 
 
 def edge_weight_rank(spark, sf_dir):
-    """Weights with priors by line, and ranks by the ends' degrees over the largest degree."""
+    """Weights with priors by line (that of a predicate without one is 0.1), and ranks by the ends' degrees over the largest degree."""
     all_edges = edges(spark, sf_dir)
     degree = graph.node_degree(all_edges).withColumn("score", score.max_normalized(F.col("degree")))
-    merged = graph.collapse_edges(all_edges).withColumn("predicate", F.when(F.col("predicate") == "A", "AMENDS").when(F.col("predicate") == "N", "GOVERNS").otherwise("QUESTIONS"))
+    merged = graph.collapse_edges(all_edges).withColumn("predicate", F.when(F.col("predicate") == "A", "AMENDS").when(F.col("predicate") == "N", "GOVERNS").otherwise("OUTSIDE_THE_LIST"))
     found = graph.rank_edges(merged, degree)
     return found.select("id", F.round("edge_weight", 6).alias("edge_weight"), F.round("edge_rank_score", 6).alias("edge_rank_score"))
 
@@ -69,30 +69,29 @@ def fuzzy_pairs(spark, sf_dir):
     return found.select("node_id_1", "node_id_2", F.round("score", 6).alias("score"))
 
 
-def _small_links(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
-    day = F.date_format("o_orderdate", "yyyyMMdd").cast("long") + 1_000_000_000
-    return orders.select(F.col("o_custkey").cast("long").alias("a"), day.alias("b")).distinct()
+def _links(spark, sf_dir):
+    """Every customer with the parts ordered in quantities of 50: many small components besides a few larger ones."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(F.col("o_custkey").cast("long").alias("a"), (F.col("l_partkey") + 1_000_000_000_000).alias("b")).distinct()
 
 
 def components(spark, sf_dir):
-    return connected_components(_small_links(spark, sf_dir), "a", "b")
+    return connected_components(_links(spark, sf_dir), "a", "b")
 
 
 def canonical_pick(spark, sf_dir):
-    links = _small_links(spark, sf_dir)
+    links = _links(spark, sf_dir)
     pairs = links.select(F.col("a").alias("node_id_1"), F.col("b").alias("node_id_2"), F.lit(1.0).alias("score"))
     facts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    facts = facts.withColumn("label", F.col("id").cast("string")).withColumn("alias_count", F.lit(0)).withColumn("is_speaker", F.col("id") < 1_000_000_000)
+    facts = facts.withColumn("label", F.col("id").cast("string")).withColumn("alias_count", F.lit(0)).withColumn("is_speaker", F.col("id") < 1_000_000_000_000)
     return graph.merge_map(pairs, facts).select("old_id", "canonical_id", "cluster")
 
 
 def pagerank(spark, sf_dir):
-    """Rank of nations and regions under orders' customers: customer to nation to region."""
-    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    a = customers.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("target_id"))
-    b = nations.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target_id"))
-    found = graph.pagerank(a.union(b), spark.createDataFrame([], "id string"))
+    """Twenty rounds over customers' edges to parts and, for returned ones, back."""
+    forth = edges(spark, sf_dir)
+    back = forth.where("predicate = 'R'").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    found = graph.pagerank(forth.select("source_id", "target_id").union(back), spark.createDataFrame([("alone",)], "id string"), rounds=20, tolerance=0.0)
     return found.select("node", F.round("score", 9).alias("score"))
 
 
@@ -122,10 +121,17 @@ _MERGED = f"""WITH {EDGES}, merged AS (
   SELECT min(id) AS id, source_id, predicate, target_id, youtube_video_id, min(earliest_seconds) AS earliest_seconds, count(*) AS support_count, max(confidence) AS confidence,
     array_to_string(list_sort(list_distinct(flatten(list(utterance_ids)))), ',') AS utterance_ids
   FROM edges GROUP BY source_id, predicate, target_id, youtube_video_id)"""
-_LINKS = """links AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) + 1000000000 AS b FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+_LINKS = """links AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, l_partkey + 1000000000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50),
 both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT DISTINCT x AS node, x AS root FROM both_ways UNION SELECT y, root FROM reach JOIN both_ways ON node = x),
-parts AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"""
+reach(node, component) USING KEY (node) AS (SELECT x, min(least(x, y)) FROM both_ways GROUP BY x
+  UNION SELECT y, min(r.component) FROM reach r JOIN both_ways ON r.node = x JOIN recurring.reach o ON o.node = y WHERE r.component < o.component GROUP BY y),
+parts AS (SELECT node, component FROM reach)"""
+_FORTH = f"""WITH RECURSIVE {EDGES}, links AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges WHERE predicate = 'R'),
+every AS MATERIALIZED (SELECT a AS node FROM links UNION SELECT b FROM links UNION SELECT 'alone'), fans AS MATERIALIZED (SELECT a, count(*) AS fan FROM links GROUP BY a), n AS (SELECT count(*) AS n FROM every),
+rounds AS (SELECT 0 AS i, node, 1.0 / (SELECT n FROM n) AS score FROM every
+  UNION ALL SELECT i + 1, node, 0.15 / (SELECT n FROM n) + 0.85 * sum(loose) OVER () / (SELECT n FROM n) + 0.85 * coalesce(got, 0) FROM (
+    SELECT r.i, r.node, CASE WHEN f.a IS NULL THEN r.score ELSE 0 END AS loose, g.got FROM rounds r LEFT JOIN fans f ON r.node = f.a LEFT JOIN (
+      SELECT b, sum(score / fan) AS got FROM rounds JOIN links ON node = links.a JOIN fans ON links.a = fans.a GROUP BY b) g ON r.node = g.b) WHERE i < 20)"""
 SQL = {
     "edge_expand_1hop": f"{_HOP1} SELECT id, source_id, target_id, CAST(1 AS BIGINT) AS hop FROM one",
     "edge_expand_2hop": f"""{_HOP1}, ends AS (SELECT source_id AS n FROM one UNION SELECT target_id FROM one)
@@ -134,7 +140,7 @@ SELECT id, source_id, target_id, CAST(CASE WHEN id IN (SELECT id FROM one) THEN
     "collapse_edges": f"{_MERGED} SELECT * FROM merged",
     "edge_weight_rank": f"""{_MERGED}, degree AS (SELECT node, count(*) AS d FROM (SELECT source_id AS node FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY node),
 part_of AS (SELECT node, d / (SELECT max(d) FROM degree) AS s FROM degree),
-weighed AS (SELECT m.*, 0.5 * confidence + 0.35 * least(ln(1 + support_count) / 10, 1) + 0.15 * CASE predicate WHEN 'A' THEN 0.10 WHEN 'N' THEN 0.15 ELSE 0.005 END AS w, a.s AS sa, b.s AS sb
+weighed AS (SELECT m.*, 0.5 * least(ln(1 + support_count) / 10, 1) + 0.35 * confidence + 0.15 * CASE predicate WHEN 'A' THEN 0.10 WHEN 'N' THEN 0.15 ELSE 0.1 END AS w, a.s AS sa, b.s AS sb
   FROM merged m JOIN part_of a ON source_id = a.node JOIN part_of b ON target_id = b.node),
 raw AS (SELECT *, w * (sa + sb) / 2 * ln(1 + support_count) AS r FROM weighed)
 SELECT id, round(w, 6) AS edge_weight, round(r / (SELECT max(r) FROM raw), 6) AS edge_rank_score FROM raw""",
@@ -146,7 +152,8 @@ p AS (SELECT a.id AS node_id_1, b.id AS node_id_2, 0.45 * CASE WHEN a.l = b.l TH
 SELECT node_id_1, node_id_2, round(score, 6) AS score FROM p WHERE score >= 0.85""",
     "connected_components": f"WITH RECURSIVE {_LINKS} SELECT node, component FROM parts",
     "canonical_pick": f"""WITH RECURSIVE {_LINKS}, degree AS (SELECT x AS node, count(*) AS d FROM both_ways GROUP BY x)
-SELECT node AS old_id, first_value(node) OVER (PARTITION BY component ORDER BY node >= 1000000000, d DESC, length(CAST(node AS VARCHAR)) DESC, node) AS canonical_id, component AS cluster FROM parts JOIN degree USING (node)""",
+SELECT node AS old_id, first_value(node) OVER (PARTITION BY component ORDER BY node >= 1000000000000, d DESC, length(CAST(node AS VARCHAR)) DESC, node) AS canonical_id, component AS cluster FROM parts JOIN degree USING (node)""",
+    "pagerank": f"{_FORTH} SELECT node, round(score, 9) AS score FROM rounds WHERE i = 20",
     "normalize_label_ids_slug": r"""SELECT p_partkey, regexp_replace(trim(lower('  The  ' || p_name || chr(9) || upper(p_brand))), '\s+', ' ', 'g') AS label,
   regexp_replace(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9\s_-]', '', 'g'), '[\s-]+', '_', 'g') AS slug, 'kg_' || substr(md5(p_type || ':' || lower(p_name)), 1, 12) AS id FROM part""",
 }

@@ -18,13 +18,18 @@ _NEAR = """(SELECT e.vec_id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUB
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
 
 
-def _query_vector(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+def vector_topk(spark, sf_dir):
+    """The 20 nearest rows to every row whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = retrieval.nearest_of_each(rows, asked, "vec_id", "embedding", 20)
+    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-def vector_topk(spark, sf_dir):
-    found = retrieval.vector_topk(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 20)
-    return found.select("vec_id", "label", F.round("distance", 6).alias("distance"))
+def _near_first(spark, sf_dir, k):
+    rows = table(spark, sf_dir, "embeddings")
+    wanted = rows.where("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return retrieval.nearest_of_each(rows, wanted, "vec_id", "embedding", k)
 
 
 def lexical_match_rank(spark, sf_dir):
@@ -32,12 +37,19 @@ def lexical_match_rank(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    near = retrieval.vector_topk(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 40).withColumnRenamed("vec_id", "doc_id")
+    near = _near_first(spark, sf_dir, 40).withColumnRenamed("vec_id", "doc_id")
     full = retrieval.lexical_search(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS).withColumn("rank", F.round("rank", 6))
     channels = [retrieval.in_rank_order(near, "vector", [F.round("distance", 6)], "doc_id", 40), retrieval.in_rank_order(full, "fulltext", [-F.col("rank")], "doc_id", 40)]
     return retrieval.fuse(channels, "doc_id").select("doc_id", F.array_join("channels", ",").alias("channels"), F.round("fused", 6).alias("fused"))
 
 
+def boosted_fusion(spark, sf_dir):
+    """Documents' texts with fused scores by id, boosted for a topical query."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("aliases"), (1 / (60 + F.col("doc_id") % 40 + 1)).alias("fused"))
+    found = retrieval.boosted(rows, "text", "aliases", ft.query_intent(F.lit("latest bill on the road tax, the bus and src0")))
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 def hybrid_score_cap(spark, sf_dir):
     docs = retrieval.lexical_search(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS).withColumn("rank", F.round("rank", 6)).join(table(spark, sf_dir, "labels"), "doc_id")
     points = F.round(score.bill_score(F.lit(0.5), F.col("rank") / 100, F.col("quality") == 1), 6)
@@ -45,7 +57,7 @@ def hybrid_score_cap(spark, sf_dir):
 
 
 def query_terms(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(ft.query_terms(F.col("text"), v.STOPWORDS), " ").alias("terms"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(ft.query_terms(F.col("text"), v.QUERY_STOPWORDS), " ").alias("terms"))
 
 
 def _views(spark, sf_dir):
@@ -127,6 +139,7 @@ QUERIES = {
     "vector_topk": vector_topk,
     "lexical_match_rank": lexical_match_rank,
     "rrf_fusion": rrf_fusion,
+    "rrf_boosts": boosted_fusion,
     "hybrid_score_cap_per_group": hybrid_score_cap,
     "query_terms": query_terms,
     "trend_daily": trend_daily,
@@ -144,10 +157,13 @@ QUERIES = {
     "top1_by_priority": top_roles,
 }
 
-_STOP = ", ".join(f"'{w}'" for w in v.STOPWORDS)
+_STOP = ", ".join(f"'{w}'" for w in v.QUERY_STOPWORDS)
 _DAILY = "(SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS mentions FROM events WHERE event_type = 'view' GROUP BY 1)"
 SQL = {
-    "vector_topk": f"SELECT vec_id, label, round(d, 6) AS distance FROM {_NEAR} JOIN embeddings USING (vec_id) ORDER BY d, vec_id LIMIT 20",
+    "vector_topk": """SELECT query, vec_id, round(d, 6) AS distance FROM (SELECT q.vec_id AS query, e.vec_id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, vec_id) <= 20""",
+    "rrf_boosts": r"""SELECT doc_id, round(1 / (60 + doc_id % 40 + 1) + 0.03 + 0.1 * least(len(list_intersect(w, ['road', 'tax', 'bus'])), 3) + CASE WHEN contains(t, 'road') OR contains(t, 'tax') OR contains(t, 'bus') THEN 0.05 ELSE 0 END
+  - CASE WHEN len(list_intersect(w, ['road', 'tax', 'bus'])) = 0 THEN 0.05 ELSE 0 END, 6) AS score FROM (SELECT doc_id, t, list_distinct(regexp_extract_all(regexp_replace(t, '[^[:ascii:]]', '_', 'g'), '\b[a-z][a-z0-9-]{2,}\b')) AS w FROM (SELECT doc_id, lower(concat_ws(' ', text, source)) AS t FROM documents))""".replace("\\\\", "\\"),
     "lexical_match_rank": f"SELECT doc_id, rank FROM {_RANK}",
     "rrf_fusion": f"""WITH ranked AS (
   (SELECT vec_id AS doc_id, 'vector' AS channel, row_number() OVER (ORDER BY round(d, 6), vec_id) AS r FROM (SELECT * FROM {_NEAR} ORDER BY d, vec_id LIMIT 40))
@@ -156,9 +172,9 @@ SELECT doc_id, string_agg(channel, ',' ORDER BY channel) AS channels, round(sum(
     "hybrid_score_cap_per_group": f"""WITH scored AS (SELECT doc_id, source, round(0.75 * 0.5 + 0.25 * least(rank / 100, 1.0) + CASE WHEN quality = 1 THEN 0.08 ELSE 0 END, 6) AS score
   FROM {_RANK} JOIN labels USING (doc_id) JOIN documents USING (doc_id))
 SELECT doc_id, source, score FROM scored QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 2 ORDER BY score DESC, doc_id LIMIT 25""",
-    "query_terms": f"""SELECT item_id, coalesce(string_agg(t, ' ' ORDER BY p), '') AS terms FROM (
-  SELECT item_id, t, min(p) AS p FROM (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark))
-  WHERE length(t) >= 3 AND t NOT IN ({_STOP}) GROUP BY ALL) RIGHT JOIN (SELECT item_id FROM benchmark) USING (item_id) GROUP BY item_id""",
+    "query_terms": rf"""SELECT item_id, coalesce(string_agg(t, ' ' ORDER BY p), '') AS terms FROM (
+  SELECT item_id, t, min(p) AS p FROM (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (SELECT item_id, list_transform(regexp_extract_all(regexp_replace(text, '[^[:ascii:]]', '_', 'g'), '\b[a-zA-Z][a-zA-Z0-9-]{{2,}}\b'), lambda x: lower(x)) AS w FROM benchmark))
+  WHERE t NOT IN ({_STOP}) GROUP BY ALL) RIGHT JOIN (SELECT item_id FROM benchmark) USING (item_id) GROUP BY item_id""",
     "trend_daily": f"SELECT CAST(day AS VARCHAR) AS day, mentions FROM {_DAILY}",
     "trend_summary": f"""SELECT CAST(sum(mentions) AS BIGINT) AS total, round(sum(mentions) / count(*), 6) AS mean, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, max(mentions) AS peak,
   (SELECT CAST(day AS VARCHAR) FROM {_DAILY} ORDER BY mentions DESC, day LIMIT 1) AS peak_day FROM {_DAILY}""",

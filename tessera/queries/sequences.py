@@ -76,12 +76,30 @@ def timestamps(spark, sf_dir):
 
 
 def repaired_timestamps(spark, sf_dir):
-    """Every third stamp loses its hours to minutes with milliseconds, every fifth its order."""
-    rows = table(spark, sf_dir, "events").where("event_id % 50 < 20").select((F.floor(F.col("event_id") / 50)).alias("video"), F.col("event_id").alias("pos"), (F.col("event_id") % 50 * 7).alias("s"))
-    minute, second = F.lpad(F.floor(F.col("s") / 60).cast("string"), 2, "0"), F.lpad((F.col("s") % 60).cast("string"), 2, "0")
-    raw = F.when(F.col("pos") % 5 == 0, F.lit("00:00:00")).when(F.col("pos") % 3 == 0, F.concat(minute, F.lit(":"), second, F.lit(":000"))).otherwise(F.concat(F.lit("00:"), minute, F.lit(":"), second))
-    found = sequence.repair_timestamps(rows.select("video", "pos", raw.alias("raw")), ["video"], "pos", "raw")
-    return found.select("video", "pos", F.col("seconds").cast("long").alias("seconds"), "reason")
+    """Every fifty events are a sequence of stamps, each damaged in one of seven ways; the sequences of even number have a duration."""
+    s, kind = F.col("pos") % 50 * 41, F.col("pos") % 7
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    minute, second = two(s / 60), two(s % 60)
+    raw = F.when(kind == 0, F.concat(minute, F.lit(":"), second, F.lit(":000"))).when(kind == 1, F.concat(minute, F.lit(":"), second, F.lit(":00"))).when(kind == 2, F.concat(minute, F.lit(":"), second)).when(kind == 3, "0:03:19")
+    raw = raw.when(kind == 4, F.concat(F.lit("0:"), two(60 + s / 60), F.lit(":"), second)).when(kind == 5, "unread").otherwise(F.concat(F.lit("00:"), minute, F.lit(":"), second))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos")).withColumn("video", F.floor(F.col("pos") / 50)).withColumn("raw", raw)
+    rows = rows.withColumn("duration", F.when(F.col("video") % 2 == 0, F.lit(9000).cast("long")))
+    found = sequence.repair_timestamps(rows, ["video"], "pos", "raw", "duration")
+    return found.select("video", "pos", F.coalesce("seconds", F.lit(-1)).alias("seconds"), "reason")
+
+
+def segment_timeline(spark, sf_dir):
+    """Segments of ten minutes that overlap by one, for videos as long as events' values in seconds."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("value") * 30).alias("d"))
+    return sequence.timeline(rows, "event_id", F.col("d"), 600, 60)
+
+
+def shifted_segments(spark, sf_dir):
+    """Conversations as segments that begin at a minute each, some with times of their own; then what the band before keeps."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 4 * 60).alias("start"), (F.col("turn") * 5 + F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") % 4 * 60).otherwise(0)).alias("seconds"))
+    moved = sequence.shift_segments(rows, ["conv_id"], "seconds", "start")
+    band = F.when(F.col("start") > 0, F.col("start"))
+    return sequence.outside_band(moved, "seconds", band, band + 8).select("conv_id", "turn", "seconds")
 
 
 QUERIES = {
@@ -95,6 +113,8 @@ QUERIES = {
     "moving_avg7": moving_average,
     "ts_format_parse": timestamps,
     "timestamp_repair": repaired_timestamps,
+    "segment_timeline": segment_timeline,
+    "segment_shift_dedupe": shifted_segments,
 }
 
 SQL = {
@@ -124,8 +144,22 @@ SELECT conv_id, role, count(*) AS blocks, CAST(sum(e - s) AS BIGINT) AS total_se
 FROM (SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS mentions FROM events GROUP BY 1)""",
     "ts_format_parse": """SELECT event_id, s AS seconds, format('{:02d}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) AS stamp, s AS parsed
 FROM (SELECT event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS s FROM events)""",
-    "timestamp_repair": """WITH rows AS (SELECT event_id // 50 AS video, event_id AS pos, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 50 * 7 END AS s,
-  CASE WHEN event_id % 5 = 0 THEN 'hms' WHEN event_id % 3 = 0 THEN 'mmss_millis' ELSE 'hms' END AS reason FROM events WHERE event_id % 50 < 20),
-best AS (SELECT *, max(s) OVER (PARTITION BY video ORDER BY pos) AS m FROM rows)
-SELECT video, pos, CAST(m AS BIGINT) AS seconds, CASE WHEN s < m THEN 'carried' ELSE reason END AS reason FROM best""",
+    "timestamp_repair": """WITH RECURSIVE rows AS (SELECT event_id // 50 AS video, event_id AS pos, event_id % 50 AS i, event_id % 7 AS kind, event_id % 50 * 41 // 60 AS m, event_id % 50 * 41 % 60 AS s FROM events),
+parts AS (SELECT video, pos, i, CASE kind WHEN 0 THEN m WHEN 1 THEN m WHEN 2 THEN m WHEN 5 THEN NULL ELSE 0 END AS a, CASE kind WHEN 3 THEN 3 WHEN 4 THEN 60 + m WHEN 5 THEN NULL WHEN 6 THEN m ELSE s END AS b,
+    CASE kind WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 3 THEN 19 WHEN 4 THEN s WHEN 6 THEN s END AS c, kind FROM rows),
+plain AS (SELECT video, pos, i, kind, CASE WHEN c IS NOT NULL AND b <= 59 AND c <= 59 AND (video % 2 > 0 OR a * 3600 + b * 60 + c <= 9000) THEN a * 3600 + b * 60 + c END AS h,
+    CASE WHEN kind = 2 THEN a * 60 + b WHEN c IS NULL THEN NULL WHEN b <= 59 AND (kind = 0 OR a >= 24) THEN a * 60 + b WHEN b > 59 AND a = 0 THEN b * 60 + c END AS o,
+    CASE WHEN kind = 2 THEN 'mmss' WHEN kind = 0 THEN 'mmss_millis' WHEN b > 59 THEN 'mmss_zero_hours' ELSE 'mmss_hours' END AS why FROM parts),
+read AS (SELECT *, count(coalesce(h, o)) OVER (PARTITION BY video ORDER BY pos) AS n FROM plain),
+fold AS (SELECT video, i, pos, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS seconds, CAST('' AS VARCHAR) AS reason FROM read WHERE false
+  UNION ALL SELECT DISTINCT video, -1, -1, NULL::BIGINT, NULL::BIGINT, '' FROM read
+  UNION ALL SELECT r.video, r.i, r.pos, coalesce(x.s, f.last), x.s, CASE WHEN x.s IS NULL THEN 'invalid' ELSE (CASE WHEN x.s = r.h AND NOT (f.last IS NULL AND r.o IS NOT NULL AND r.why IN ('mmss_millis', 'mmss_hours')) THEN 'hms' ELSE r.why END) || CASE WHEN x.s < f.last AND r.why <> 'mmss' THEN '_non_monotonic' ELSE '' END END
+    FROM fold f JOIN read r ON r.video = f.video AND r.i = f.i + 1, LATERAL (SELECT CASE WHEN f.last IS NULL THEN CASE WHEN r.o IS NOT NULL AND r.why IN ('mmss_millis', 'mmss_hours') THEN r.o ELSE coalesce(r.h, r.o) END
+      WHEN r.h >= f.last AND r.o >= f.last THEN least(r.h, r.o) WHEN r.h >= f.last THEN r.h WHEN r.o >= f.last THEN r.o ELSE greatest(r.h, r.o) END AS s) x)
+SELECT video, pos, coalesce(seconds, -1) AS seconds, reason FROM fold WHERE i >= 0""",
+    "segment_timeline": """SELECT event_id, segment, segment * 540 AS start, least(segment * 540 + 600, d) AS "end" FROM (
+  SELECT event_id, d, unnest(range(0, CAST(greatest(ceil((d - 600) / 540), 0) AS BIGINT) + 1)) AS segment FROM (SELECT event_id, CAST(floor(value * 30) AS BIGINT) AS d FROM events) WHERE d > 0)""",
+    "segment_shift_dedupe": """WITH r AS (SELECT conv_id, turn, conv_id % 4 * 60 AS start, turn * 5 + CASE WHEN conv_id % 2 = 0 THEN conv_id % 4 * 60 ELSE 0 END AS seconds FROM conversations),
+m AS (SELECT conv_id, turn, start, CASE WHEN min(seconds) OVER (PARTITION BY conv_id) < start - 2 THEN seconds + start ELSE seconds END AS seconds FROM r)
+SELECT conv_id, turn, seconds FROM m WHERE start = 0 OR seconds < start - 2 OR seconds > start + 10""",
 }
