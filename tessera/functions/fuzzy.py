@@ -35,7 +35,7 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     if shared and (x <= y or y <= x):
         return 100.0
     left, right = (f"{shared} {' '.join(sorted(s))}".strip() for s in (x - y, y - x))
-    return max(ratio(left, right), *(ratio(shared, s) for s in (left, right) if shared))
+    return max([ratio(left, right), *(ratio(shared, s) for s in (left, right) if shared)])
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as ft
@@ -74,3 +74,34 @@ def payload_issues(payloads: DataFrame) -> DataFrame:
     }
     broken = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))
     return payloads.select("video_id", "window_index", F.explode(broken).alias("issue"))
+
+
+def merge_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of windows' first answers with what their second answers add and delete.
+
+    ``base`` has key and payload; ``delta`` key and payload with nodes_new_add,
+    edges_add and edges_delete.  An added temporary id that the window has already
+    becomes ``a<n>`` with the first free numbers; edges that are added follow it.
+    Deleted are edges of the base with the same source, predicate and target.
+    """
+    old = base.select(*key, F.posexplode("payload.nodes_new").alias("place", "n")).select(*key, "place", "n.*")
+    add = delta.select(*key, F.posexplode("payload.nodes_new_add").alias("place", "n")).select(*key, "place", "n.*")
+    taken = old.select(*key, "temp_id").distinct()
+    clash = add.join(taken.withColumn("_t", F.lit(True)), [*key, "temp_id"], "left")
+    first = F.row_number().over(Window.partitionBy(*key, "temp_id").orderBy("place"))
+    clash = clash.withColumn("_c", F.coalesce("_t", F.lit(False)) | (first > 1))
+    used = taken.union(clash.where("not _c").select(*key, "temp_id")).distinct().groupBy(*key).agg(F.collect_set("temp_id").alias("_used"))
+    n = F.row_number().over(Window.partitionBy(*key).orderBy("place"))
+    fresh = clash.where("_c").withColumn("_n", n).join(used, key, "left")
+    # among as many numbers as there are used ids and clashes, enough are free
+    free = F.filter(F.transform(F.sequence(F.lit(1), F.size("_used") + F.col("_n")), lambda i: F.concat(F.lit("a"), i.cast("string"))), lambda a: ~F.array_contains(F.col("_used"), a))
+    fresh = fresh.withColumn("new_id", F.element_at(free, F.col("_n")))
+    renamed = clash.where("not _c").withColumn("new_id", F.col("temp_id")).unionByName(fresh.select(*clash.columns, "new_id"))
+    last = renamed.groupBy(*key, F.col("temp_id").alias("ref")).agg(F.max_by("new_id", "place").alias("to"))
+    nodes = old.withColumn("pass", F.lit(1)).unionByName(renamed.withColumn("temp_id", F.col("new_id")).select(*old.columns).withColumn("pass", F.lit(2)))
+    gone = delta.select(*key, F.explode("payload.edges_delete").alias("d")).select(*key, *[F.coalesce(f"d.{c}", F.lit("")).alias(c) for c in ("source_ref", "predicate", "target_ref")]).distinct()
+    kept = base.select(*key, F.explode("payload.edges").alias("e")).select(*key, "e.*").join(gone, [*key, "source_ref", "predicate", "target_ref"], "left_anti")
+    new = delta.select(*key, F.explode("payload.edges_add").alias("e")).select(*key, "e.*")
+    for end in ("source_ref", "target_ref"):
+        new = new.join(last.withColumnRenamed("ref", end), [*key, end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return nodes, kept.withColumn("pass", F.lit(1)).unionByName(new.select(*kept.columns).withColumn("pass", F.lit(2)))

@@ -64,3 +64,34 @@ def null_orphans(children: DataFrame, parents: DataFrame, column: str, parent_ke
     """``children`` with a reference to no existing parent set to null."""
     known = parents.select(F.col(parent_key).alias("_p")).distinct()
     return children.join(known, F.col(column) == F.col("_p"), "left").withColumn(column, F.col("_p")).select(children.columns)
+
+
+def backfill(target: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``target`` with columns filled from ``changes`` (unique by key) where they are null."""
+    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = target.join(new, list(keys), "left")
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in target.columns])
+
+
+def delete_all(target: DataFrame) -> tuple[DataFrame, int]:
+    """An empty table of the same columns, and how many rows there were."""
+    return target.where("false"), target.count()
+
+
+def snapshot(target: DataFrame, path: str) -> DataFrame:
+    """A copy of a table as it is now, in a new folder; an existing one is an error."""
+    target.write.mode("errorifexists").parquet(path)
+    return target.sparkSession.read.schema(target.schema).parquet(path)
+
+
+def with_search_words(rows: DataFrame, *texts: Column, name: str = "words") -> DataFrame:
+    """``rows`` with the distinct words of their texts in order, as a write derives them for full-text search."""
+    from tessera.functions import text as ft
+
+    return rows.withColumn(name, F.array_sort(F.array_distinct(ft.tokens(F.concat_ws(" ", *texts)))))
+
+
+def due(watched: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Watched videos to process: automatic ones that aren't processed, never tried or last tried more than ``hours`` ago."""
+    old = F.col("last_processed").isNull() | (F.col("last_processed") < now - F.expr(f"INTERVAL {hours} HOURS"))
+    return watched.where(F.coalesce("auto_process", F.lit(False)) & (F.coalesce("status", F.lit("pending")) != "processed") & old)

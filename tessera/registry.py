@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.queries import changing, graphs, retrieving, sequences
+from tessera.queries import changing, graphs, retrieving, sequences, speech
 
-_THEMES = (retrieving, sequences, graphs, changing)
+_THEMES = (retrieving, sequences, graphs, changing, speech)
 QUERIES: dict = {name: query for theme in _THEMES for name, query in theme.QUERIES.items()}
 SQL: dict = {name: sql for theme in _THEMES for name, sql in theme.SQL.items()}
 FLAGSHIP = "rrf_fusion"

@@ -19,7 +19,9 @@ def cut(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST)
             breaks = [text.rfind(mark, half, end) + len(mark) for mark in ("\n\n", ". ", "? ", "! ") if text.rfind(mark, half, end) >= 0]
             end = breaks[0] if breaks else end
         chunk = text[at:end].strip()
-        if chunk and (len(chunk) >= least or not out):
+        # a short chunk is left out only where the one before it holds all of it
+        held = out and at + len(text[at:end].rstrip()) <= out[-1][1]
+        if chunk and (len(chunk) >= least or not held):
             lead = len(text[at:end]) - len(text[at:end].lstrip())
             out.append((at + lead, at + lead + len(chunk), chunk))
         if end >= len(text):

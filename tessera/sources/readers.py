@@ -59,6 +59,23 @@ def overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
+def verifications(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each result of checks of who is on the screen: (video_id, timestamp, speaker_id, name, match_requested, confidence); results without a body are left out."""
+    body = "results array<struct<video_id:string,timestamp:string,speaker_id:string,result:struct<name:string,on_screen_text:string,match_requested:boolean,confidence:double>>>"
+    rows = spark.read.schema(body).option("multiLine", True).json(path).select(F.explode("results").alias("r"))
+    return rows.where("r.result is not null").select("r.video_id", "r.timestamp", "r.speaker_id", "r.result.name", "r.result.match_requested", "r.result.confidence")
+
+
+def has_column(rows: DataFrame, name: str) -> bool:
+    return name in rows.columns
+
+
+def chamber_of(explicit, parsed, title):
+    """house or senate: what is stated, else what was read from the paper, else what the title says, else the house."""
+    known = lambda c: F.when(F.lower(F.trim(c)).isin("house", "senate"), F.lower(F.trim(c)))
+    return F.coalesce(known(explicit), known(parsed), F.when(F.contains(F.lower(title), F.lit("senate")), "senate"), F.lit("house"))
+
+
 def watch_list(spark: SparkSession, path: str) -> DataFrame:
     """(id, title) lines ``ID|TITLE``; blank lines and comments are left out."""
     rows = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' and not startswith(value, '#')")
@@ -102,7 +119,7 @@ def order_paper_items(files: DataFrame, key: str, text: str) -> DataFrame:
 def order_paper_facts(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sitting_date, session, number, chamber) found in order papers."""
     session = F.nullif(F.regexp_extract(F.col(text), r"(?i)((?:first|second|third|fourth|fifth) session[^\n]*)", 1), F.lit(""))
-    chamber = F.when(F.lower(F.substring(F.col(text), 1, 2000)).contains("senate"), "senate").otherwise("house")
+    chamber = F.when(F.lower(F.col(text)).contains("senate"), "senate").otherwise("house")
     number = F.regexp_extract(F.col(text), r"(?i)\bno\.?\s*(\d+)", 1).try_cast("int")
     return files.select(key, ft.prose_date(F.col(text)).alias("sitting_date"), session.alias("session"), number.alias("number"), chamber.alias("chamber"))
 

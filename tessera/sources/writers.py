@@ -28,3 +28,26 @@ def export_clean_up(result: dict[str, DataFrame], folder: str) -> None:
     """The tables that ``cleanup.clean_graph`` returns, each as CSV in a folder of its name."""
     for name, rows in result.items():
         to_csv(rows, f"{folder}/{name}", rows.columns)
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame, video: str | None = None, run: str | None = None, most: int = 1000) -> DataFrame:
+    """One row with ``graph``: the JSON of a video's or a run's first ``most`` edges (both given is an error) and of the nodes at their ends."""
+    if video is not None and run is not None:
+        raise ValueError("a graph is exported by video or by run")
+    few = edges.where(F.col("youtube_video_id") == video) if video is not None else edges.where(F.col("run_id") == run) if run is not None else edges
+    few = few.orderBy(F.asc_nulls_last("earliest_seconds"), "id").limit(most)
+    ends = few.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    shown = nodes.join(F.broadcast(ends), "id", "left_semi")
+    # both lists are bounded by ``most``
+    a = few.agg(F.array_sort(F.collect_list(F.struct("earliest_seconds", "id", "source_id", "predicate", "target_id"))).alias("edges"))
+    b = shown.agg(F.array_sort(F.collect_list(F.struct("id", "type", "label"))).alias("nodes"))
+    return b.join(a).select(F.to_json(F.struct("nodes", "edges")).alias("graph"))
+
+
+def report(tables: dict[str, DataFrame], path: str) -> None:
+    """Write small results as one Markdown text, a heading and a table for each."""
+    from tessera.operators.quality_reports import markdown_table
+
+    spark = next(iter(tables.values())).sparkSession
+    body = "\n\n".join(f"## {name}\n\n{markdown_table(rows)}" for name, rows in tables.items())
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)

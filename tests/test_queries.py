@@ -17,9 +17,4 @@ def test_equal_to_sql(spark, db, name):
 
 
 def test_only_iterative_or_python_queries_lack_sql():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"pagerank", "fuzzy_label_sim"}
-
-
-def test_pagerank_sums_to_one(spark):
-    found = registry.QUERIES["pagerank"](spark, SMALL).collect()
-    assert sum(r.score for r in found) == pytest.approx(1, abs=1e-4) and len({r.node for r in found}) == len(found)
+    assert set(registry.QUERIES) - set(registry.SQL) == {"fuzzy_label_sim"}

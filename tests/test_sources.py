@@ -72,12 +72,6 @@ def test_chunks(spark):
     assert {r.id for r in rows} == {"b1", "b3"} and sum(r.id == "b1" for r in rows) == len(found)
 
 
-@pytest.mark.parametrize(("raw", "seconds", "reason"), [("0:3:19", 199, "hms"), ("46:18:000", 2778, "mmss_millis"), ("49:08:00", 2948, "mmss_hours"), ("0:87:47", 5267, "mmss_zero_hours"), ("bad", None, "invalid")])
-def test_timestamps(spark, raw, seconds, reason):
-    r = spark.range(1).select(ft.repaired_timestamp(F.lit(raw)).alias("x")).first().x
-    assert (r.seconds, r.reason) == (seconds, reason)
-
-
 def test_text_functions(spark):
     row = spark.range(1).select(
         ft.strip_honorifics(F.lit("The Most Honourable Mia Mottley, Q.C.")).alias("a"), ft.surname(F.lit("Dr. José Pérez")).alias("b"), ft.initials(F.lit("John Smith")).alias("c"), ft.legislation_key(F.lit("Road Traffic Act 2019")).alias("d"),
