@@ -19,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.frequent import most_frequent
 from tessera.llm.textarrays import Words, flat_bytes, plain, slices
 from tessera.plans.workspace import Workspace
 
@@ -35,8 +37,8 @@ LOOKUP = 1 << 19
 PASSAGE = 256
 #: Passages side by side.
 ABREAST = 2048
-#: Numbers in a block of expected counts.
-BLOCK = 512
+#: Numbers in a block of expected counts, and parts of a block that are added up in one go.
+BLOCK, FAN = 512, 256
 _HELD = 1 << 20
 _CLASS = np.uint64(CLASSES - 1)
 
@@ -101,8 +103,10 @@ class Counts:
 
 
 def gather(vocabulary: DataFrame, documents: int) -> Counts:
-    top = vocabulary.orderBy(F.desc("n"), "key").limit(LOOKUP).toArrow()
+    top = most_frequent(vocabulary, "n", "key", LOOKUP).toArrow()
     keys, n = top.column("key").to_numpy(), top.column("n").to_numpy()
+    ranked = np.lexsort((keys, -n))
+    keys, n = keys[ranked], n[ranked]
     own = min(SYMBOLS, len(keys))
     symbol = np.where(np.arange(len(keys)) < own, np.arange(len(keys)), own + (keys & int(_CLASS)))
     of_class = vocabulary.groupBy(F.col("key").bitwiseAND(F.lit(int(_CLASS))).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
@@ -234,17 +238,23 @@ def train(encoded: DataFrame, counts: Counts, states: int = STATES, rounds: int
                 if len(first):
                     total += expected(model, flat, np.append(np.concatenate(cuts), len(flat)), first)[0]
             parts = range(0, size, BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array([p // BLOCK for p in parts], pa.int32()), pa.array([total[p : p + BLOCK].tobytes() for p in parts], pa.binary())], ["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([p // BLOCK for p in parts], pa.int32()), pa.array([TaskContext.get().partitionId() // FAN] * len(parts), pa.int32()), pa.array([total[p : p + BLOCK].tobytes() for p in parts], pa.binary())], ["block", "fan", "part"])
 
         return run
 
     def add(key, table):
         total = np.sum([np.frombuffer(x, np.float64) for x in table.column("part").to_pylist()], 0)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "fan": pa.array([0], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
+    kind = "block int, fan int, part binary"
+    symbols = encoded.select("symbols")
+    levels = 2 if symbols.rdd.getNumPartitions() > FAN else 1
     for _ in range(rounds):
         shared = sc.broadcast(model.pack())
-        parts = encoded.select("symbols").mapInArrow(step(shared), "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").collect()
+        parts = symbols.mapInArrow(step(shared), kind)
+        for _ in range(levels):
+            parts = parts.groupBy("block", "fan").applyInArrow(add, kind)
+        parts = parts.collect()
         flat = np.zeros(size)
         for r in parts:
             part = np.frombuffer(r["part"], np.float64)
@@ -310,7 +320,7 @@ def score(docs: DataFrame, learning, text: str = "text", states: int = STATES, r
     encoded = marked.mapInArrow(encode, f"{carried}, _tokens long, _known long, _plus double, _inner double, symbols binary, _tail array<long>")
     encoded = workspace.save(encoded.withColumn("_row", F.monotonically_increasing_id()))
 
-    rare = encoded.select("_row", F.explode("_tail").alias("key")).join(vocabulary.hint("shuffle_hash"), "key")
+    rare = encoded.select("_row", F.explode("_tail").alias("key")).join(vocabulary, "key")
     rare = workspace.save(rare.groupBy("_row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("_rare"), F.count("*").alias("_found")))
     # a word of no learning document adds log10(0 + 1) = 0
     model = sc.broadcast(train(encoded.where("_learns"), counts, states, rounds))
