@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.frequent import most_frequent
 from tessera.llm.textarrays import Words, flat_bytes, mix, plain, sequence_hash, slices
 from tessera.operators.components import connected_components
 from tessera.plans.workspace import Workspace
@@ -69,6 +70,11 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield sequence_hash([few[j : j + 1] for j in range(len(few))]) if len(few) else own
 
 
+def text_key(text: str):
+    """What stands for a text in joins: two 64-bit hashes of different beginnings."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
+
+
 def _prefix(n: int, num: int, subset: int) -> int:
     """How many first shingles of a set of size n two linked sets share ``subset`` of."""
     return min(n, n - -(-num * n // 100) + subset)
@@ -183,7 +189,7 @@ def shingle_components(docs: DataFrame, text: str = "text", k: int = 5, threshol
     counted = workspace.save(_frequencies(docs, text, k, bits))
     squares, total = counted.where("token is null").agg(F.sum("df"), F.sum("of")).first()
     partners = (squares or 0) / max(1.0, total or 0) - 1 if total else 0.0
-    top = counted.where("token is not null").orderBy(F.desc("df"), "token").limit(FREQUENT_LIMIT).select("token").toArrow()
+    top = most_frequent(counted.where("token is not null"), "df", "token", FREQUENT_LIMIT).select("token").toArrow()
     shared = spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy()).astype(np.uint64))
 
     def describe(batches):
@@ -198,12 +204,12 @@ def shingle_components(docs: DataFrame, text: str = "text", k: int = 5, threshol
                 prefixes.append(_leading(own, frequent, bits, _prefix(n, threshold, 2)).tobytes() if n else None)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], ["text_key", "n", "set_id", "prefix", "sketch"])
 
-    keyed = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
-    described = workspace.save(keyed.mapInArrow(describe, "text_key long, n long, set_id binary, prefix binary, sketch binary"))
+    keyed = docs.select(F.col(text).alias("text"), text_key(text).alias("text_key"))
+    described = workspace.save(keyed.mapInArrow(describe, "text_key struct<a:long,b:long>, n long, set_id binary, prefix binary, sketch binary"))
     named = workspace.save(described.select("text_key", "n", "set_id").distinct())
     # the table is written once, so each set keeps its number
     sets = workspace.save(described.where("n > 0").dropDuplicates(["set_id"]).select("set_id", "n", "prefix", "sketch", F.monotonically_increasing_id().alias("set")))
-    workspace.drop(described)
+    workspace.drop(described, counted)
 
     histogram = {r["n"]: r["c"] for r in sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
     bound = _boundary(histogram, threshold, partners)
@@ -227,20 +233,21 @@ def shingle_components(docs: DataFrame, text: str = "text", k: int = 5, threshol
     ends = lists.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high"))
     stars = lists.join(ends, "signature").select("set", F.explode(F.array("low", "high")).alias("end")).where("set <> end")
     stars = stars.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
-    body = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("_key"))
+    body = docs.select(F.col(text).alias("text"), text_key(text).alias("_key"))
     links = workspace.save(_verified(body, k, threshold, _sketched(stars, sets, threshold), sets, named, workspace))
     parts = connected_components(links, "a", "b", workspace)
 
     labelled = lists.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     mixed = labelled.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("signature")
-    rest = _rest(workspace.save(labelled.join(mixed, "signature", "left_semi")), sets, threshold)
-    more = workspace.save(_verified(body, k, threshold, rest, sets, named, workspace))
+    left = workspace.save(labelled.join(mixed, "signature", "left_semi"))
+    more = workspace.save(_verified(body, k, threshold, _rest(left, sets, threshold), sets, named, workspace))
+    workspace.drop(lists, repeated, left)
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b", workspace)
     known = sets.select("set", "set_id")
     parts = parts.join(known, F.col("node") == F.col("set")).select("set_id", "component")
     parts = parts.join(known.select("set", F.col("set_id").alias("root")), F.col("component") == F.col("set")).select("set_id", F.col("root").alias("component"))
-    tagged = docs.drop("set_id", "n_shingles", "component").withColumn("_key", F.xxhash64(text)).join(named.withColumnRenamed("text_key", "_key").withColumnRenamed("n", "n_shingles"), "_key", "left").drop("_key")
+    tagged = docs.drop("set_id", "n_shingles", "component").withColumn("_key", text_key(text)).join(named.withColumnRenamed("text_key", "_key").withColumnRenamed("n", "n_shingles"), "_key", "left").drop("_key")
     return tagged.join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 

@@ -52,6 +52,13 @@ def test_against_brute_force(spark, tmp_path, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_joined_instead_of_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BROADCAST_ROWS", 0)
+    rows = corpus(3, 90)
+    got = queries.op2_shingle_join(spark, write_documents(spark, tmp_path, rows)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 85)
+
+
 def test_few_frequent_and_other_threshold(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "FREQUENT_FROM", 3)
     monkeypatch.setattr(shingle_join, "LIGHT_MOST", 12)
