@@ -18,6 +18,7 @@ whole shard or group.
 from __future__ import annotations
 
 import math
+import warnings
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 
 from tessera.plans.workspace import Workspace
 
-#: Rows that a running sum takes in one go, about.
-RUN = 50_000
+#: Rows that a running sum takes in one go, about; small tables are dealt into more buckets than that needs.
+RUN, LEAST_RUN, LEAST_BUCKETS = 20_000, 200, 64
+#: Members of a group that are given their places in one go.
+PLACED = 2000
+#: Rounds of propagation, at most.
 ROUNDS = 16
 
 
@@ -36,7 +40,8 @@ def running_sum(rows: DataFrame, by: list[str], value: str, order: list[str], na
     The order is by a hash of ``order``, then by ``order``; rows equal in it are
     taken in any order.  ``count`` is the number of rows, if known.
     """
-    buckets = max(1, math.ceil((rows.count() if count is None else count) / RUN))
+    count = rows.count() if count is None else count
+    buckets = max(1, math.ceil(count / RUN), min(LEAST_BUCKETS, math.ceil(count / LEAST_RUN)))
     keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     within = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,13 +100,17 @@ def _round(cells: DataFrame, rooms: list[int], open_only: bool, workspace: Works
     return every.groupBy("group", "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).where("n > 0")
 
 
-def shard(docs: DataFrame, shards: int = 24, text: str = "text", workspace: Workspace | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, text: str = "text", workspace: Workspace | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every document.
 
     size is the text's UTF-8 bytes plus 8.  Counts of shards differ by one at
     most, and slots are gapless from 0 in each.  Null texts have no bytes, CRC 0
     and no links; empty texts are equal to each other; repeated rows are
     documents of their own, and null ids are allowed.  Other columns are left out.
+    Very long texts count with all their bytes.  Shards in which a group has
+    equally many are told apart by a hash.  Propagation takes at most ``rounds``
+    rounds, and a warning tells if moves were left then; sizes and slots are as
+    promised all the same.
     """
     workspace = workspace or Workspace(docs.sparkSession, "shards")
     body = F.col(text)
@@ -123,7 +132,7 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", workspace: Work
     begun = linked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int"))
     cells = workspace.save(_within(begun.groupBy("group", "shard").agg(F.count("*").alias("n")), quota, workspace))
     exchange = False
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         rooms = [q - h for q, h in zip(quota, _held(cells, shards), strict=True)]
         after = workspace.save(_round(cells, rooms, not exchange, workspace))
         moved = after.agg(F.sum("moved")).first()[0] or 0
@@ -131,15 +140,20 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", workspace: Work
         if not moved and exchange:
             break
         exchange = not moved
+    else:
+        warnings.warn(f"label propagation ended after {rounds} rounds with moves left", stacklevel=2)
     held = _held(cells, shards)
 
     placed = running_sum(cells, ["shard"], "n", ["group"], "slot_from")
     order = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("rank_from", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    by_group = placed.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("rank_from", "n", "shard", "slot_from"))).alias("cells"))
+    # a large group's cells are there once for every PLACED members, so that no task has to place all of them
+    by_group = placed.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("rank_from", "n", "shard", "slot_from"))).alias("cells"), F.sum("n").alias("_m"))
+    by_group = by_group.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_m") / PLACED) - 1))).drop("_m")
     ranked = running_sum(linked.withColumn("one", F.lit(1)), ["group"], "one", ["doc_id", "size"], "rank")
+    ranked = ranked.withColumn("_salt", F.pmod(F.col("rank"), F.ceil(F.col("members") / PLACED)))
     found = F.filter("cells", lambda c: (c["rank_from"] <= F.col("rank")) & (F.col("rank") < c["rank_from"] + c["n"]))[0]
-    grouped = ranked.join(by_group, "group").withColumn("cell", found)
+    grouped = ranked.join(by_group, ["group", "_salt"]).withColumn("cell", found)
     grouped = grouped.select("doc_id", "size", "text_crc32", F.col("cell.shard").cast("int").alias("shard"), (F.col("cell.slot_from") + F.col("rank") - F.col("cell.rank_from")).alias("slot"))
 
     spare = [q - h for q, h in zip(quota, held, strict=True)]

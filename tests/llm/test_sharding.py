@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from tessera.llm import queries, sharding
 from tests.llm.tools import write_documents
 
@@ -45,6 +47,28 @@ def test_group_larger_than_a_shard(spark, monkeypatch):
     assert held_together([r for r in rows if r.doc_id >= 170], texts) > 0.9
 
 
+def test_against_the_best_possible(spark, monkeypatch):
+    """Groups that fit into shards whole can all stay whole; that is the most that any placement keeps together."""
+    monkeypatch.setattr(sharding, "PLACED", 3)
+    monkeypatch.setattr(sharding, "LEAST_RUN", 5)
+    texts = [f"g{i // 5}" for i in range(100)] + [f"own {i}" for i in range(60)]
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).collect()
+    check(rows, texts, 8)
+    assert held_together(rows, texts) == 1
+
+
+def test_few_rounds_are_told(spark):
+    texts = [f"t{i % 9}" for i in range(90)]
+    with pytest.warns(UserWarning, match="moves left"):
+        rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, rounds=1).collect()
+    check(rows, texts, 4)
+
+
+def test_very_long_text(spark):
+    texts = ["é word " * 100_000, "x"]
+    check(sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect(), texts, 2)
+
+
 def test_all_linked_and_tight(spark):
     texts = [f"t{i % 3}" for i in range(31)]
     rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()
