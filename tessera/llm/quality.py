@@ -156,7 +156,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 3, rate:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Trees | None:
-    """Trees from labelled documents: the SAMPLE_ROWS with the smallest hash of doc_id.
+    """Trees from labelled documents: the SAMPLE_ROWS with the smallest hash of doc_id, of repeated ids at most SAMPLE_ROWS rows more.
 
     ``labels`` has doc_id and quality (1 good, 0 bad; null rows are left out).
     None if there is no document of either class.

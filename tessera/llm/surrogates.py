@@ -18,6 +18,7 @@ the next attempt, until none is left.  Only such atoms are looked up afterwards.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import secrets
 
@@ -29,7 +30,8 @@ from tessera.plans.workspace import Workspace
 
 #: Atoms beyond their first attempt that are put into the plan as a literal; more are joined.
 LITERAL = 10_000
-ROUNDS = 30
+#: Attempts at most; and the one from which a telephone number or IBAN keeps one character less, as there are few of its form.
+ROUNDS, FREER = 60, 4
 
 #: Titles and given names by gender.
 MALE_TITLES = "Mr Sir Herr Monsieur Señor Sr Don Lord".split()
@@ -180,6 +182,14 @@ def _name(stream: Column, kind: Column, token: Column, attempt: Column) -> Colum
     return F.when(token.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(token.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
 
+def keyed_hash(message: Column, key: str) -> Column:
+    """HMAC-SHA256 of a text as hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
 def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """The canonical form of an atom's surrogate."""
 
@@ -198,10 +208,10 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
         email = F.concat(plain(F.regexp_extract(canonical, r"^(.*)\.[^.]*$", 1)), F.regexp_extract(canonical, r"(\.[^.]*)$", 1))
         card = let(plain(F.substring(canonical, F.lit(1), F.char_length(canonical) - 1), 1), lambda s: F.concat(s, ((10 - _luhn(F.concat(s, F.lit("0")))) % 10).cast("string")))
         ip = F.array_join(F.transform(F.split(canonical, r"\."), lambda c, i: (1 + _byte(stream, i * 5, 254)).cast("string")), ".")
-        out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind.isin("phone", "iban"), plain(canonical, 2))
+        out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind.isin("phone", "iban"), plain(canonical, F.when(attempt < FREER, 2).otherwise(1)))
         return out.when(kind == "surname", _name(stream, kind, canonical, attempt)).when(kind.startswith("given"), _name(stream, kind, canonical, attempt)).otherwise(plain(canonical))
 
-    return let(F.sha2(F.concat_ws("\u0001", F.lit(key), kind, canonical, attempt.cast("string")), 256), of)
+    return let(keyed_hash(F.concat_ws("\u0001", kind, canonical, attempt.cast("string")), key), of)
 
 
 def _in_layout(kind: Column, surface: Column, other: Column) -> Column:
@@ -221,7 +231,9 @@ def _in_layout(kind: Column, surface: Column, other: Column) -> Column:
 def attempts(atoms: DataFrame, key: str, workspace: Workspace) -> DataFrame:
     """(kind, canonical, attempt) of the distinct ``atoms`` whose attempt isn't the first.
 
-    Rounds compare all surrogates with each other and with the atoms themselves.
+    Rounds compare all surrogates with each other and with the atoms themselves,
+    until all are distinct.  If ROUNDS aren't enough, there are too few surrogates
+    of a form, and that is an error.
     """
     known = workspace.save(atoms.distinct())
     state = workspace.save(known.withColumn("attempt", F.lit(0)))
@@ -232,17 +244,20 @@ def attempts(atoms: DataFrame, key: str, workspace: Workspace) -> DataFrame:
         later = drawn.join(shared, ["kind", "other"]).where(F.struct("attempt", "canonical") != F.col("first")).select("kind", "canonical", "attempt")
         again = workspace.save(real.union(later).distinct())
         if not again.limit(1).count():
-            break
+            return state.where("attempt > 0")
         state = workspace.save(state.join(again.select("kind", "canonical", F.lit(1).alias("more")), ["kind", "canonical"], "left").select("kind", "canonical", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
-    return state.where("attempt > 0")
+    raise ValueError(f"after {ROUNDS} attempts some entities still have no surrogate of their own")
 
 
 def replace(docs: DataFrame, text: str = "text", key: str | None = None, workspace: Workspace | None = None) -> DataFrame:
     """``docs`` with every detected entity in ``text`` replaced by its surrogate.
 
     ``key`` decides the surrogates; without it a random one is drawn, and two
-    calls differ.  A surname found with a title or given name is also replaced
-    where it stands alone in the same text.  Null texts stay null; texts without
+    calls differ.  A name found with a title or given name is also replaced where
+    it, or its given name, stands alone in the same text.  Of entities that overlap
+    the one that begins first counts, of those at one place the earlier of KINDS.
+    Local parts of addresses have 128 characters at most (the standard allows 64);
+    texts of any length are read whole.  Null texts stay null; texts without
     entities stay as they are; repeated rows are replaced alike.
     """
     workspace, key = workspace or Workspace(docs.sparkSession, "surrogates"), key or secrets.token_hex(16)
@@ -266,7 +281,7 @@ def replace(docs: DataFrame, text: str = "text", key: str | None = None, workspa
         return F.when(atom["kind"].isNull() | (atom["kind"] == "title"), atom["surface"]).otherwise(other)
 
     def rewritten(atoms):
-        surnames = F.filter(F.flatten(atoms), lambda a: a["kind"] == "surname")
+        surnames = F.array_distinct(F.filter(F.flatten(atoms), lambda a: (a["kind"] == "surname") | a["kind"].startswith("given")))
         pieces = F.split(F.col(text), ENTITY, -1)
         alone = lambda p: F.aggregate(surnames, p, lambda acc, a: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), a["surface"], F.lit(r"(?![\p{L}\p{N}])")), made(a)))
         left = F.when(F.size(surnames) > 0, F.transform(pieces, alone)).otherwise(pieces)

@@ -104,3 +104,49 @@ def test_usual_telephone_forms_and_unquoted_secrets(spark):
     for i, (t, p) in enumerate(zip(texts, phones + [re.split(r"[=:] ?", s)[1] for s in secrets], strict=True)):
         assert p not in got[i] and re.sub("[A-Za-z0-9]", "9", got[i]) == re.sub("[A-Za-z0-9]", "9", t)
     assert [got[len(texts) + i] for i in range(len(clean))] == clean
+
+
+def test_keyed_hash_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "long " * 40):
+        got = spark.range(1).select(surrogates.keyed_hash(F.lit("a message é"), key)).first()[0]
+        assert got == hmac.new(key.encode(), "a message é".encode(), hashlib.sha256).hexdigest()
+
+
+def test_names_that_stand_alone(spark):
+    got = replaced(spark, ["John Smith came. John spoke; Smith left. Johnny and Smithson stayed."])[0]
+    he, name, again, alone = re.fullmatch(r"(\w+) (\w+) came. (\w+) spoke; (\w+) left. Johnny and Smithson stayed.", got).groups()
+    assert he == again != "John" and name == alone != "Smith"
+
+
+def test_too_few_attempts_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ROUNDS", 1)
+    docs = spark.createDataFrame([(f"{chr(97 + a)}{i}@b.org",) for a in range(26) for i in range(10)], "text string")
+    with pytest.raises(ValueError, match="no surrogate of their own"):
+        surrogates.replace(docs, key="k")
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Every planted entity goes, everything else stays where it is, and equal entities stay equal over all documents."""
+    rng = __import__("random").Random(8)
+    entities = [f"user{i}@site{i % 3}.example.org" for i in range(12)] + [f"10.{i}.7.9" for i in range(6)] + ["4111111111111111", "5500005555555559", "123-45-6789"]
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    rows, planted = [], []
+    for i in range(60):
+        parts = [rng.choice(words) for _ in range(rng.randrange(3, 30))]
+        own = {rng.randrange(len(parts)): rng.choice(entities) for _ in range(rng.randrange(0, 3))}
+        rows.append((i, " ".join(own.get(j, w) for j, w in enumerate(parts))))
+        planted.append((parts, own))
+    found = {r.doc_id: r.text for r in queries.op5_surrogates(spark, write_documents(spark, tmp_path, rows)).collect()}
+    seen = {}
+    for i, (parts, own) in enumerate(planted):
+        after = found[i].split(" ")
+        assert len(after) == len(parts)
+        for j, w in enumerate(after):
+            if j in own:
+                assert w not in entities and seen.setdefault(own[j], w) == w
+            else:
+                assert w == parts[j]
+    assert len(set(seen.values())) == len(seen)
