@@ -86,4 +86,29 @@ QUERIES = {
     "op10_main_text": op10_main_text,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of a number's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT)), lambda crc, b:
+  list_reduce([1, 1, 1, 1, 1, 1, 1, 1]::UBIGINT[], lambda x, one: xor(x >> 1, (x & one) * 3988292384::UBIGINT), xor(crc, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"""
+SQL: dict[str, str] = {
+    "op2_shingle_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, least) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM both_ways GROUP BY a
+  UNION SELECT b, min(r.least) FROM reach r JOIN both_ways ON r.node = a JOIN recurring.reach o ON o.node = b WHERE r.least < o.least GROUP BY b)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, documents.doc_id) AS component_id FROM documents LEFT JOIN sizes ON sizes.doc_id = documents.doc_id LEFT JOIN reach ON node = documents.doc_id""",
+    "op3_language": rf"""WITH d AS (SELECT doc_id, lang, {_CRC} % 5 = 0 AS held_out, string_split(chr(1) || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', chr(1), 'g'), chr(1)) || chr(1), '') AS c FROM documents),
+e AS (SELECT doc_id, lang, held_out, c, unnest(range(1, len(c) + 1)) AS i FROM d WHERE len(c) > 2),
+g AS (SELECT doc_id, lang, held_out, c[i] AS g FROM e WHERE c[i] <> chr(1) UNION ALL SELECT doc_id, lang, held_out, c[i] || c[i + 1] FROM e WHERE i < len(c)
+  UNION ALL SELECT doc_id, lang, held_out, c[i] || c[i + 1] || c[i + 2] FROM e WHERE i < len(c) - 1 AND c[i + 1] <> chr(1)),
+own AS MATERIALIZED (SELECT doc_id, any_value(lang) AS lang, any_value(held_out) AS held_out, g, count(*) AS n FROM g GROUP BY doc_id, g),
+profile AS MATERIALIZED (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS rank FROM own WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY rank < 300),
+ranked AS MATERIALIZED (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS rank FROM own QUALIFY rank < 300),
+scored AS (SELECT doc_id, l.lang, 1 - sum(CASE WHEN p.rank IS NULL THEN 300 ELSE abs(p.rank - r.rank) END)::DOUBLE / (300 * count(*)) AS score
+  FROM ranked r CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.g = r.g GROUP BY doc_id, l.lang),
+best AS (SELECT doc_id, lang, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0) AS score FROM d LEFT JOIN best USING (doc_id)""",
+}
