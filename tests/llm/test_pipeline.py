@@ -38,8 +38,27 @@ def test_stages_keep_and_drop_what_they_should(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(seen["pii"])
 
 
+def test_an_id_stays_before_none(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, text), (7, text + " more")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, str(tmp_path)).collect()] == [7]
+
+
+def test_empty_tables_and_nulls_in_every_stage(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    rows = [(None, None, None, None, None), (1, "", None, None, None), (2, text, "en", None, None), (2, text, "en", None, None)]
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, spark.createDataFrame([], schema), str(tmp_path))
+        assert empty.count() == 0, name
+        got = stage(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+        ids = sorted(str(r.doc_id) for r in got)
+        assert ids == {"language_id": ["2", "2"], "quality_rules": ["2", "2"], "jaccard_join": ["1", "2", "None"], "pii": ["1", "2", "2", "None"], "packing": ["1", "2", "2", "None"]}[name]
+
+
 def test_repeated_rows_and_nulls(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text + " more"), (None, None), (4, "")], "doc_id long, text string")
     got = corpus_pipeline.jaccard_join(spark, docs, str(tmp_path)).collect()
-    assert sorted((str(r.doc_id), r.text or "") for r in got) == [("4", ""), ("None", ""), ("None", text + " more")]
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == [("1", text), ("4", ""), ("None", "")]
