@@ -30,7 +30,7 @@ BLOCK = 256
 #: Further members of a list that all are compared with where its first and last don't connect it.
 PIVOTS = 4
 #: Words of 64 bits in a parity sketch.
-SKETCH = 8
+SKETCH = 4
 #: Common words of English, French, German and Spanish.
 ANTECEDENTS = """
 a an and are as at be been but by can did do for from had has have he her his if in is it its not of on or she so that the
