@@ -176,7 +176,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float, workspace: Workspac
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     own = workspace.save(sets.select("set", "signs").join(wanted, "set"))
     whole = lambda x, s: own.select(F.col("set").alias(x), F.col("signs").alias(s))
-    both = pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
+    both = pairs.join(whole("a", "x").hint("merge"), "a").join(whole("b", "y").hint("merge"), "b")
     found = workspace.save(both.where(pruned_jaccard(F.col("x"), F.col("y"), least) >= least - 1e-9).select("a", "b"))
     workspace.drop(pairs, own)
     return found
