@@ -219,15 +219,43 @@ def timed_url(url: Column, seconds: Column) -> Column:
 
 
 def url_seconds(url: Column) -> Column:
-    """The time in a video's URL (t=90, t=90s or t=1m30s); null if there is none."""
-    t = F.regexp_extract(url, r"[?&#]t=((?:\d+h)?(?:\d+m)?\d*s?)(?:[&#]|$)", 1)
-    part = lambda unit: F.coalesce(F.regexp_extract(t, rf"(\d+){unit}", 1).try_cast("long"), F.lit(0))
-    return F.when(t.rlike(r"^\d+s?$"), F.regexp_extract(t, r"^(\d+)", 1).try_cast("long")).when(t.rlike(r"\d"), part("h") * 3600 + part("m") * 60 + part("s"))
+    """The time in a video's URL, of parameter t or else start (90, 90s or 1m30s; 0 for other words); null if there is none."""
+    param = lambda name: F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
+    t = F.coalesce(param("t"), param("start"))
+    part = lambda i: F.coalesce(F.regexp_extract(t, r"(?i)^(?:(\d+)h)?(?:(\d+)m)?(?:(\d+)s)?", i).try_cast("long"), F.lit(0))
+    return F.when(t.rlike(r"^\d+$"), t.try_cast("long")).when(t.isNotNull(), part(1) * 3600 + part(2) * 60 + part(3))
 
 
 def source_seconds(seconds: Column, url: Column, stamp: Column) -> Column:
-    """A source's time: its own seconds, else its URL's, else its timestamp's."""
-    return F.coalesce(seconds.cast("long"), url_seconds(url), to_seconds(stamp).cast("long"))
+    """A source's time: its own seconds if above 0, else its URL's, else its timestamp's, else its own 0."""
+    own = seconds.cast("long")
+    return F.coalesce(F.when(own > 0, own), url_seconds(url), to_seconds(stamp).cast("long"), F.when(own == 0, own))
+
+
+def absolute_url(url: Column, base: Column) -> Column:
+    """A link of a site as a whole URL; ``base`` ends without a slash."""
+    return F.when(F.startswith(url, F.lit("http")), url).when(F.startswith(url, F.lit("/")), F.concat(base, url)).otherwise(F.concat(base, F.lit("/"), url))
+
+
+def is_bill_url(url: Column) -> Column:
+    return F.contains(F.lower(url), F.lit("/bills/details/"))
+
+
+def file_name(url: Column, other: str = "order_paper.pdf") -> Column:
+    """The decoded last part of a URL's path; ``other`` if it has none."""
+    last = F.element_at(F.split(F.regexp_replace(F.regexp_replace(url, r"(?s)[?#].*$", ""), "/+$", ""), "/"), -1)
+    decoded = F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
+    return F.coalesce(F.nullif(decoded, F.lit("")), F.lit(other))
+
+
+def temporary_id(c: Column) -> Column:
+    return F.concat(F.lit("tmp_"), F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"[^a-zA-Z0-9_]+", "_"))
+
+
+def legislation_base(name: Column) -> Column:
+    """The numbered part of a bill's id: its number, or else the first 10 characters of its name."""
+    number = F.replace(F.regexp_extract(F.upper(name), r"((?:HR|SB|HB|S|H)\s*\d+)", 1), F.lit(" "), F.lit(""))
+    return F.concat(F.lit("L_"), F.when(number != "", number).otherwise(F.replace(F.substring(F.upper(name), 1, 10), F.lit(" "), F.lit("_"))))
 
 
 def page_url(url: Column, page: Column) -> Column:

@@ -108,7 +108,11 @@ def graph_search(nodes: DataFrame, aliases: DataFrame, edges: DataFrame, sentenc
 
     Edges are taken by edge_rank_score, then confidence (null last), then time.
     ``least_rank`` of 0.05 or more, as of edges without any score, is ignored.
+    Counts below 1 mean 1; a blank query finds nothing.
     """
+    query, seeds, hops, most_edges, most_citations = query.strip(), max(1, seeds), max(1, hops), max(1, most_edges), max(1, most_citations)
+    if not query:
+        return {"seeds": nodes.where("false"), "edges": edges.where("false"), "nodes": nodes.where("false"), "citations": sentences.where("false")}
     found = seed_nodes(nodes, aliases, query, vector, seeds)
     order = [F.desc_nulls_last("edge_rank_score"), F.desc_nulls_last("confidence"), F.asc_nulls_last("earliest_seconds")]
     near = graph.expand(edges, found.select(F.col("id").alias("node")), hops, order, most_edges)
@@ -120,6 +124,21 @@ def graph_search(nodes: DataFrame, aliases: DataFrame, edges: DataFrame, sentenc
     return {"seeds": found, "edges": near, "nodes": nodes.join(ends, "id", "left_semi"), "citations": cited}
 
 
+def question_nodes(nodes: DataFrame, aliases: DataFrame, question: str, vector: Sequence[float], k: int = 25, most_aliases: int = 5) -> DataFrame:
+    """The nodes nearest to a question by vector, then those that have it as an alias (at distance 0); each once, the vector's first."""
+    near = vector_topk(nodes, "id", "embedding", vector, k).select("id", "type", "label", "aliases", "distance", F.lit("vector").alias("source"))
+    known = aliases.where(F.col("alias_norm") == ft.normalize_label(F.lit(question))).select(F.col("node_id").alias("id")).distinct()
+    named = nodes.join(known, "id", "left_semi").orderBy("id").limit(most_aliases)
+    named = named.select("id", "type", "label", "aliases", F.lit(0.0).alias("distance"), F.lit("alias").alias("source"))
+    return near.union(named.join(near.select("id"), "id", "left_anti").select(near.columns))
+
+
+def edges_of_nodes(edges: DataFrame, ids: DataFrame, most: int = 50) -> DataFrame:
+    """Edges with an end among ``ids`` (column id), the surest first, then the earliest."""
+    found = matching.in_any(edges, ids, "id", ["source_id", "target_id"])
+    return found.orderBy(F.desc_nulls_last("confidence"), F.asc_nulls_last("earliest_seconds"), "id").limit(most)
+
+
 def capped_excerpts(hits: DataFrame, group: str, points: Column, key: str, per_group: int, most: int) -> DataFrame:
     """The best hits with at most ``per_group`` of one group, ``most`` in all."""
     scored = hits.withColumn("score", points)

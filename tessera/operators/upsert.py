@@ -60,6 +60,27 @@ def rekey(target: DataFrame, mapping: DataFrame, column: str, old: str = "old_id
     return joined.withColumn(column, F.coalesce("_new", column)).select(target.columns)
 
 
+def existing_changes(mapping: DataFrame, existing: DataFrame, key: str, old: str = "old_id", new: str = "new_id") -> DataFrame:
+    """The rows of a mapping that change an id there is."""
+    return mapping.where(F.col(old) != F.col(new)).join(existing.select(F.col(key).alias(old)), old, "left_semi").select(mapping.columns)
+
+
+def keeps_order(existing: DataFrame, mapping: DataFrame, key: str, old: str = "old_id") -> DataFrame:
+    """One row, keeps_order: whether some existing id is not in a mapping, so that it must be made from the order of the existing ones."""
+    return existing.select(F.col(key).alias("_k")).distinct().join(mapping.select(F.col(old).alias("_k")), "_k", "left_anti").agg((F.count("*") > 0).alias("keeps_order"))
+
+
+def numbered_ids(rows: DataFrame, base: str, order: Sequence[str], existing: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``id``: base, underscore and the least number from 1 that no row before it and no existing id has."""
+    parts = existing.select(F.regexp_extract(key, r"^(?s)(.*)_(\d+)$", 1).alias("_b"), F.regexp_extract(key, r"_([1-9]\d*)$", 1).try_cast("long").alias("_n")).where("_n is not null").distinct()
+    # the n-th free number is n and one more for each taken number that has fewer than n free ones before it
+    taken = parts.select("_b", (F.col("_n") - F.row_number().over(Window.partitionBy("_b").orderBy("_n"))).alias("_v"), F.lit(1).alias("_taken"))
+    new = rows.withColumn("_b", F.col(base)).withColumn("_v", F.row_number().over(Window.partitionBy("_b").orderBy(*order)).cast("long")).withColumn("_taken", F.lit(0))
+    both = new.unionByName(taken, allowMissingColumns=True)
+    before = F.sum("_taken").over(Window.partitionBy("_b").orderBy("_v", "_taken").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_m", F.col("_v") + before).where("_taken = 0").withColumn("id", F.concat_ws("_", "_b", F.col("_m").cast("string"))).select(*rows.columns, "id")
+
+
 def null_orphans(children: DataFrame, parents: DataFrame, column: str, parent_key: str) -> DataFrame:
     """``children`` with a reference to no existing parent set to null."""
     known = parents.select(F.col(parent_key).alias("_p")).distinct()
