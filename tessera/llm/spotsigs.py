@@ -31,6 +31,8 @@ BLOCK = 256
 PIVOTS = 4
 #: Words of 64 bits in a parity sketch.
 SKETCH = 4
+#: Sets of more signatures than this have a longer sketch too, of about a bit for each, as one of SKETCH words can't tell them apart.
+LONG = 96 * SKETCH
 #: Common words of English, French, German and Spanish.
 ANTECEDENTS = """
 a an and are as at be been but by can did do for from had has have he her his if in is it its not of on or she so that the
@@ -154,6 +156,28 @@ def _sketch(signs: Column) -> list[Column]:
     return [word(i).alias(f"s{i}") for i in range(SKETCH)]
 
 
+def _long_sketches(sets: DataFrame) -> DataFrame:
+    """(set, n, w) of the sets of more than LONG signatures: parities of the numbers of signatures by their lowest bits, in 2^k words of 64 bits, n bits at least.
+
+    w is null where a word got no signature at all.
+    """
+    words = F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.col("n") / 64)).cast("int"))
+    each = sets.where(F.col("n") > LONG).select("set", "n", words.alias("words"), F.explode("signs").alias("s"))
+    at = F.shiftright("s", 6).bitwiseAND(F.col("words") - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)))
+    found = each.groupBy("set", "n", "words", at.alias("at")).agg(F.bit_xor(bit).alias("x")).groupBy("set", "n", "words").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("w"))
+    return found.select("set", "n", F.when(F.size("w") == F.col("words"), F.transform("w", lambda v: v["x"])).alias("w"))
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """In how many bits two such sketches differ, the longer one folded to the length of the other; null if one is missing."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+    half = lambda w: F.size(w) / 2
+    folded = lambda w: F.zip_with(F.slice(w, F.lit(1), half(w).cast("int")), F.slice(w, half(w).cast("int") + 1, half(w).cast("int")), xor)
+    a, b = F.when(F.size(x) > F.size(y), folded(x)).otherwise(x), F.when(F.size(y) > F.size(x), folded(y)).otherwise(y)
+    return F.when(x.isNotNull() & y.isNotNull() & (F.size(a) == F.size(b)), F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(xor(p, q))), F.lit(0), lambda acc, v: acc + v))
+
+
 def _most(often: DataFrame, most: int) -> DataFrame:
     """The rows of highest ``df``, at most so many: all from the smallest class of df on that fits, by classes of a quarter power of 2."""
     of = F.floor(4 * F.log2("df"))
@@ -170,9 +194,11 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, least: float, workspace: Workspace) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard coefficient of ``least`` or more."""
-    pairs = workspace.save(pairs)
+def _linked(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: float, workspace: Workspace) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard coefficient of ``least`` or more; pairs of long sets are first compared by their sketches, which can only reject."""
+    drawn = lambda x: sketches.select(F.col("set").alias(x), F.col("n").alias(f"{x}_n"), F.col("w").alias(f"{x}_w")).hint("merge")
+    apart = (1 + least) * _differ(F.col("a_w"), F.col("b_w")) > (1 - least) * (F.col("a_n") + F.col("b_n")) + 1e-9
+    pairs = workspace.save(pairs.join(drawn("a"), "a", "left").join(drawn("b"), "b", "left").where(~F.coalesce(apart, F.lit(False))).select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     own = workspace.save(sets.select("set", "signs").join(wanted, "set"))
     whole = lambda x, s: own.select(F.col("set").alias(x), F.col("signs").alias(s))
@@ -196,7 +222,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     In each list all sets are compared with its first and last one, then, where
     that leaves sets unconnected, with PIVOTS more; what is still unconnected is
     compared pair by pair, block by block, by a parity sketch that can only
-    reject pairs below ``least``, and then whole.  No list is cut off.
+    reject pairs below ``least``, those of long sets by a longer one, and then
+    whole.  No list is cut off.
     """
     workspace = workspace or Workspace(docs.sparkSession, "spotsigs")
     # signatures as 32-bit numbers in the same order
@@ -204,6 +231,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     # the table is written once, so each set keeps its number
     sets = workspace.save(sets.select(F.monotonically_increasing_id().alias("set"), F.size("signs").alias("n"), "signs", *_sketch(F.col("signs"))))
     bounds = _bounds(sets.agg(F.max("n")).first()[0] or 1, least)
+    sketches = workspace.save(_long_sketches(sets))
     small = ["set", "n", *[f"s{i}" for i in range(SKETCH)]]
     near = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
 
@@ -232,7 +260,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     stars = stars.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
     drawn = sets.select(small).hint("merge")
     stars = stars.join(drawn.alias("x"), F.col("a") == F.col("x.set")).join(drawn.alias("y"), F.col("b") == F.col("y.set")).where(alike("x", "y")).select("a", "b")
-    links = _linked(stars, sets, least, workspace)
+    links = _linked(stars, sets, sketches, least, workspace)
     parts = connected_components(links, "a", "b", workspace)
 
     def unconnected():
@@ -248,7 +276,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     drawn = [F.min(F.when(F.col("native"), F.struct(F.xxhash64(F.lit(i), "set").alias("h"), "set", "n", "component", *[f"s{j}" for j in range(SKETCH)]))).alias(f"p{i}") for i in range(PIVOTS)]
     pivots = rest.groupBy("sign", "part").agg(*drawn).select("sign", "part", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).select("sign", "part", "p.*").distinct()
     some = rest.alias("a").join(workspace.save(pivots).alias("b"), ["sign", "part"]).where(apart("a", "b")).select(*pair).distinct()
-    more = _linked(some, sets, least, workspace)
+    more = _linked(some, sets, sketches, least, workspace)
     if more.limit(1).count():
         links = workspace.save(links.union(more))
         parts = connected_components(links, "a", "b", workspace)
@@ -258,12 +286,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = 0.8, wor
     one = rest.withColumnsRenamed({"own": "i", "other": "j"}).where("native").alias("a")
     two = rest.withColumnsRenamed({"own": "j", "other": "i"}).alias("b")
     pairs = one.join(two, ["sign", "part", "i", "j"]).where((~F.col("b.native") | (F.col("a.set") < F.col("b.set"))) & apart("a", "b"))
-    more = _linked(pairs.select(*pair).distinct(), sets, least, workspace)
+    more = _linked(pairs.select(*pair).distinct(), sets, sketches, least, workspace)
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b", workspace)
     found = parts.join(sets, F.col("node") == F.col("set")).select("component", fingerprint(F.transform("signs", lambda s: s.cast("long") + (1 << 31))).alias("fingerprint"))
     found = workspace.save(found.withColumn("print", F.md5("fingerprint")))
-    workspace.drop(sets, lists, rest)
+    workspace.drop(sets, sketches, lists, rest)
     return found.join(found.groupBy("component").agg(F.min("print").alias("group")), "component").select("fingerprint", "print", "group")
 
 

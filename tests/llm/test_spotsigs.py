@@ -143,3 +143,25 @@ def test_near_duplicates_against_brute_force(spark):
 def test_pruning(spark):
     row = spark.range(1).select(spotsigs.pruned_jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1)), 0.6).alias("p"), spotsigs.pruned_jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1)), 0.5).alias("q")).first()
     assert (row.p, row.q) == (0.0, 0.5)
+
+
+def test_sketches_of_long_sets_reject_only_what_is_apart(spark, tmp_path):
+    """Sets of 300 to 1,200 signatures on both sides of LONG and of the sketches' lengths, with coefficients around 0.8."""
+    rng = random.Random(6)
+    drawn = lambda n: {rng.randrange(-(1 << 31), 1 << 31) for _ in range(n)}
+    sets = []
+    for n in (300, 384, 385, 500, 512, 513, 1024, 1030, 1200):
+        base = drawn(n)
+        sets += [base, *[set(sorted(base)[k:]) | drawn(k) for k in (n // 12, n // 9, n // 8, n // 2)], set(sorted(base)[n // 6 :]), base | drawn(n // 5)]
+    rows = [(i, len(x), sorted(x)) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "set long, n int, signs array<int>")
+    sketches = spotsigs._long_sketches(table).collect()
+    assert {r.set for r in sketches} == {i for i, n, _ in rows if n > spotsigs.LONG}
+    assert all(r.w is None or (len(r.w) * 64 >= r.n and len(r.w) * 32 < r.n) for r in sketches) and any(r.w for r in sketches)
+    every = [(i, j) for i in range(len(sets)) for j in range(i)]
+    pairs = spark.createDataFrame([(j, i) for i, j in every], "a long, b long")
+    alike = lambda least: sorted((j, i) for i, j in every if jaccard(sets[i], sets[j]) >= least - 1e-9)
+    for least in (0.8, 0.6):
+        got = spotsigs._linked(pairs, table, spotsigs._long_sketches(table), least, spotsigs.Workspace(spark, "t"))
+        assert sorted((r.a, r.b) for r in got.collect()) == alike(least)
+    assert spotsigs._linked(pairs, table, spotsigs._long_sketches(table).withColumn("w", F.lit(None).cast("array<bigint>")), 0.8, spotsigs.Workspace(spark, "t")).count() == len(alike(0.8))
