@@ -7,6 +7,7 @@ import time
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,7 +27,12 @@ def rows_of(frame: pd.DataFrame):
 
 def difference(spark, db, sf_dir, query, sql):
     """None if both give the same rows, else what differs."""
-    a, b = query(spark, sf_dir).toPandas(), db.execute(sql).df()
+    found = query(spark, sf_dir).toArrow()
+    a, b = found.to_pandas(), db.execute(sql).df()
+    # pandas would turn whole numbers with nulls into floats
+    for c in found.column_names:
+        if found[c].null_count and pa.types.is_integer(found[c].type):
+            a[c] = found[c].to_pandas(types_mapper={found[c].type: pd.Int64Dtype() if found[c].type == pa.int64() else pd.Int32Dtype()}.get)
     (ca, ra), (cb, rb) = rows_of(a), rows_of(b)
     if ca != cb:
         return f"columns {ca} {cb}"
