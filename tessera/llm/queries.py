@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hmm, language, main_text, packing, quality, sharding, shingle_join, spotsigs, surrogates
+from tessera.llm import bpe, hmm, language, main_text, packing, prefix_trie, quality, sharding, shingle_join, spotsigs, surrogates
 from tessera.plans.workspace import Workspace
 
 
@@ -73,6 +73,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(pages, main_text.fit(pages))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_shingle_join": op2_shingle_join,
@@ -84,12 +88,14 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_hmm": op9_hmm,
     "op10_main_text": op10_main_text,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: crc32 of a number's decimal digits, bit by bit.
-_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT)), lambda crc, b:
+_CRC_OF = """xor(list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT)), lambda crc, b:
   list_reduce([1, 1, 1, 1, 1, 1, 1, 1]::UBIGINT[], lambda x, one: xor(x >> 1, (x & one) * 3988292384::UBIGINT), xor(crc, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"""
+_CRC = _CRC_OF.format("doc_id")
 SQL: dict[str, str] = {
     "op2_shingle_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
@@ -111,4 +117,16 @@ scored AS (SELECT doc_id, l.lang, 1 - sum(CASE WHEN p.rank IS NULL THEN 300 ELSE
   FROM ranked r CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.g = r.g GROUP BY doc_id, l.lang),
 best AS (SELECT doc_id, lang, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
 SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0) AS score FROM d LEFT JOIN best USING (doc_id)""",
+    "op13_prefix_trie": f"""WITH t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT DISTINCT conv_id, {_CRC_OF.format("conv_id")} % 6 AS h FROM t),
+rebuilt AS (SELECT c.conv_id, false AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h UNION ALL SELECT c.conv_id, true, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+paths AS MATERIALIZED (SELECT conv_id, row_number() OVER w AS depth, length(text) AS size, list(md5(role) || md5(text)) OVER w AS node FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+  UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[] FROM c),
+nodes AS MATERIALIZED (SELECT node, depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs FROM paths GROUP BY node, depth),
+below AS MATERIALIZED (SELECT DISTINCT a.node AS node, b.node AS lower FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+children AS MATERIALIZED (SELECT list_slice(node, 1, depth - 1) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+sums AS (SELECT below.node, count(*) FILTER (children.n IS NULL) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens FROM below JOIN nodes ON nodes.node = lower LEFT JOIN children ON children.node = lower GROUP BY below.node),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM paths JOIN (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id) USING (conv_id, depth) GROUP BY node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(children.n, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN children USING (node) LEFT JOIN ends USING (node) LEFT JOIN nodes p ON n.depth > 0 AND p.node = list_slice(n.node, 1, n.depth - 1)""",
 }
