@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +32,12 @@ class Workspace:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
 
-    def save(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
+    def save(self, df: DataFrame, codec: str = "snappy", by: Sequence[str] = ()) -> DataFrame:
+        """``df`` written and read again; columns named in ``by`` become folders, so that a filter on them skips files."""
         self._made += 1
         path = f"{self.root}/{self._made}"
-        df.write.option("compression", codec).parquet(path)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(*by) if by else writer).parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved.workspace_path = path
         return saved
