@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hmm, language, main_text, packing, prefix_trie, quality, sharding, shingle_join, spotsigs, surrogates
+from tessera.llm import bpe, hmm, language, main_text, packing, prefix_trie, quality, secret_grammar, sharding, shingle_join, spotsigs, surrogates, threshold_search
 from tessera.plans.workspace import Workspace
 
 
@@ -73,6 +73,15 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(pages, main_text.fit(pages))
 
 
+def op11_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return secret_grammar.scan(docs, secret_grammar.learn(docs)).drop("text")
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -88,6 +97,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_hmm": op9_hmm,
     "op10_main_text": op10_main_text,
+    "op11_secret_grammar": op11_secret_grammar,
+    "op12_threshold_search": op12_threshold_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -117,6 +128,14 @@ scored AS (SELECT doc_id, l.lang, 1 - sum(CASE WHEN p.rank IS NULL THEN 300 ELSE
   FROM ranked r CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.g = r.g GROUP BY doc_id, l.lang),
 best AS (SELECT doc_id, lang, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
 SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0) AS score FROM d LEFT JOIN best USING (doc_id)""",
+    "op12_threshold_search": rf"""WITH words AS (SELECT doc_id, unnest(list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM documents),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+sums AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+asked AS MATERIALIZED (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sums GROUP BY term, docs),
+scores AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // sums.words))))::BIGINT AS score FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), sums GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10""",
     "op13_prefix_trie": f"""WITH t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 c AS MATERIALIZED (SELECT DISTINCT conv_id, {_CRC_OF.format("conv_id")} % 6 AS h FROM t),
 rebuilt AS (SELECT c.conv_id, false AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h UNION ALL SELECT c.conv_id, true, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
