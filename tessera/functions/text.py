@@ -2,24 +2,62 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as v
 
-#: Accented letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-
-
 def normalize_label(c: Column) -> Column:
     """Lower case, trimmed, runs of white space as one blank."""
     return F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
 
 
+@cache
+def _decompositions() -> tuple[str, str, str, list[str]]:
+    """What code points below U+30000 become by compatibility decomposition (NFKD) without combining marks: (characters, their single ones, those that become more, what these become).
+
+    Hangul syllables are left out, as they follow a rule.  Marks that vanish are
+    the last of the characters, without a single one.
+    """
+    one, single, gone, many, longer = [], [], [], [], []
+    for p in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)):
+        c = chr(p)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if bare == "":
+            gone.append(c)
+        elif len(bare) > 1:
+            many.append(c), longer.append(bare)
+        elif bare != c:
+            one.append(c), single.append(bare)
+    return "".join(one + gone), "".join(single), "".join(many), longer
+
+
+def unaccented(c: Column) -> Column:
+    """The compatibility decomposition (NFKD) without combining marks, of all characters."""
+    plain, single, many, longer = _decompositions()
+    # as lists of strings are literals too, a character's place in one finds it in the other
+    table = F.split(F.lit("\u0001".join(longer)), "\u0001")
+    jamo = lambda first, count: F.lit("".join(map(chr, range(first, first + count))))
+    heads, middles, tails = jamo(0x1100, 19), jamo(0x1161, 21), jamo(0x11A8, 27)
+
+    def wide(x: Column) -> Column:
+        at = F.ascii(x) - 0xAC00
+        tail = F.when(at % 28 > 0, F.substring(tails, at % 28, F.lit(1))).otherwise("")
+        syllable = F.concat(F.substring(heads, F.floor(at / 588).cast("int") + 1, F.lit(1)), F.substring(middles, F.floor(at % 588 / 28).cast("int") + 1, F.lit(1)), tail)
+        return F.when(at.between(0, 11171), syllable).otherwise(F.coalesce(F.get(table, F.call_function("instr", F.lit(many), x) - 1), x))
+
+    # few texts have any of these at all
+    rare = "[" + "".join(many) + "\uac00-\ud7a3]"
+    spelt = F.when(c.rlike(rare), F.array_join(F.transform(F.split(c, ""), wide), "")).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(spelt, plain, single)).otherwise(c)
+
+
 def fold(c: Column) -> Column:
-    """normalize_label without accents, for matching."""
-    return normalize_label(F.translate(c, ACCENTED, FOLDED))
+    """normalize_label without accents and compatibility forms, for matching; white space of any script counts."""
+    return F.trim(F.regexp_replace(F.lower(unaccented(c)), r"[\s\x1c-\x1f\x85\u1680\u2028\u2029]+", " "))
 
 
 def strip_honorifics(c: Column) -> Column:
@@ -29,17 +67,37 @@ def strip_honorifics(c: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"(?i),?\s+(?:m\.?p\.?|q\.?c\.?|k\.?c\.?|s\.?c\.?|j\.?p\.?|esq\.?|jr\.?|sr\.?)$", ""))
 
 
+#: Titles before and honours after a name in the graph, each taken off once, in this order.
+NODE_HONORIFICS = [r"the\s+(?:most\s+)?honourable", r"hon\.?", r"mr\.?", r"ms\.?", r"mrs\.?", r"dr\.?", "senator"]
+NODE_SUFFIXES = [r"M\.P\.", "MP", r"Jr\.?", r"Sr\.?", r"Esq\.?"]
+
+
+def bare_name(c: Column) -> Column:
+    """A person node's label without titles and honours."""
+    out = F.trim(c)
+    for title in NODE_HONORIFICS:
+        out = F.trim(F.regexp_replace(out, rf"(?i)^{title}\s+", ""))
+    for honour in NODE_SUFFIXES:
+        out = F.trim(F.regexp_replace(out, rf"(?i)\s+{honour}$", ""))
+    return out
+
+
 def surname(c: Column) -> Column:
-    return F.element_at(F.split(fold(strip_honorifics(c)), " "), -1)
+    """What stands before the first comma of a bare name, else its last word."""
+    name = bare_name(c)
+    return F.when(F.contains(name, F.lit(",")), F.trim(F.substring_index(name, ",", 1))).otherwise(F.regexp_extract(name, r"(\S*)$", 1))
 
 
 def initials(c: Column) -> Column:
-    return F.upper(F.array_join(F.transform(F.split(fold(strip_honorifics(c)), " "), lambda w: F.substring(w, 1, 1)), ""))
+    """Capitals of a bare name's words that are initials: with a stop, of one capital letter, or of two of which the second is one."""
+    words = F.filter(F.split(bare_name(c), r"\s+"), lambda w: w != "")
+    of = lambda w: F.when(F.contains(w, F.lit(".")), F.upper(F.regexp_replace(w, r"\.", ""))).when(w.rlike(r"^\p{Lu}$"), w).when(w.rlike(r"^\p{L}\p{Lu}$"), F.upper(F.substring(w, 1, 1)))
+    return F.array_join(F.array_compact(F.transform(words, of)), "")
 
 
 def legislation_key(c: Column) -> Column:
-    """A statute's title without its year."""
-    return fold(F.regexp_replace(c, r"(?<![0-9])[0-9]{4}(?![0-9])", ""))
+    """A statute's title without years, folded."""
+    return fold(F.regexp_replace(c, r"(?<![\p{L}\p{N}_])[0-9]{4}(?![\p{L}\p{N}_])", ""))
 
 
 def slug(c: Column) -> Column:

@@ -62,23 +62,25 @@ def remapped(c: Column, allowed: list[str], remaps: dict[str, str]) -> Column:
 
 
 def block_key(kind: Column, label: Column) -> Column:
-    """What nodes of one type must share to be compared: surname, statute title, or first and last token."""
+    """What nodes of one type must share to be compared: surname (none, if it is empty), statute title, or first and last token."""
     parts = F.split(ft.fold(label), " ")
     generic = F.concat_ws("|", F.get(parts, F.lit(0)), F.element_at(parts, -1))
-    return F.when(kind == "foaf:Person", ft.surname(label)).when(kind == "schema:Legislation", ft.legislation_key(label)).otherwise(generic)
+    return F.when(kind == "foaf:Person", F.nullif(F.lower(ft.surname(label)), F.lit(""))).when(kind == "schema:Legislation", ft.legislation_key(label)).otherwise(generic)
 
 
-def candidate_pairs(nodes: DataFrame, similarity, least: float = 0.7, guards: list[str] | None = None) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, similarity, least: float = 0.7, guards: list[str] | None = None, shared_neighbour: bool = False) -> DataFrame:
     """(node_id_1, node_id_2, score) of pairs of one type and block that score ``least`` or more.
 
     Nodes have id, type, label, aliases, embedding and neighbors; ``similarity``
-    compares two folded labels on a scale of 0 to 100.  Nodes with a guarded
-    (generic) label merge only if they share a neighbour.
+    compares two folded labels on a scale of 0 to 100.  A pair with a guarded
+    (generic) label counts only if both have neighbours; with ``shared_neighbour``
+    they must share one.  Opposite vectors take away from the score; missing ones,
+    or of different lengths, add nothing.
     """
     guarded = ft.normalize_label(F.col("label")).isin(v.GENERIC_LABELS if guards is None else guards)
     folded = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), ft.fold)
     keyed = nodes.where(F.col("label").isNotNull() & (F.col("label") != "")).withColumn("block", block_key(F.col("type"), F.col("label"))).withColumn("folded", ft.fold(F.col("label"))).withColumn("guarded", guarded)
-    keyed = keyed.where(F.col("block").isNotNull() & ~F.col("block").isin("", "|"))
+    keyed = keyed.where("block is not null")
     # labels decide first which pairs can still reach ``least``; a large block is dealt into parts that are compared with one another
     parts = keyed.groupBy("type", "block").agg(F.count("*").alias("_c")).where("_c > 1").select("type", "block", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_parts"))
     narrow = keyed.select("type", "block", "id", "folded", "guarded").join(parts, ["type", "block"])
@@ -88,8 +90,10 @@ def candidate_pairs(nodes: DataFrame, similarity, least: float = 0.7, guards: li
     pairs = pairs.withColumn("_label", similarity(F.col("folded_1"), F.col("folded_2")) / 100)
     pairs = pairs.where(0.45 * F.col("_label") + 0.55 + 1e-9 >= least).select("id_1", "id_2", "_label", (F.col("guarded_1") | F.col("guarded_2")).alias("_guarded"))
     rest = lambda n: keyed.select(F.col("id").alias(f"id_{n}"), folded(F.col("aliases")).alias(f"aliases_{n}"), F.col("embedding").alias(f"embedding_{n}"), F.col("neighbors").alias(f"neighbors_{n}"))
-    pairs = pairs.join(rest(1), "id_1").join(rest(2), "id_2").withColumn("near", score.jaccard(F.col("neighbors_1"), F.col("neighbors_2"))).where(~F.col("_guarded") | (F.col("near") > 0))
-    vector = F.greatest(F.coalesce(1 - score.cosine_distance(F.col("embedding_1"), F.col("embedding_2")), F.lit(0.0)), F.lit(0.0))
+    pairs = pairs.join(rest(1), "id_1").join(rest(2), "id_2").withColumn("near", score.jaccard(F.col("neighbors_1"), F.col("neighbors_2")))
+    some = F.col("near") > 0 if shared_neighbour else (F.size("neighbors_1") > 0) & (F.size("neighbors_2") > 0)
+    pairs = pairs.where(~F.col("_guarded") | some)
+    vector = F.coalesce(1 - score.cosine_distance(F.col("embedding_1"), F.col("embedding_2")), F.lit(0.0))
     total = score.merge_score(F.col("_label"), vector, F.col("near"), score.jaccard(F.col("aliases_1"), F.col("aliases_2")))
     return pairs.select(F.col("id_1").alias("node_id_1"), F.col("id_2").alias("node_id_2"), total.alias("score")).where(F.col("score") >= least)
 

@@ -53,8 +53,11 @@ def drop_log(spark, sf_dir):
 
 def _nodes(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    label = F.concat_ws(" ", "p_type", "p_name", "p_brand")
-    return parts.select(F.col("p_partkey").alias("id"), F.lit("skos:Concept").alias("type"), label.alias("label"), F.array(F.col("p_brand"), F.col("p_name")).alias("aliases"), F.array(F.col("p_size").cast("double"), F.lit(10.0)).alias("embedding"), F.array(F.col("p_name")).alias("neighbors"))
+    # one size has a generic label, one no neighbours, one no vector; vectors point both ways
+    label = F.when(F.col("p_size") == 7, "Government").otherwise(F.concat_ws(" ", "p_type", "p_name", "p_brand"))
+    vector = F.when(F.col("p_size") != 31, F.array(F.col("p_size").cast("double") - 25, F.lit(1.0)))
+    near = F.when(F.col("p_brand") != "Brand#5", F.array(F.col("p_name"))).otherwise(F.array().cast("array<string>"))
+    return parts.select(F.col("p_partkey").alias("id"), F.lit("skos:Concept").alias("type"), label.alias("label"), F.array(F.col("p_brand"), F.col("p_name")).alias("aliases"), vector.alias("embedding"), near.alias("neighbors"))
 
 
 def blocking_pairs(spark, sf_dir):
@@ -64,6 +67,19 @@ def blocking_pairs(spark, sf_dir):
     return found.select("node_id_1", "node_id_2", F.round("score", 6).alias("score"))
 
 
+def typed_blocks(spark, sf_dir):
+    """Pairs of suppliers as persons and parts as statutes, whose blocks are surnames (also before a comma, after titles) and titles without years."""
+    same = lambda a, b: F.when(a == b, 100.0).otherwise(50.0)
+    key = F.col("s_suppkey")
+    last = F.concat(F.lit("Šu"), (key % 40).cast("string"))
+    name = F.when(key % 3 == 0, F.concat(F.lit("Hon. "), last, F.lit(", A."))).when(key % 3 == 1, F.concat(F.lit("the Honourable A. "), last, F.lit(" MP"))).otherwise(F.concat(F.lit("B. "), last))
+    people = table(spark, sf_dir, "supplier").select(key.alias("id"), F.lit("foaf:Person").alias("type"), name.alias("label"), F.array(last).alias("aliases"))
+    title = F.concat_ws(" ", "p_type", "p_name", (F.col("p_size") + 1970).cast("string"))
+    acts = table(spark, sf_dir, "part").select((1_000_000_000 + F.col("p_partkey")).alias("id"), F.lit("schema:Legislation").alias("type"), title.alias("label"), F.array("p_brand").alias("aliases"))
+    nodes = people.unionByName(acts).withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("neighbors", F.array(F.lit("all")))
+    return graph.candidate_pairs(nodes, same, least=0.6).select("node_id_1", "node_id_2", F.round("score", 6).alias("score"))
+
+
 def fuzzy_pairs(spark, sf_dir):
     found = graph.candidate_pairs(_nodes(spark, sf_dir), fuzzy.fuzz_ratio, least=0.95)
     return found.select("node_id_1", "node_id_2", F.round("score", 6).alias("score"))
@@ -109,6 +125,7 @@ QUERIES = {
     "edge_weight_rank": edge_weight_rank,
     "discourse_drop_log": drop_log,
     "blocking_pairs": blocking_pairs,
+    "typed_block_pairs": typed_blocks,
     "fuzzy_label_sim": fuzzy_pairs,
     "connected_components": components,
     "canonical_pick": canonical_pick,
@@ -145,11 +162,15 @@ weighed AS (SELECT m.*, 0.5 * least(ln(1 + support_count) / 10, 1) + 0.35 * conf
 raw AS (SELECT *, w * (sa + sb) / 2 * ln(1 + support_count) AS r FROM weighed)
 SELECT id, round(w, 6) AS edge_weight, round(r / (SELECT max(r) FROM raw), 6) AS edge_rank_score FROM raw""",
     "discourse_drop_log": f"""WITH {EDGES} SELECT CASE WHEN target_id = 'p0' THEN 'missing_endpoint' WHEN predicate = 'R' THEN 'predicate' WHEN predicate = 'N' THEN 'discourse' ELSE 'kept' END AS reason, count(*) AS edges FROM edges GROUP BY 1""",
-    "blocking_pairs": """WITH n AS (SELECT p_partkey AS id, lower(p_type || ' ' || p_name || ' ' || p_brand) AS l, p_name, p_brand, CAST(p_size AS DOUBLE) AS s FROM part),
-p AS (SELECT a.id AS node_id_1, b.id AS node_id_2, 0.45 * CASE WHEN a.l = b.l THEN 1 ELSE 0.6 END + 0.30 * ((a.s * b.s + 100) / (sqrt(a.s * a.s + 100) * sqrt(b.s * b.s + 100)))
-    + 0.15 * CASE WHEN a.p_name = b.p_name THEN 1 ELSE 0 END + 0.10 * CASE WHEN a.p_name = b.p_name AND a.p_brand = b.p_brand THEN 1.0 WHEN a.p_name = b.p_name OR a.p_brand = b.p_brand THEN 1 / 3 ELSE 0 END AS score
-  FROM n a JOIN n b ON a.id < b.id AND string_split(a.l, ' ')[1] = string_split(b.l, ' ')[1] AND string_split(a.l, ' ')[-1] = string_split(b.l, ' ')[-1])
+    "blocking_pairs": """WITH n AS (SELECT p_partkey AS id, CASE WHEN p_size = 7 THEN 'government' ELSE lower(p_type || ' ' || p_name || ' ' || p_brand) END AS l, p_name, p_brand, CAST(p_size AS DOUBLE) - 25 AS s, p_size <> 31 AS v, p_brand <> 'Brand#5' AS near FROM part),
+p AS (SELECT a.id AS node_id_1, b.id AS node_id_2, 0.45 * CASE WHEN a.l = b.l THEN 1 ELSE 0.6 END + 0.30 * CASE WHEN a.v AND b.v THEN (a.s * b.s + 1) / (sqrt(a.s * a.s + 1) * sqrt(b.s * b.s + 1)) ELSE 0 END
+    + 0.15 * CASE WHEN a.p_name = b.p_name AND a.near AND b.near THEN 1 ELSE 0 END + 0.10 * CASE WHEN a.p_name = b.p_name AND a.p_brand = b.p_brand THEN 1.0 WHEN a.p_name = b.p_name OR a.p_brand = b.p_brand THEN 1 / 3 ELSE 0 END AS score
+  FROM n a JOIN n b ON a.id < b.id AND string_split(a.l, ' ')[1] = string_split(b.l, ' ')[1] AND string_split(a.l, ' ')[-1] = string_split(b.l, ' ')[-1] AND (a.l <> 'government' OR (a.near AND b.near)))
 SELECT node_id_1, node_id_2, round(score, 6) AS score FROM p WHERE score >= 0.85""",
+    "typed_block_pairs": """WITH n AS (SELECT s_suppkey AS id, 'p' AS kind, s_suppkey % 40 AS block, CAST(s_suppkey % 3 AS VARCHAR) AS form, CAST(s_suppkey % 40 AS VARCHAR) AS alias FROM supplier
+  UNION ALL SELECT 1000000000 + p_partkey, p_type || p_name, 0, CAST(p_size AS VARCHAR), p_brand FROM part)
+SELECT a.id AS node_id_1, b.id AS node_id_2, round(0.45 * CASE WHEN a.form = b.form THEN 1 ELSE 0.5 END + 0.15 + 0.10 * CASE WHEN a.alias = b.alias THEN 1 ELSE 0 END, 6) AS score
+FROM n a JOIN n b ON a.id < b.id AND a.kind = b.kind AND a.block = b.block WHERE score >= 0.6""",
     "connected_components": f"WITH RECURSIVE {_LINKS} SELECT node, component FROM parts",
     "canonical_pick": f"""WITH RECURSIVE {_LINKS}, degree AS (SELECT x AS node, count(*) AS d FROM both_ways GROUP BY x)
 SELECT node AS old_id, first_value(node) OVER (PARTITION BY component ORDER BY node >= 1000000000000, d DESC, length(CAST(node AS VARCHAR)) DESC, node) AS canonical_id, component AS cluster FROM parts JOIN degree USING (node)""",
