@@ -15,8 +15,8 @@ its length as they are, and if of the strings like it, labelled or not, a share
 candidates the whole corpus has.  (What isn't labelled may well be a secret, so the
 share needn't be near 1.)
 
-Automata are fitted to at most ``TRAIN`` distinct strings of a kind (those of the
-smallest hash; plain ones count in proportion to their occurrences); candidates and
+Automata are fitted to at most ``TRAIN`` distinct strings of a kind, each of at most
+``LONGEST`` characters (those of the smallest hash; plain ones count in proportion to their occurrences); candidates and
 labelled ones are counted over all texts.
 """
 
@@ -42,6 +42,8 @@ ALPHA = 0.05
 SHARE = 0.05
 #: Shortest candidate that can be told by its format.
 SHORTEST = 12
+#: Longer strings don't teach: one of them would outweigh all others.
+LONGEST = 256
 #: Share of labelled credentials that may be less likely, for their length, than what is found.
 TAIL = 0.01
 
@@ -263,6 +265,7 @@ def labelled(docs: DataFrame, text: str, workspace: Workspace) -> DataFrame:
                 hashes = RangeHash(found.small)
                 for name, x, y in [*((k, inner[kind == p], end[kind == p]) for p, k in enumerate(KINDS)), (PLAIN, a[free], b[free])]:
                     counts[name] += len(x)
+                    x, y = x[y - x <= LONGEST], y[y - x <= LONGEST]
                     own, h = sample[name], hashes(x, y)
                     if len(own) >= TRAIN:
                         near = np.flatnonzero(h <= np.uint64(max(own)))
