@@ -32,15 +32,15 @@ from tessera.llm.textarrays import LOWER, Words, flat_bytes, plain, slices
 from tessera.plans.workspace import Workspace
 
 #: Entries of a list read in the first round, and how many times more are read with each.
-DEPTH, GROWTH = 64, 8
+DEPTH, GROWTH = 16, 8
 #: (Text, term) pairs of a block.
 BLOCK = 1 << 17
 #: Impacts that differ in these low bits only are read in one go.
 CLASS_BITS = 12
 #: Documents looked up by a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
-#: Scores that a task holds at once.
-CELLS = 1 << 21
+#: Scores that a task holds at once, and parts of scores that it adds up at once (but for those of a single document).
+CELLS, PARTS = 1 << 20, 1 << 20
 #: b = 0.75 and k1 = 0.8 of the score, in hundredths and thousandths.
 LENGTH_PART, SATURATION = 75, 8
 
@@ -183,7 +183,21 @@ def scored(found: DataFrame, block, open_texts: np.ndarray, least: np.ndarray, k
         place[open_texts] = np.arange(len(open_texts))
         held = [np.zeros(0, np.int64) for _ in range(5)]
         most = max(1, CELLS // max(1, len(open_texts)))
-        for batch in (whole.slice(a, most) for whole in batches for a in range(0, len(whole), most)):
+        fan = np.diff(known.first)
+
+        def pieces():
+            for whole in batches:
+                for a in range(0, len(whole), most):
+                    batch = whole.slice(a, most)
+                    ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False))
+                    parts = np.append(0, np.cumsum(fan[_flat(batch, "terms")]))[ends]
+                    at = 0
+                    while at < len(batch):
+                        to = int(np.searchsorted(parts, (parts[at - 1] if at else 0) + PARTS, "right"))
+                        yield batch.slice(at, max(to, at + 1) - at)
+                        at = max(to, at + 1)
+
+        for batch in pieces():
             owner, term, points = _impacts(batch, known)
             pair, whose = known.pairs_of(term)
             item = place[known.text[pair]]

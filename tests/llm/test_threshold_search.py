@@ -54,7 +54,8 @@ def frames(spark, docs, items):
 def test_against_all_scores(spark, monkeypatch, depth, block):
     monkeypatch.setattr(threshold_search, "DEPTH", depth)
     monkeypatch.setattr(threshold_search, "BLOCK", block)
-    monkeypatch.setattr(threshold_search, "CELLS", 50)
+    monkeypatch.setattr(threshold_search, "CELLS", 500)
+    monkeypatch.setattr(threshold_search, "PARTS", 40)
     docs, items = corpus(depth, 150)
     d, t = frames(spark, docs, items)
     assert found(threshold_search.search(d, t)) == expected(docs, items)
