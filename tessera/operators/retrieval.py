@@ -6,9 +6,6 @@ import re
 from collections.abc import Sequence
 from datetime import date
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,42 +174,3 @@ def grouped_sources(rows: DataFrame, group: str, position: str, order: Sequence[
     first = rows.groupBy(F.col(group).alias("_k")).agg(F.min(position).alias("_g"))
     found = rows.join(first, F.col(group).eqNullSafe(F.col("_k")), "left").drop("_k")
     return running_number(found, ["_g", group, *order], "number", workspace).drop("_g")
-
-
-def nearest_of_each(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, block: int = 4096) -> DataFrame:
-    """(query, key, distance, rank): the ``k`` rows nearest to each query vector (columns query, vector), ties by key.
-
-    Exact: every query is compared with every row, in blocks.  Blocks of queries
-    are few and bounded, so each is sent to all rows; within a batch of rows the
-    distances are one matrix product, and a batch gives its ``k`` nearest only.
-    """
-    kind = rows.schema[key].dataType.simpleString()
-    asked = queries.select("query", "vector").where("vector is not null").orderBy("query").toArrow()
-    name = queries.schema["query"].dataType.simpleString()
-    sc, out = rows.sparkSession.sparkContext, None
-    for at in range(0, max(1, len(asked)), block):
-        part = asked.slice(at, block)
-        vectors = np.array(part.column("vector").to_pylist(), np.float64).reshape(len(part), -1)
-        shared = sc.broadcast((part.column("query").combine_chunks(), vectors))
-
-        def near(batches, shared=shared):
-            names, wanted = shared.value
-            norms = np.linalg.norm(wanted, axis=1)
-            for batch in batches:
-                batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), wanted.shape[1]), False))
-                if not len(batch) or not len(names):
-                    continue
-                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-                length = np.linalg.norm(own, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    apart = 1 - (wanted @ own.T) / norms[:, None] / length
-                order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
-                best = order[np.argsort(apart[:, order], axis=1, kind="stable")[:, :k]]
-                rank_of = np.take_along_axis(apart, best, 1)
-                q, r = np.nonzero(np.isfinite(rank_of))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(best[q, r])), pa.array(rank_of[q, r])], ["query", key, "distance"])
-
-        found = rows.select(key, embedding).mapInArrow(near, f"query {name}, {key} {kind}, distance double")
-        out = found if out is None else out.unionByName(found)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)))
-    return ranked.where(F.col("rank") <= k)

@@ -59,13 +59,14 @@ class TextIndex:
         self.spark, self.folder = spark, folder
         about = json.loads(spark.read.text(f"{folder}/about").first()[0])
         self.key, self.buckets, self.stemmed = about["key"], about["buckets"], about["stemmed"]
+        self._rows = spark.read.schema(f"doc {about['kind']}, term string, gaps array<int>, bucket int").parquet(f"{folder}/postings")
 
     def postings(self, terms: list[str]) -> DataFrame:
         """(doc, term, positions) of some terms; only their folders are read."""
         if not terms:
-            return self.spark.read.parquet(f"{self.folder}/postings").where("false").select("doc", "term", F.col("gaps").alias("positions"))
+            return self._rows.where("false").select("doc", "term", F.col("gaps").alias("positions"))
         rows = self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"), self.buckets)).distinct().collect()
-        found = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("bucket").isin([r[0] for r in rows]) & F.col("term").isin(terms))
+        found = self._rows.where(F.col("bucket").isin([r[0] for r in rows]) & F.col("term").isin(terms))
         return found.select("doc", "term", F.transform("gaps", lambda _, i: F.aggregate(F.slice("gaps", F.lit(1), i + 1), F.lit(0), lambda a, g: a + g)).alias("positions"))
 
     def units(self, texts: list[str]) -> list[Unit]:
@@ -137,7 +138,7 @@ def build(docs: DataFrame, key: str, text: str, folder: str, stemmed: bool = Tru
     rows = stemmed_rows.select("doc", "term", gaps.alias("gaps"), bucket_of(F.col("term"), buckets), F.pmod(F.xxhash64("doc"), F.lit(PARTS)).alias("_part"))
     rows.repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term", "doc").write.mode("errorifexists").partitionBy("bucket").parquet(f"{folder}/postings")
     docs.select(F.col(key).alias("doc"), F.coalesce(F.size(words(F.col(text))), F.lit(0)).alias("words")).write.parquet(f"{folder}/lengths")
-    spark.createDataFrame([(json.dumps({"key": key, "buckets": buckets, "stemmed": stemmed}),)], "value string").coalesce(1).write.text(f"{folder}/about")
+    spark.createDataFrame([(json.dumps({"key": key, "buckets": buckets, "stemmed": stemmed, "kind": docs.schema[key].dataType.simpleString()}),)], "value string").coalesce(1).write.text(f"{folder}/about")
     workspace.drop(own)
     return TextIndex(spark, folder)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import score
 from tessera.functions import text as ft
 from tessera.functions import vocabulary as v
-from tessera.operators import quality_reports, retrieval, sequence
+from tessera.operators import cells, quality_reports, retrieval, sequence
 from tessera.queries.tables import edges, table
 
 TERMS = ["the", "and", "of"]
@@ -22,14 +22,21 @@ def vector_topk(spark, sf_dir):
     """The 20 nearest rows to every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    found = retrieval.nearest_of_each(rows, asked, "vec_id", "embedding", 20)
+    found = cells.nearest_of_each(rows, asked, "vec_id", "embedding", 20)
     return found.select("query", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+def vector_cells(spark, sf_dir):
+    """The 10 nearest rows to every row whose id is divisible by 20, by an index of k-means cells and their bounds."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = cells.nearest_of_each(rows, asked, "vec_id", "embedding", 10, None)
+    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 def _near_first(spark, sf_dir, k):
     rows = table(spark, sf_dir, "embeddings")
-    wanted = rows.where("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    return retrieval.nearest_of_each(rows, wanted, "vec_id", "embedding", k)
+    return retrieval.vector_topk(rows, "vec_id", "embedding", rows.where("vec_id = 0").first()["embedding"], k)
 
 
 def lexical_match_rank(spark, sf_dir):
@@ -37,7 +44,7 @@ def lexical_match_rank(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    near = _near_first(spark, sf_dir, 40).withColumnRenamed("vec_id", "doc_id")
+    near = _near_first(spark, sf_dir, 40).select(F.col("vec_id").alias("doc_id"), "distance")
     full = retrieval.lexical_search(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS).withColumn("rank", F.round("rank", 6))
     channels = [retrieval.in_rank_order(near, "vector", [F.round("distance", 6)], "doc_id", 40), retrieval.in_rank_order(full, "fulltext", [-F.col("rank")], "doc_id", 40)]
     return retrieval.fuse(channels, "doc_id").select("doc_id", F.array_join("channels", ",").alias("channels"), F.round("fused", 6).alias("fused"))
@@ -137,6 +144,7 @@ def top_roles(spark, sf_dir):
 
 QUERIES = {
     "vector_topk": vector_topk,
+    "vector_cells": vector_cells,
     "lexical_match_rank": lexical_match_rank,
     "rrf_fusion": rrf_fusion,
     "rrf_boosts": boosted_fusion,
@@ -162,6 +170,8 @@ _DAILY = "(SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS mentions F
 SQL = {
     "vector_topk": """SELECT query, vec_id, round(d, 6) AS distance FROM (SELECT q.vec_id AS query, e.vec_id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d
   FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, vec_id) <= 20""",
+    "vector_cells": """SELECT query, vec_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) QUALIFY rank <= 10""",
     "rrf_boosts": r"""SELECT doc_id, round(1 / (60 + doc_id % 40 + 1) + 0.03 + 0.1 * least(len(list_intersect(w, ['road', 'tax', 'bus'])), 3) + CASE WHEN contains(t, 'road') OR contains(t, 'tax') OR contains(t, 'bus') THEN 0.05 ELSE 0 END
   - CASE WHEN len(list_intersect(w, ['road', 'tax', 'bus'])) = 0 THEN 0.05 ELSE 0 END, 6) AS score FROM (SELECT doc_id, t, list_distinct(regexp_extract_all(regexp_replace(t, '[^[:ascii:]]', '_', 'g'), '\b[a-z][a-z0-9-]{2,}\b')) AS w FROM (SELECT doc_id, lower(concat_ws(' ', text, source)) AS t FROM documents))""".replace("\\\\", "\\"),
     "lexical_match_rank": f"SELECT doc_id, rank FROM {_RANK}",

@@ -112,3 +112,32 @@ def test_stemmed_index(spark, tmp_path):
     assert lengths == {1: 7, 2: 4, 3: 5, 4: 1}
     empty = textindex.build(spark.createDataFrame([], "id long, body string"), "id", "body", str(tmp_path / "e"))
     assert empty.search("budget").collect() == []
+
+
+def test_stemmed_query(spark):
+    """The registered query against stretches found in the texts themselves."""
+    import pandas as pd
+
+    from tessera.queries import fulltext
+
+    folder = "/root/testdata/sf0.001"
+    texts = pd.read_parquet(f"{folder}/documents.parquet").set_index("doc_id")["text"]
+    split = {d: re.findall(r"[^\W_]+", (t or "").lower()) for d, t in texts.items()}
+    distinct = spark.createDataFrame([(w,) for w in sorted({w for ws in split.values() for w in ws})], "word string")
+    stems = {r.word: r.stem for r in distinct.withColumn("stem", stemming.stem(F.col("word"))).collect()}
+    want = {}
+    for doc, ws in split.items():
+        terms = [stems[w] for w in ws]
+        score = 0.0
+        for units in (["thing", "end"], ["rest"]):
+            last, before = {}, None
+            for q, t in enumerate(terms):
+                if t in units:
+                    last[t] = q
+                    if len(last) == len(units) and (before is None or min(last.values()) > before):
+                        before = min(last.values())
+                        score += 0.1 / (1 + q - before + 1 - len(units))
+        if score:
+            want[doc] = round(score, 6)
+    got = {r.doc_id: r["rank"] for r in fulltext.stemmed_search(spark, folder).collect()}
+    assert len(want) > 10 and got == pytest.approx(want, abs=2e-6)
