@@ -78,14 +78,6 @@ def resolve(rows: DataFrame, known: DataFrame, name: str, least: float = 88.0) -
     return rows.join(found, F.col(name) == F.col("_n"), "left").drop("_n")
 
 
-def segment_speakers(rows: DataFrame, known: DataFrame, name: str, least: float = 80.0) -> DataFrame:
-    """``rows`` with ``speaker_id``: the known speaker whose name, in lower case, is more than ``least`` alike, else a new id from the name."""
-    low = rows.withColumn("_low", F.lower(F.col(name)))
-    near = nearest_names(low, known.withColumn("name", F.lower("name")), "_low", "id", "name", least).where(F.col("similarity") > least)
-    found = low.join(near.select(F.col("name").alias("_low"), F.col("id").alias("_id")), "_low", "left")
-    return found.withColumn("speaker_id", F.coalesce("_id", F.concat(F.lit("s_"), ft.slug(F.col(name)), F.lit("_1")))).drop("_low", "_id")
-
-
 def title_index(papers: DataFrame, recent: int = 25) -> DataFrame:
     """(key, display): how speakers of the ``recent`` latest order papers (sitting, speakers) are shown, the latest first for each key."""
     few = papers.where(F.size("speakers") > 0).orderBy(F.desc("sitting"), "paper").limit(recent)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import score
 from tessera.functions import text as ft
 from tessera.functions import vocabulary as v
-from tessera.operators import citing, entities, graph, matching, naming, quality_reports, search, sequence, upsert
+from tessera.operators import citing, entities, graph, matching, naming, quality_reports, search, sequence, speakers, upsert
 from tessera.plans.workspace import Workspace
 from tessera.queries.tables import table
 from tessera.sources import chunks, readers, writers
@@ -22,6 +22,13 @@ def keywords(spark, sf_dir):
     return found.select("doc_id", F.array_join("keywords", " ").alias("keywords"))
 
 
+def segment_speakers(spark, sf_dir):
+    """Parts as the speakers of segments: their kind is the video, their size the segment."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_type").alias("video_id"), F.col("p_size").alias("segment"), F.col("p_partkey").alias("place"), F.col("p_partkey").alias("voice"), F.col("p_name").alias("name"), F.col("p_brand").alias("position"), F.lit("part").alias("role_in_video"))
+    return speakers.map_segments(rows)
+
+
 def entity_counts(spark, sf_dir):
     """Entities by kind in each document, and how many characters they have."""
     found = entities.with_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.explode("entities").alias("e"))
@@ -276,7 +283,7 @@ def signatures(spark, sf_dir):
 
 
 QUERIES = {
-    "keywords15": keywords, "entity_counts": entity_counts, "legislation_mentions": legislation_mentions, "name_resolution": name_resolution, "shown_names": shown_names, "citation_resolution": citation_resolution, "citation_append": citation_append,
+    "keywords15": keywords, "entity_counts": entity_counts, "legislation_mentions": legislation_mentions, "name_resolution": name_resolution, "shown_names": shown_names, "segment_speakers": segment_speakers, "citation_resolution": citation_resolution, "citation_append": citation_append,
     "citation_hydration": citation_hydration, "hybrid_sentences": hybrid_sentences, "words_within": words_within, "candidate_nodes": candidate_nodes, "mismatch_flags": mismatch_flags, "sampled_flags": sampled_flags, "backfill_nulls": backfill_nulls,
     "due_videos": due_videos, "relative_date_enum_paging": filters, "actionable_checks": actionable_checks, "search_words": search_words, "rekey_null_orphans": rekeyed, "collapsed_nodes": collapsed_nodes, "vector_pairs_by_label": vector_pairs,
     "chunk_text": chunk_text, "transcript_files": transcript_files, "csv_files": csv_files, "caption_cues_overlap": caption_cues, "order_paper_items": order_papers, "table_links": table_links, "dates_and_roles": dates_and_roles, "edge_signatures": signatures,

@@ -17,7 +17,7 @@ def test_equal_to_sql(spark, db, name):
 
 
 def test_only_iterative_or_python_queries_lack_sql():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"fuzzy_label_sim", "chunk_text"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"fuzzy_label_sim", "chunk_text", "fulltext_stemmed", "segment_speakers"}
 
 
 def test_chunks_of_all_documents(spark):
