@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as ft
 from tessera.operators import sequence, upsert
 from tessera.sources.readers import TRANSCRIPT
+from tessera.streaming.versioned import VersionedTable
 
 
 def sentence_rows(raw: DataFrame) -> DataFrame:
@@ -17,38 +18,37 @@ def sentence_rows(raw: DataFrame) -> DataFrame:
     return sequence.suffixed_ids(rows.where("seconds is not null"), ["video_id", "seconds"], ["position"], base)
 
 
-def ingest_new(spark: SparkSession, folder: str, table: str, state: str):
-    """Read the files of ``folder`` not seen before and put their sentences into the Parquet ``table``; returns the finished query.
+#: Columns of the table of sentences.
+SENTENCES = "id string, video_id string, position int, text string, speaker_id string, seconds long"
 
-    Every batch is written as a new version folder beside the old one, which
-    stays until the next batch: readers of the table take ``latest(table)``.
+
+def sentence_table(spark: SparkSession, folder: str, buckets: int = 64) -> VersionedTable:
+    """The table of sentences in a folder, with their search words; a new one if there is none."""
+    words = lambda rows: upsert.with_search_words(rows, F.col("text"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifests")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return VersionedTable(spark, folder, words)
+    return VersionedTable.create(spark, folder, SENTENCES, ["id"], buckets, words)
+
+
+def ingest_new(spark: SparkSession, folder: str, table: VersionedTable, state: str):
+    """Read the files of ``folder`` not seen before and put their sentences into ``table`` (of ``sentence_table``); returns the finished query.
+
+    Every batch is one change that touches the buckets of its sentences only, and
+    counts once even if the stream repeats it after a failure.
     """
     stream = spark.readStream.schema(TRANSCRIPT).option("multiLine", True).json(folder)
     stream = stream.withColumn("video_id", F.regexp_extract(F.col("_metadata.file_name"), r"(?:transcription_output_)?(.+?)\.json$", 1))
 
     def put(batch: DataFrame, number: int) -> None:
-        new = sentence_rows(batch)
-        old = latest(spark, table)
-        merged = new if old is None else upsert.upsert(old, new, ["id"])
-        merged.write.mode("overwrite").parquet(f"{table}/version={number}")
+        rows = sentence_rows(batch).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SENTENCES.split(", ")])
+        table.merge(rows, source=state, number=number)
 
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def latest(spark: SparkSession, table: str) -> DataFrame | None:
-    """The newest version of a table, or None before the first."""
-    try:
-        every = spark.read.parquet(table)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-    newest = every.agg(F.max("version")).first()[0]
-    return None if newest is None else spark.read.parquet(f"{table}/version={newest}")
-
-
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and sums by event type and event-time window, of a stream or a table with ts; later rows than ``late`` are ignored in a stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))

@@ -7,7 +7,6 @@ from tessera.functions import fuzzy
 from tessera.functions import text as ft
 from tessera.operators import cleanup, graph, sequence
 from tessera.sources import chunks, readers
-from tessera.streaming import ingest
 
 
 def transcript(lines):
@@ -26,19 +25,6 @@ def test_transcripts_to_paragraphs(spark, tmp_path):
     assert readers.transcript_speakers(spark, str(tmp_path)).count() == 1
 
 
-def test_ingestion_of_new_files_only(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    (folder / "v1.json").write_text(json.dumps(transcript(LINES)))
-    paths = str(folder), str(tmp_path / "table"), str(tmp_path / "state")
-    ingest.ingest_new(spark, *paths)
-    assert {r.id for r in ingest.latest(spark, paths[1]).collect()} == {"v1:5", "v1:10", "v1:10_2", "v1:60"}
-    (folder / "v2.json").write_text(json.dumps(transcript(LINES[:1])))
-    ingest.ingest_new(spark, *paths)
-    ingest.ingest_new(spark, *paths)
-    assert ingest.latest(spark, paths[1]).count() == 5
-
-
 def test_captions(spark):
     text = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:03.500 align:start\n<c>Hello</c> there\nfriend\n\n01:02.250 --> 01:04.000\nAgain\n\nNOTE no cue\n"
     cues = readers.caption_cues(spark.createDataFrame([("v", text)], "k string, t string"), "k", "t")
