@@ -7,22 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import selection
+
 
 def run_rollup(metrics: DataFrame, by: list[str]) -> DataFrame:
-    """Counts, rates and elapsed percentiles for each configuration; elapsed only over positive times."""
+    """Counts, rates and exact elapsed percentiles for each configuration (of columns without nulls); elapsed only over positive times."""
     timed = F.when(F.col("elapsed_s") > 0, F.col("elapsed_s"))
     ok = F.when(F.col("parse_success"), 1).otherwise(0)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return metrics.groupBy(*by).agg(
+    found = metrics.groupBy(*by).agg(
         F.count("*").alias("windows"),
         F.sum(ok).alias("successes"),
         (F.sum(ok) / F.count("*")).alias("success_rate"),
         zero(F.avg(timed)).alias("elapsed_avg"),
-        zero(F.percentile(timed, F.lit(0.5))).alias("elapsed_p50"),
-        zero(F.percentile(timed, F.lit(0.95))).alias("elapsed_p95"),
         zero(F.max(timed)).alias("elapsed_max"),
         F.sum("total_tokens").alias("tokens"),
     )
+    points = selection.percentiles(metrics, by, timed, {"elapsed_p50": 0.5, "elapsed_p95": 0.95})
+    both = found.join(points, by, "left").withColumns({c: zero(F.col(c)) for c in ("elapsed_p50", "elapsed_p95")})
+    return both.select(*by, "windows", "successes", "success_rate", "elapsed_avg", "elapsed_p50", "elapsed_p95", "elapsed_max", "tokens")
 
 
 def overlap(signatures: DataFrame, model: str, signature: str) -> DataFrame:

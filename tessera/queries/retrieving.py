@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import score
 from tessera.functions import text as ft
 from tessera.functions import vocabulary as v
-from tessera.operators import cells, quality_reports, retrieval, sequence
+from tessera.operators import cells, quality_reports, retrieval, selection, sequence
 from tessera.queries.tables import edges, table
 
 TERMS = ["the", "and", "of"]
@@ -98,8 +98,8 @@ def voice_conflict(spark, sf_dir):
 
 
 def percentiles(spark, sf_dir):
-    p = lambda x: F.round(F.coalesce(F.percentile("value", F.lit(x)), F.lit(0.0)), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    found = selection.percentiles(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("p50", "p95")])
 
 
 def benchmark_rollup(spark, sf_dir):
