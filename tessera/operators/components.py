@@ -46,3 +46,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m"))).distinct()
+
+
+def add_links(labels: DataFrame, links: DataFrame, a: str, b: str, workspace: Workspace | None = None) -> DataFrame:
+    """The rows of ``labels`` (node, component) that new links change or add; all others stay as they are.
+
+    Links are taken between the components of their ends, and components are found
+    among these alone, so the work grows with the links and the components that they
+    join, not with the graph.  A node without a label is a component of its own, and
+    a component is still named after its smallest node.
+    """
+    workspace = workspace or Workspace(links.sparkSession, "links")
+    pairs = workspace.save(links.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null").distinct())
+    ends = pairs.select(F.col("_a").alias("node")).union(pairs.select("_b")).distinct()
+    known = workspace.save(ends.join(labels.select("node", F.col("component").alias("_c")), "node", "left").select("node", F.coalesce("_c", "node").alias("now"), F.col("_c").isNull().alias("fresh")))
+    of = lambda end, name: known.select(F.col("node").alias(end), F.col("now").alias(name))
+    joined = pairs.join(of("_a", "x"), "_a").join(of("_b", "y"), "_b").where("x <> y")
+    parts = workspace.save(connected_components(joined, "x", "y", workspace).withColumnRenamed("node", "now"))
+    fresh = known.where("fresh").join(parts, "now", "left").select("node", F.coalesce("component", "now").alias("component"))
+    moved = labels.withColumnRenamed("component", "now").join(parts.where("now <> component"), "now").select("node", "component")
+    return moved.unionByName(fresh)

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as ft
 from tessera.functions import vocabulary as v
-from tessera.operators import graph, matching, upsert
+from tessera.operators import graph, jsonrows, matching, upsert
+from tessera.operators.components import add_links
+from tessera.plans.workspace import Workspace
 from tessera.queries.tables import edges, table
+from tessera.streaming import versioned
 
 CATEGORIES = {"license": ["license", "apache", "gnu"], "contact": ["@", "token"], "table": [" | "]}
 
@@ -142,7 +145,42 @@ def allowed_edges(spark, sf_dir):
     return rows.withColumn("predicate", graph.remapped(F.col("predicate"), v.PREDICATES, v.PREDICATE_REMAPS)).where("predicate is not null").groupBy("predicate").agg(F.count("*").alias("edges"))
 
 
+def json_rows(spark, sf_dir):
+    """Turns of conversations exploded from JSON texts of all turns, those whose object has the key ``said`` (absent where a turn is odd)."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.when(F.col("turn") % 2 == 0, F.col("text")).alias("said"))))
+    texts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("turns"))).alias("j"))
+    items = jsonrows.exploded(texts, "j", "$.turns").where(jsonrows.has_key(F.col("item"), "said"))
+    return items.select("conv_id", F.col("place").cast("long").alias("place"), jsonrows.value_at(F.col("item"), "$.role").alias("role"), F.length(jsonrows.value_at(F.col("item"), "$.said")).cast("long").alias("size"))
+
+
+def versioned_changes(spark, sf_dir):
+    """Orders after three changes of a versioned table: all put in, those of one status repriced, those of one priority deleted."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("double").alias("price"))
+    made = versioned.VersionedTable.create(spark, f"{Workspace(spark, 'versioned').root}/orders", orders.schema, ["o_orderkey"], 16)
+    made.merge(orders)
+    for _ in range(2):
+        # the second time counts for nothing
+        made.merge(orders.where("o_orderstatus = 'F'").withColumn("price", F.col("price") + 1000), source="reprice", number=1)
+    made.delete(orders.where("o_orderpriority = '5-LOW'"))
+    return made.read().select("o_orderkey", "o_orderstatus", F.round("price", 2).alias("price"))
+
+
+def joined_components(spark, sf_dir):
+    """Components of customers and parts by status: the labels of one status, then the links of the others added in two steps."""
+    workspace = Workspace(spark, "increments")
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    links = workspace.save(lines.select("l_returnflag", F.col("o_custkey").cast("long").alias("a"), (F.col("l_partkey") + 1_000_000_000_000).alias("b")).distinct())
+    labels = spark.createDataFrame([], "node long, component long")
+    for flag in ("R", "A", "N"):
+        changed = workspace.save(add_links(labels, links.where(F.col("l_returnflag") == flag), "a", "b", workspace))
+        labels = workspace.save(labels.join(changed.select("node"), "node", "left_anti").unionByName(changed))
+    return labels
+
+
 QUERIES = {
+    "json_array_rows": json_rows,
+    "versioned_changes": versioned_changes,
+    "incremental_components": joined_components,
     "anti_join_unmatched": unmatched,
     "semi_endpoint_filter": endpoint_filter,
     "range_override_join": range_override,
@@ -177,6 +215,13 @@ scored AS (SELECT *, CAST(least(100, CASE WHEN day_delta = 0 THEN 55 WHEN day_de
   WHEN abs(date_diff('day', said, sitting)) <= 3 THEN 8 ELSE 0 END + CASE WHEN room = session THEN 10 ELSE 0 END) AS BIGINT) AS points FROM few),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY points DESC, day_delta, paper) AS rank FROM scored QUALIFY rank <= 5)"""
 SQL = {
+    "json_array_rows": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS place, role, length(text) AS size FROM conversations QUALIFY turn % 2 = 0 AND text IS NOT NULL",
+    "versioned_changes": "SELECT o_orderkey, o_orderstatus, round(CAST(o_totalprice AS DOUBLE) + CASE WHEN o_orderstatus = 'F' THEN 1000 ELSE 0 END, 2) AS price FROM orders WHERE o_orderpriority <> '5-LOW'",
+    "incremental_components": """WITH RECURSIVE links AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, l_partkey + 1000000000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50),
+both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
+reach(node, component) USING KEY (node) AS (SELECT x, min(least(x, y)) FROM both_ways GROUP BY x
+  UNION SELECT y, min(r.component) FROM reach r JOIN both_ways ON r.node = x JOIN recurring.reach o ON o.node = y WHERE r.component < o.component GROUP BY y)
+SELECT node, component FROM reach""",
     "anti_join_unmatched": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "semi_endpoint_filter": """SELECT 'e-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'c' || o_custkey AS source_id, 'p' || l_partkey AS target_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""",
