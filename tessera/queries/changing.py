@@ -9,7 +9,7 @@ from tessera.functions import vocabulary as v
 from tessera.operators import graph, jsonrows, matching, upsert
 from tessera.operators.components import add_links
 from tessera.plans.workspace import Workspace
-from tessera.queries.tables import edges, table
+from tessera.queries.tables import REACH, edges, links, table
 from tessera.streaming import versioned
 
 CATEGORIES = {"license": ["license", "apache", "gnu"], "contact": ["@", "token"], "table": [" | "]}
@@ -166,13 +166,12 @@ def versioned_changes(spark, sf_dir):
 
 
 def joined_components(spark, sf_dir):
-    """Components of customers and parts by status: the labels of one status, then the links of the others added in two steps."""
+    """Components of all links, which are added in four steps to labels that are kept."""
     workspace = Workspace(spark, "increments")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    links = workspace.save(lines.select("l_returnflag", F.col("o_custkey").cast("long").alias("a"), (F.col("l_partkey") + 1_000_000_000_000).alias("b")).distinct())
+    every = workspace.save(links(spark, sf_dir))
     labels = spark.createDataFrame([], "node long, component long")
-    for flag in ("R", "A", "N"):
-        changed = workspace.save(add_links(labels, links.where(F.col("l_returnflag") == flag), "a", "b", workspace))
+    for step in ("R", "C", "A", "N"):
+        changed = workspace.save(add_links(labels, every.where(F.col("step") == step), "a", "b", workspace))
         labels = workspace.save(labels.join(changed.select("node"), "node", "left_anti").unionByName(changed))
     return labels
 
@@ -217,11 +216,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY points DESC,
 SQL = {
     "json_array_rows": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS place, role, length(text) AS size FROM conversations QUALIFY turn % 2 = 0 AND text IS NOT NULL",
     "versioned_changes": "SELECT o_orderkey, o_orderstatus, round(CAST(o_totalprice AS DOUBLE) + CASE WHEN o_orderstatus = 'F' THEN 1000 ELSE 0 END, 2) AS price FROM orders WHERE o_orderpriority <> '5-LOW'",
-    "incremental_components": """WITH RECURSIVE links AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, l_partkey + 1000000000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50),
-both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
-reach(node, component) USING KEY (node) AS (SELECT x, min(least(x, y)) FROM both_ways GROUP BY x
-  UNION SELECT y, min(r.component) FROM reach r JOIN both_ways ON r.node = x JOIN recurring.reach o ON o.node = y WHERE r.component < o.component GROUP BY y)
-SELECT node, component FROM reach""",
+    "incremental_components": f"WITH RECURSIVE {REACH} SELECT node, component FROM parts",
     "anti_join_unmatched": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "semi_endpoint_filter": """SELECT 'e-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'c' || o_custkey AS source_id, 'p' || l_partkey AS target_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""",

@@ -8,7 +8,7 @@ from tessera.functions import fuzzy, score
 from tessera.functions import text as ft
 from tessera.operators import graph
 from tessera.operators.components import connected_components
-from tessera.queries.tables import EDGES, edges, table
+from tessera.queries.tables import EDGES, REACH, edges, links, table
 
 
 def _expand(spark, sf_dir, hops):
@@ -85,20 +85,14 @@ def fuzzy_pairs(spark, sf_dir):
     return found.select("node_id_1", "node_id_2", F.round("score", 6).alias("score"))
 
 
-def _links(spark, sf_dir):
-    """Every customer with the parts ordered in quantities of 50: many small components besides a few larger ones."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.select(F.col("o_custkey").cast("long").alias("a"), (F.col("l_partkey") + 1_000_000_000_000).alias("b")).distinct()
-
-
 def components(spark, sf_dir):
-    return connected_components(_links(spark, sf_dir), "a", "b")
+    return connected_components(links(spark, sf_dir), "a", "b")
 
 
 def canonical_pick(spark, sf_dir):
-    links = _links(spark, sf_dir)
-    pairs = links.select(F.col("a").alias("node_id_1"), F.col("b").alias("node_id_2"), F.lit(1.0).alias("score"))
-    facts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    linked = links(spark, sf_dir).select("a", "b").distinct()
+    pairs = linked.select(F.col("a").alias("node_id_1"), F.col("b").alias("node_id_2"), F.lit(1.0).alias("score"))
+    facts = linked.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     facts = facts.withColumn("label", F.col("id").cast("string")).withColumn("alias_count", F.lit(0)).withColumn("is_speaker", F.col("id") < 1_000_000_000_000)
     return graph.merge_map(pairs, facts).select("old_id", "canonical_id", "cluster")
 
@@ -138,11 +132,6 @@ _MERGED = f"""WITH {EDGES}, merged AS (
   SELECT min(id) AS id, source_id, predicate, target_id, youtube_video_id, min(earliest_seconds) AS earliest_seconds, count(*) AS support_count, max(confidence) AS confidence,
     array_to_string(list_sort(list_distinct(flatten(list(utterance_ids)))), ',') AS utterance_ids
   FROM edges GROUP BY source_id, predicate, target_id, youtube_video_id)"""
-_LINKS = """links AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, l_partkey + 1000000000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50),
-both_ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
-reach(node, component) USING KEY (node) AS (SELECT x, min(least(x, y)) FROM both_ways GROUP BY x
-  UNION SELECT y, min(r.component) FROM reach r JOIN both_ways ON r.node = x JOIN recurring.reach o ON o.node = y WHERE r.component < o.component GROUP BY y),
-parts AS (SELECT node, component FROM reach)"""
 _FORTH = f"""WITH RECURSIVE {EDGES}, links AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges WHERE predicate = 'R'),
 every AS MATERIALIZED (SELECT a AS node FROM links UNION SELECT b FROM links UNION SELECT 'alone'), fans AS MATERIALIZED (SELECT a, count(*) AS fan FROM links GROUP BY a), n AS (SELECT count(*) AS n FROM every),
 rounds AS (SELECT 0 AS i, node, 1.0 / (SELECT n FROM n) AS score FROM every
@@ -171,8 +160,8 @@ SELECT node_id_1, node_id_2, round(score, 6) AS score FROM p WHERE score >= 0.85
   UNION ALL SELECT 1000000000 + p_partkey, p_type || p_name, 0, CAST(p_size AS VARCHAR), p_brand FROM part)
 SELECT a.id AS node_id_1, b.id AS node_id_2, round(0.45 * CASE WHEN a.form = b.form THEN 1 ELSE 0.5 END + 0.15 + 0.10 * CASE WHEN a.alias = b.alias THEN 1 ELSE 0 END, 6) AS score
 FROM n a JOIN n b ON a.id < b.id AND a.kind = b.kind AND a.block = b.block WHERE score >= 0.6""",
-    "connected_components": f"WITH RECURSIVE {_LINKS} SELECT node, component FROM parts",
-    "canonical_pick": f"""WITH RECURSIVE {_LINKS}, degree AS (SELECT x AS node, count(*) AS d FROM both_ways GROUP BY x)
+    "connected_components": f"WITH RECURSIVE {REACH} SELECT node, component FROM parts",
+    "canonical_pick": f"""WITH RECURSIVE {REACH}, degree AS (SELECT x AS node, count(*) AS d FROM both_ways GROUP BY x)
 SELECT node AS old_id, first_value(node) OVER (PARTITION BY component ORDER BY node >= 1000000000000, d DESC, length(CAST(node AS VARCHAR)) DESC, node) AS canonical_id, component AS cluster FROM parts JOIN degree USING (node)""",
     "pagerank": f"{_FORTH} SELECT node, round(score, 9) AS score FROM rounds WHERE i = 20",
     "normalize_label_ids_slug": r"""SELECT p_partkey, regexp_replace(trim(lower('  The  ' || p_name || chr(9) || upper(p_brand))), '\s+', ' ', 'g') AS label,
