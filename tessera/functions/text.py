@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as v
 
+MONTHS = "january february march april may june july august september october november december".split()
+
+
 def normalize_label(c: Column) -> Column:
     """Lower case, trimmed, runs of white space as one blank."""
     return F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
@@ -126,6 +130,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def words_in(text: str) -> list[str]:
+    """What ``words_of`` finds in a text."""
+    return [w.lower() for w in re.findall(r"\b[a-zA-Z][a-zA-Z0-9-]{2,}\b", text)]
+
+
 def words_of(c: Column, pattern: str = r"[A-Za-z][A-Za-z0-9-]{2,}") -> Column:
     """Lower-case matches that stand as words, by default of three or more letters, digits and hyphens after a letter."""
     return F.transform(F.regexp_extract_all(c, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){pattern}(?:(?<!-)(?![\p{{L}}\p{{N}}_])|(?<=-)(?=[\p{{L}}\p{{N}}_]))"), F.lit(0)), lambda t: F.lower(t))

@@ -169,6 +169,14 @@ def merge_hits(hits: DataFrame, key: str, points: str, order: str) -> DataFrame:
     return top_per_group(first, [key], [F.desc(points), F.col(order)]).withColumn(order, F.col("_first")).drop("_first")
 
 
+def keyed_union(first: DataFrame, second: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of both, each key once: the last row's values, in the first row's place (``order`` runs from 1 over both)."""
+    both = first.withColumn("_l", F.lit(0)).unionByName(second.withColumn("_l", F.lit(1)))
+    own = Window.partitionBy(key)
+    marked = both.withColumn("_first", F.min(F.struct("_l", order)).over(own)).withColumn("_r", F.row_number().over(own.orderBy(F.desc("_l"), F.desc(order)))).where("_r = 1")
+    return running_number(marked.select(*[c for c in first.columns if c != order], "_first"), ["_first", key], order).drop("_first").select(first.columns)
+
+
 def grouped_sources(rows: DataFrame, group: str, position: str, order: Sequence[str], workspace: Workspace | None = None) -> DataFrame:
     """``rows`` with a running ``number``: groups by first appearance, rows in order within them."""
     first = rows.groupBy(F.col(group).alias("_k")).agg(F.min(position).alias("_g"))

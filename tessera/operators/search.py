@@ -19,6 +19,15 @@ def with_speakers(sentences: DataFrame, speakers: DataFrame, keep_unknown: bool
     return joined.withColumn("speaker_name", F.coalesce("_name", F.col("speaker_id").cast("string"))).drop("_name")
 
 
+def sentences_cited(ids: DataFrame, sentences: DataFrame, speakers: DataFrame) -> DataFrame:
+    """The sentences of some ids (column id) with ``full_name`` and ``normalized_name``, which is the speaker's id where there is none; an empty title for none."""
+    named = speakers.select(F.col("id").alias("speaker_id"), F.col("full_name").alias("_full"), F.col("normalized_name").alias("_norm"))
+    found = sentences.join(ids.select("id").distinct(), "id", "left_semi").join(named, "speaker_id", "left")
+    name = F.coalesce(F.nullif("_norm", F.lit("")), F.col("speaker_id").cast("string"))
+    title = {"video_title": F.coalesce("video_title", F.lit(""))} if "video_title" in sentences.columns else {}
+    return found.withColumns(title).select(*sentences.columns, F.col("_full").alias("full_name"), name.alias("normalized_name"))
+
+
 def hybrid_sentences(entities: DataFrame, paragraphs: DataFrame, mentions: DataFrame, sentences: DataFrame, speakers: DataFrame, query: Sequence[float], k: int = 10, most: int = 20, skip: int = 0) -> DataFrame:
     """Sentences that mention the ``k`` entities nearest to a vector, or lie in the ``k`` nearest paragraphs, best ``score`` first.
 

@@ -117,6 +117,11 @@ def repair_timestamps(rows: DataFrame, by: Sequence[str], order: str, raw: str,
     return each.withColumn("reason", F.when(F.col("seconds").isNull(), "invalid").when(falls, F.concat(reason, F.lit("_non_monotonic"))).otherwise(reason)).drop("_r")
 
 
+def time_ranges(sentences: DataFrame, by: Sequence[str], seconds: str, stamp: str) -> DataFrame:
+    """(by, start_seconds, end_seconds, start_timestamp, end_timestamp) of groups: least and largest seconds, and apart from them the least and largest stamps as texts."""
+    return sentences.groupBy(*by).agg(F.min(seconds).alias("start_seconds"), F.max(seconds).alias("end_seconds"), F.min(stamp).alias("start_timestamp"), F.max(stamp).alias("end_timestamp"))
+
+
 def running_number(rows: DataFrame, order: Sequence[str], name: str, workspace: Workspace | None = None, each: int = 500_000) -> DataFrame:
     """``rows`` with their 1-based place in one order over all of them.
 

@@ -87,6 +87,31 @@ def null_orphans(children: DataFrame, parents: DataFrame, column: str, parent_ke
     return children.join(known, F.col(column) == F.col("_p"), "left").withColumn(column, F.col("_p")).select(children.columns)
 
 
+def delete_cascading(tables: dict[str, DataFrame], name: str, gone: DataFrame, key: str, references: Sequence[tuple[str, str, str, str, str]]) -> dict[str, DataFrame]:
+    """``tables`` after the rows of one are deleted whose ``key`` is in ``gone`` (a column of that name).
+
+    A reference (child, column, parent, key, how) says what becomes of a child's rows
+    whose parent goes: ``cascade`` deletes them, and what refers to them in turn;
+    ``null`` empties their column.  References come after those that delete their
+    parents' rows; rows that refer to nothing stay.
+    """
+    left, lost = dict(tables), {name: tables[name].join(gone.select(key).distinct(), key, "left_semi")}
+    left[name] = tables[name].join(gone.select(key).distinct(), key, "left_anti")
+    for child, column, parent, parent_key, how in references:
+        if parent not in lost:
+            continue
+        parents = lost[parent].select(F.col(parent_key).alias("_p")).where("_p is not null").distinct()
+        refers = F.col(column) == F.col("_p")
+        if how == "cascade":
+            dead = left[child].join(parents, refers, "left_semi")
+            lost[child] = lost[child].unionByName(dead) if child in lost else dead
+            left[child] = left[child].join(parents, refers, "left_anti")
+        else:
+            marked = left[child].join(parents, refers, "left")
+            left[child] = marked.withColumn(column, F.when(F.col("_p").isNull(), F.col(column))).select(left[child].columns)
+    return left
+
+
 def backfill(target: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``target`` with columns filled from ``changes`` (unique by key) where they are null."""
     new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])

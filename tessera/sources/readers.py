@@ -124,6 +124,52 @@ def order_paper_facts(files: DataFrame, key: str, text: str) -> DataFrame:
     return files.select(key, ft.prose_date(F.col(text)).alias("sitting_date"), session.alias("session"), number.alias("number"), chamber.alias("chamber"))
 
 
+def labelled_papers(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, session, sitting_number, sitting_date, number, error) of order papers with bold labels.
+
+    A paper needs a date and a number: ``error`` says which is missing or can't be
+    read, and is null for a good one.
+    """
+    value = lambda label, form=r"\s*([^\n]+)": F.trim(F.regexp_extract(_lines(text), rf"\*\*{label}:\*\*{form}", 1))
+    said = value("Date")
+    form = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]+)\s*,\s*(\d{4})\b"
+    day, month, year = (F.regexp_extract(said, form, i) for i in (1, 2, 3))
+    number = F.array_position(F.array(*map(F.lit, ft.MONTHS)), F.lower(month))
+    date = F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+    paper = value("Order Paper Number", r"\s*No\.\s*(\d+)")
+    error = F.when(said == "", "no date").when(day == "", "unreadable date").when(number == 0, "unknown month").when(paper == "", "no number")
+    return files.select(key, value("Session").alias("session"), value("Sitting Number").alias("sitting_number"), F.when((day != "") & (number > 0), date).alias("sitting_date"), paper.alias("number"), error.alias("error"))
+
+
+def labelled_bills(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, sequence, item_type, title, mover, action, status) of the bills in order papers with bold labels: bold list items of the third section, with the fields below them."""
+    section = F.regexp_extract(_lines(text), r"(?s)\*\*3\.\s*Bills on the Order Paper:\*\*(.*?)(?:\n\*\*4\.|\z)", 1)
+    heading = r"(?m)^\*\s+\*\*(.+?)\*\*\s*$"
+    titles = F.regexp_extract_all(section, F.lit(heading), F.lit(1))
+    # what stands before the first heading belongs to no bill
+    blocks = F.slice(F.split(section, heading, -1), F.lit(2), F.size(titles))
+    rows = files.select(key, F.posexplode(F.arrays_zip(titles.alias("title"), blocks.alias("block"))).alias("place", "b"))
+    field = lambda name: F.nullif(F.trim(F.regexp_extract("b.block", rf"(?<![\p{{L}}\p{{N}}_]){name}:\s*([^\n]+)", 1)), F.lit(""))
+    return rows.select(key, (F.col("place") + 1).alias("sequence"), F.lit("BILL").alias("item_type"), F.trim("b.title").alias("title"), *[field(n).alias(n.lower()) for n in ("Mover", "Action", "Status")])
+
+
+def _lines(text: str):
+    """A text with plain line ends, and lines without blanks at their ends."""
+    return F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"[ \t\f]+(?=\n|\z)", "")
+
+
+def overrides_to_speakers(entries: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Overrides (with new_speaker_name) with ``new_speaker_id``, and those whose name nobody has.
+
+    ``names`` (id, full_name, normalized_name): the trimmed full name counts before the normalised one; of equal names the smallest id.
+    """
+    asked = entries.withColumn("_name", F.trim(F.coalesce("new_speaker_name", F.lit("")))).withColumn("_norm", ft.fold(F.col("_name")))
+    by = lambda c, k, i: names.where(F.col(c).isNotNull() & (F.col(c) != "")).groupBy(F.col(c).alias(k)).agg(F.min("id").alias(i))
+    found = asked.join(by("full_name", "_name", "_i"), "_name", "left").join(by("normalized_name", "_norm", "_j"), "_norm", "left").withColumn("new_speaker_id", F.coalesce("_i", "_j"))
+    columns = entries.columns
+    return found.where("new_speaker_id is not null").select(*[c for c in columns if c != "new_speaker_id"], "new_speaker_id"), found.where("new_speaker_id is null").select(*[c for c in columns if c != "new_speaker_id"])
+
+
 def table_links(pages: DataFrame, key: str, markup: str) -> DataFrame:
     """(key, row, cells, title, url) of table rows that have a link."""
     rows = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(markup), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
