@@ -3,12 +3,11 @@
 A page is cut into blocks of text.  A linear classifier, trained on blocks that
 pages mark up themselves (``article`` against ``nav`` and the like) but not
 looking at that mark-up, gives each block a bounded log-odds of being content.
-What elements and class names say is bounded evidence besides, which classifier
-and edges together can overturn; a name around most of a page says little, and
-none from outside an article says anything of the article.  The sum is the
-block's capacity to the source or the sink.  Neighbouring blocks, and blocks of
-one parent or grandparent, are tied by smoothness edges, more loosely where the
-mark-up changes.  The minimum cut labels all blocks of a page at once.
+What elements and class names say is evidence besides, of less weight than the
+classifier's bound; a name around most of a page says little, and none from outside
+an article says anything of the article.  The sum is the block's capacity to the source or the
+sink.  Neighbouring blocks, and blocks of one parent or grandparent, are tied by
+smoothness edges.  The minimum cut labels all blocks of a page at once.
 """
 
 from __future__ import annotations
@@ -28,11 +27,9 @@ from pyspark.sql import types as T
 SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 60_000
 #: Smoothness of neighbours in the page, and of consecutive blocks of one parent and grandparent.
 ADJACENT, SIBLING, COUSIN = 0.6, 0.6, 0.3
-#: What is left of an edge between blocks that differ in their mark-up.
-ACROSS = 0.25
-#: Bounds of the classifier's log-odds, and log-odds that mark-up adds: less than classifier and edges come to.
+#: Bounds of the classifier's log-odds, and log-odds that mark-up adds: less than the classifier alone can say.
 TRUST = 3.0
-BOILERPLATE_TAG, BOILERPLATE_NAME, CONTENT_TAG, CONTENT_NAME = -4.0, -4.0, 2.0, 1.0
+BOILERPLATE_TAG, BOILERPLATE_NAME, CONTENT_TAG, CONTENT_NAME = -2.5, -2.5, 1.25, 0.6
 
 #: Names of HTML elements by their part in a page, and words of class, id and role names.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -221,7 +218,7 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
     last: dict[tuple[str, int], int] = {}
 
     def tie(i: int, j: int, weight: float) -> None:
-        edges[i, j] = edges.get((i, j), 0.0) + weight * (1.0 if blocks[i].zone == blocks[j].zone else ACROSS)
+        edges[i, j] = edges.get((i, j), 0.0) + weight
 
     for i, b in enumerate(blocks):
         if i:

@@ -93,6 +93,26 @@ def test_cut_beats_thresholding_on_held_out_pages_without_mark_up():
     assert cut >= 0.98 * len(held) and cut > single + 0.1 * len(held) and changed
 
 
+@pytest.mark.parametrize(("evidence", "least_mended", "most_wrong"), [(0.0, 60, 1), (0.2, 20, 0), (1.0, 0, 0)])
+def test_cut_mends_what_thresholding_gets_wrong_on_marked_up_pages(evidence, least_mended, most_wrong):
+    """Pages as they are: with a share of the mark-up's evidence, the cut against the sign of the same odds, block by block."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    every = [main_text.blocks_of(p) for p in pages]
+    rows = [(r, b.marked > 0) for bs in every for r, b in zip(main_text.features(bs), bs, strict=True) if b.marked]
+    weights = main_text.train(np.array([r for r, _ in rows]), np.array([float(y) for _, y in rows]))
+    wrong = mended = 0
+    for page, blocks in zip(pages, every, strict=True):
+        article = [b.text for b in main_text.blocks_of(re.search("(?s)<article>.*</article>", page)[0])]
+        texts = [b.text for b in blocks]
+        begin = next(i for i in range(len(texts)) if texts[i : i + len(article)] == article)
+        odds = [o - (1 - evidence) * b.hint for o, b in zip(main_text.odds_of(blocks, weights), blocks, strict=True)]
+        for i, (kept, o) in enumerate(zip(main_text.minimum_cut(odds, main_text.edges_of(blocks)), odds, strict=True)):
+            right = begin <= i < begin + len(article)
+            wrong += kept != right
+            mended += kept == right != (o > 0)
+    assert wrong <= most_wrong and mended >= least_mended
+
+
 def test_query_on_whole_pages_against_the_article_element(spark):
     folder = "/root/testdata/sf0.001"
     got = {r.page_id: r for r in queries.op10_main_text(spark, folder).collect()}
