@@ -3,9 +3,9 @@
 A page is cut into blocks of text.  A linear classifier, trained on blocks that
 pages mark up themselves (``article`` against ``nav`` and the like) but not
 looking at that mark-up, gives each block a bounded log-odds of being content.
-What elements and class names say is evidence besides, of less weight than the
-classifier's bound; a name around most of a page says little, and none from outside
-an article says anything of the article.  The sum is the block's capacity to the source or the
+What elements and class names say is bounded evidence besides, which classifier
+and edges together can overturn; a name around most of a page says little, and none
+from outside an article says anything of the article.  The sum is the block's capacity to the source or the
 sink.  Neighbouring blocks, and blocks of one parent or grandparent, are tied by
 smoothness edges.  The minimum cut labels all blocks of a page at once.
 """
@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 
 #: Pages that the classifier is trained on, and blocks of them, at most.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 60_000
-#: Smoothness of neighbours in the page, and of consecutive blocks of one parent and grandparent.
-ADJACENT, SIBLING, COUSIN = 0.6, 0.6, 0.3
-#: Bounds of the classifier's log-odds, and log-odds that mark-up adds: less than the classifier alone can say.
+#: Smoothness of neighbours in the page, of consecutive blocks of one parent and of one grandparent, and of a block and the last one whose parent is its grandparent.
+ADJACENT, SIBLING, COUSIN, UNCLE = 0.6, 0.6, 0.3, 0.25
+#: Bounds of the classifier's log-odds, and log-odds that mark-up adds: less than classifier and edges come to.
 TRUST = 3.0
-BOILERPLATE_TAG, BOILERPLATE_NAME, CONTENT_TAG, CONTENT_NAME = -2.5, -2.5, 1.25, 0.6
+BOILERPLATE_TAG, BOILERPLATE_NAME, CONTENT_TAG, CONTENT_NAME = -4.0, -4.0, 2.0, 1.0
 
 #: Names of HTML elements by their part in a page, and words of class, id and role names.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -110,8 +110,9 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 top = next(x for x in reversed(stack) if x.tag in BLOCKS or not x.tag)
-                chain = [x.number for x in stack if x.tag in BLOCKS]
-                parent, grand = (chain[-2] if len(chain) > 1 else 0), (chain[-3] if len(chain) > 2 else 0)
+                # 0 is the page itself, -1 what is around it
+                chain = [-1, -1, 0, *[x.number for x in stack if x.tag in BLOCKS and x.tag not in ("html", "body")]]
+                parent, grand = chain[-2], chain[-3]
                 marked = -1 if top.bad else 1 if top.good >= CONTENT_TAG and not top.names else 0
                 hint = BOILERPLATE_TAG if top.bad else 0.0 if top.names else top.good
                 found.append(Block(text, min(linked, len(text)), top.tag, parent, grand, top.zone, top.names, hint, marked))
@@ -223,11 +224,12 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
     for i, b in enumerate(blocks):
         if i:
             tie(i - 1, i, ADJACENT)
-        for kind, key, weight in (("p", b.parent, SIBLING), ("g", b.grandparent, COUSIN)):
+        # siblings, cousins, and a parent's sibling either way, but what lies in the page itself isn't near for that
+        for kind, key, weight in (("p", b.parent, SIBLING), ("g", b.grandparent, COUSIN), ("p", b.grandparent, UNCLE), ("g", b.parent, UNCLE)):
             before = last.get((kind, key))
-            if before is not None:
+            if before is not None and (key > 0 or weight != UNCLE):
                 tie(before, i, weight)
-            last[kind, key] = i
+        last["p", b.parent] = last["g", b.grandparent] = i
     return edges
 
 

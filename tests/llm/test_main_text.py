@@ -93,7 +93,7 @@ def test_cut_beats_thresholding_on_held_out_pages_without_mark_up():
     assert cut >= 0.98 * len(held) and cut > single + 0.1 * len(held) and changed
 
 
-@pytest.mark.parametrize(("evidence", "least_mended", "most_wrong"), [(0.0, 60, 1), (0.2, 20, 0), (1.0, 0, 0)])
+@pytest.mark.parametrize(("evidence", "least_mended", "most_wrong"), [(0.0, 60, 1), (0.1, 20, 0), (1.0, 0, 0)])
 def test_cut_mends_what_thresholding_gets_wrong_on_marked_up_pages(evidence, least_mended, most_wrong):
     """Pages as they are: with a share of the mark-up's evidence, the cut against the sign of the same odds, block by block."""
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
