@@ -1,6 +1,6 @@
 """Keyed surrogates for personal data, in DataFrame functions only.
 
-Detected are e-mail addresses, IPv4 addresses, payment cards (issuer digit and
+Detected are e-mail addresses, IPv4 and IPv6 addresses, payment cards (issuer digit and
 Luhn check, also among other numbers), telephone numbers, social security
 numbers, IBANs, secrets that are assigned (outside quotes with a digit, or right
 after the equals sign) or have a known shape, and persons named with a title or a known given
@@ -47,18 +47,22 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,127}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}"
 SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}["'])[^"'\s]{6,}(?=["'])|(?<=[=:\s])(?=[^\s"'=:])(?<=[=:]\s{0,3})(?:(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)=)|(?=[^\s"'\d]{0,99}\d)(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}))[^\s"'<>(){}\[\],;&]{6,}+(?![(\[{])|(?=[Ags])(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?!\w)"""
 IPV4 = rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
+IPV6 = r"(?=[0-9A-Fa-f])(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
 IBAN = r"(?=[A-Z])(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){3,7}(?: ?[A-Z\d]{1,3})?(?!\w)"
 SSN = r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 # all numbers in a row that are parted by one space or hyphen, of 13 digits or more; cards are looked for within
 CARD = r"(?=[+\d])(?<![\d.-])(?=\+?\d(?:[ -]?\d){12})\+?\d++(?!\.\d|[\p{L}\p{N}._%+-]{0,127}@)(?:[ -]\d++(?!\.\d|[\p{L}\p{N}._%+-]{0,127}@))*+"
 # three groups, or 8 to 15 digits after a plus, or five groups of two digits
 PHONE = r"(?=[+(\d])(?<![\w+.-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+[1-9](?:[ .-]?\d|[ .-]?\(\d{1,4}\)){7,14}|0\d(?:[ .-]\d\d){4})(?![\w-])"
-PERSON = rf"(?=\p{{Lu}})(?<!\w)(?:(?:{_TITLES})\.? (?:{_NAME})(?: {_NAME})?|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_NAME})(?!\w)"
+#: Words that come right before a person's name.
+BEFORE_NAMES = "[Dd]ear|[Cc]ontact|[Nn]ame is|I am|I'm|[Ss]igned by|[Rr]egards,|[Ss]incerely,|[Aa]ttn:|[Nn]ame:|[Cc]ustomer:|[Pp]atient:|[Aa]uthor:|[Ee]mployee:"
+_INTRODUCED = rf"(?<=[ \n])(?<=(?<!\w)(?:{BEFORE_NAMES})[ \n])"
+PERSON = rf"(?=\p{{Lu}})(?<!\w)(?:(?:{_TITLES})\.? (?:{_NAME})(?: {_NAME})?|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_NAME}|{_INTRODUCED}{_NAME} {_NAME})(?!\w)"
 #: In this order; of two that match at one place the earlier counts.
-KINDS = {"email": EMAIL, "secret": SECRET, "ip": IPV4, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
+KINDS = {"email": EMAIL, "secret": SECRET, "ip": IPV4, "ip6": IPV6, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without a match of this have no entity.
-HINT = rf"""[@\d]|[=:]\s{{0,3}}["']|(?<=\w)=\w|AKIA|gh[pousr]_|sk-|(?=\p{{Lu}})(?<!\w)(?:{'|'.join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *MALE_NAMES, *FEMALE_NAMES])})(?!\w)"""
+HINT = rf"""[@\d]|::|{_INTRODUCED}\p{{Lu}}|[=:]\s{{0,3}}["']|(?<=\w)=\w|AKIA|gh[pousr]_|sk-|(?=\p{{Lu}})(?<!\w)(?:{'|'.join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *MALE_NAMES, *FEMALE_NAMES])})(?!\w)"""
 
 
 def _luhn(digits: Column) -> Column:
@@ -79,9 +83,9 @@ def _is(kind: str, entity: Column) -> Column:
 def _kind(entity: Column) -> Column:
     """The kind of a match; null for a row of numbers that as a whole is neither a card's nor a telephone's."""
     digits = F.regexp_replace(entity, r"\D", "")
-    layout = {"email": entity.contains("@"), "ip": _is("ip", entity), "ssn": _is("ssn", entity), "card": _is("card", entity), "phone": _is("phone", entity), "iban": _is("iban", entity), "person": _is("person", entity)}
+    layout = {"email": entity.contains("@"), "ip": _is("ip", entity), "ip6": _is("ip6", entity), "ssn": _is("ssn", entity), "card": _is("card", entity), "phone": _is("phone", entity), "iban": _is("iban", entity), "person": _is("person", entity) | entity.rlike(f"^{_NAME} {_NAME}$")}
     none = F.lit(None).cast("string")
-    kind = F.when(layout["email"], F.lit("email")).when(layout["ip"], F.lit("ip")).when(layout["iban"], F.lit("iban")).when(layout["ssn"], F.lit("ssn"))
+    kind = F.when(layout["email"], F.lit("email")).when(layout["ip"], F.lit("ip")).when(layout["ip6"], F.lit("ip6")).when(layout["iban"], F.lit("iban")).when(layout["ssn"], F.lit("ssn"))
     kind = kind.when(layout["card"], F.when(_is_card(digits), F.lit("card")).when(layout["phone"], F.lit("phone")).otherwise(none))
     return kind.when(layout["phone"], F.lit("phone")).when(layout["person"], F.lit("person")).otherwise(F.lit("secret"))
 
@@ -145,7 +149,7 @@ def _atoms(entity: Column) -> Column:
     """array<struct<kind, surface, canonical>> of a match; kinds null and title are left as they are."""
 
     def of(kind):
-        canonical = F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(entity)
+        canonical = F.when(kind.isin("email", "ip6"), F.lower(entity)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "iban", F.regexp_replace(entity, " ", "")).otherwise(entity)
         one = F.array(F.struct(kind.alias("kind"), entity.alias("surface"), canonical.alias("canonical")))
         return F.when(kind == "person", _person_atoms(entity)).when(kind.isNull(), _row_atoms(entity)).otherwise(one)
 
@@ -207,8 +211,15 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
         # the last label of a domain, a telephone number's first digit, a card's issuer and an IBAN's country stay
         email = F.concat(plain(F.regexp_extract(canonical, r"^(.*)\.[^.]*$", 1)), F.regexp_extract(canonical, r"(\.[^.]*)$", 1))
         card = let(plain(F.substring(canonical, F.lit(1), F.char_length(canonical) - 1), 1), lambda s: F.concat(s, ((10 - _luhn(F.concat(s, F.lit("0")))) % 10).cast("string")))
+        # check digits of an IBAN: 98 less what its rest, country and two zeros leave by 97, with letters as numbers from 10
+        worth = lambda a, c: F.when(c.rlike(r"\d"), a * 10 + c.try_cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+        left = lambda rest: F.aggregate(F.split(F.concat(rest, F.substring(canonical, 1, 2), F.lit("00")), ""), F.lit(0), worth)
+        iban = let(F.substring(plain(canonical, 4), 5, 40), lambda rest: F.concat(F.substring(canonical, 1, 2), F.lpad((98 - left(rest)).cast("string"), 2, "0"), rest))
+        ip6 = F.array_join(F.transform(F.split(canonical, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(stream, (i % 60) + 1, F.lit(1)))), "")
+        key_type = F.char_length(F.regexp_extract(canonical, "^(?:AKIA|gh[pousr]_|sk-)", 0))
         ip = F.array_join(F.transform(F.split(canonical, r"\."), lambda c, i: (1 + _byte(stream, i * 5, 254)).cast("string")), ".")
-        out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind.isin("phone", "iban"), plain(canonical, F.when(attempt < FREER, 2).otherwise(1)))
+        out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "iban", iban).when(kind == "phone", plain(canonical, F.when(attempt < FREER, 2).otherwise(1)))
+        out = out.when(kind == "secret", plain(canonical, key_type))
         return out.when(kind == "surname", _name(stream, kind, canonical, attempt)).when(kind.startswith("given"), _name(stream, kind, canonical, attempt)).otherwise(plain(canonical))
 
     return let(keyed_hash(F.concat_ws("\u0001", kind, canonical, attempt.cast("string")), key), of)
@@ -225,7 +236,7 @@ def _in_layout(kind: Column, surface: Column, other: Column) -> Column:
     digits = lambda: F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"\d"), F.substring(other, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d.rlike(r"\d"))), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c != " ", F.substring(other, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d != " ")), F.lit(1))).otherwise(c)), "")
     each = F.array_join(F.zip_with(chars, F.split(other, ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), "")
-    return F.when(kind.isin("card", "phone", "ssn"), digits()).when(kind == "iban", spaced).when(kind == "email", each).when(kind.startswith("given") | (kind == "surname"), cased(other)).otherwise(other)
+    return F.when(kind.isin("card", "phone", "ssn"), digits()).when(kind == "iban", spaced).when(kind == "email", each).when(kind == "ip6", F.when(surface == F.upper(surface), F.upper(other)).otherwise(other)).when(kind.startswith("given") | (kind == "surname"), cased(other)).otherwise(other)
 
 
 def attempts(atoms: DataFrame, key: str, workspace: Workspace) -> DataFrame:
@@ -254,7 +265,7 @@ def replace(docs: DataFrame, text: str = "text", key: str | None = None, workspa
 
     ``key`` decides the surrogates; without it a random one is drawn, and two
     calls differ.  A name found with a title or given name is also replaced where
-    it, or its given name, stands alone in the same text.  Of entities that overlap
+    it, or its given name, stands alone in the same text, also in capitals, and as a whole in small letters.  Of entities that overlap
     the one that begins first counts, of those at one place the earlier of KINDS.
     Local parts of addresses have 128 characters at most (the standard allows 64);
     texts of any length are read whole.  Null texts stay null; texts without
@@ -283,7 +294,13 @@ def replace(docs: DataFrame, text: str = "text", key: str | None = None, workspa
     def rewritten(atoms):
         surnames = F.array_distinct(F.filter(F.flatten(atoms), lambda a: (a["kind"] == "surname") | a["kind"].startswith("given")))
         pieces = F.split(F.col(text), ENTITY, -1)
-        alone = lambda p: F.aggregate(surnames, p, lambda acc, a: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), a["surface"], F.lit(r"(?![\p{L}\p{N}])")), made(a)))
+        word = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), w, F.lit(r"\E(?![\p{L}\p{N}])"))
+        # a name token also in capitals, and a whole name in small letters: alone these may be common words
+        forms = lambda acc, a: let(made(a), lambda m: F.regexp_replace(F.regexp_replace(acc, word(a["surface"]), m), word(F.upper(a["surface"])), F.upper(m)))
+        people = F.filter(F.transform(atoms, lambda m: F.filter(m, lambda a: (a["kind"] == "surname") | a["kind"].startswith("given"))), lambda m: F.size(m) > 1)
+        low = lambda m, part: F.lower(F.array_join(F.transform(m, part), " "))
+        whole = lambda p: F.aggregate(people, p, lambda acc, m: F.regexp_replace(acc, word(low(m, lambda a: a["surface"])), low(m, made)))
+        alone = lambda p: F.aggregate(surnames, whole(p), forms)
         left = F.when(F.size(surnames) > 0, F.transform(pieces, alone)).otherwise(pieces)
         between = lambda m: F.when(F.exists(m, lambda a: a["kind"] == "surname"), F.lit(" ")).otherwise(F.lit(""))
         mended = F.transform(atoms, lambda m: F.call_function("array_join", F.transform(m, made), between(m)))
