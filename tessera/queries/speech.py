@@ -13,6 +13,10 @@ from tessera.queries.tables import table
 from tessera.sources import chunks, readers, writers
 
 
+def _text(c):
+    return F.col(c).cast("string")
+
+
 def _long(*names):
     return {c: F.col(c).cast("long") for c in names}
 
@@ -220,13 +224,11 @@ def chunk_text(spark, sf_dir):
 
 def transcript_files(spark, sf_dir):
     """Conversations written as transcript records and read again."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("video_id"), (F.col("turn") * 61).alias("seconds"), F.col("turn").cast("string").alias("id"), F.col("role").alias("speaker_id"), "text")
-    item = F.struct(ft.to_timestamp_text(F.col("seconds")).alias("start"), "text", F.col("speaker_id"), "seconds")
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("v:"), _text("conv_id")).alias("video_id"), (F.col("turn") * 61).alias("seconds"), F.col("role").alias("speaker_id"), "text", F.concat(F.lit("Video "), _text("conv_id")).alias("video_title"), F.lit("2026-01-03").cast("date").alias("video_date"))
     path = f"{Workspace(spark, 'transcripts').root}/files"
-    packed = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seconds", item.alias("t")))).alias("a"))
-    packed.select(F.struct(F.concat(F.lit("Video "), "video_id").alias("title"), F.lit("20260103").alias("upload_date")).alias("video_metadata"), F.transform("a", lambda x: x["t"]).alias("transcripts"), "video_id").write.partitionBy("video_id").json(path)
-    found = readers.transcripts(spark, f"{path}/*")
-    return found.select("video_title", F.col("position").cast("long").alias("position"), F.col("seconds").cast("long").alias("seconds"), "speaker_id", F.length("text").cast("long").alias("chars"), F.col("video_date").cast("string").alias("video_date"))
+    writers.transcripts_to_json(rows, path)
+    found = readers.transcripts(spark, path)
+    return found.select("video_id", "video_title", F.col("position").cast("long").alias("position"), F.col("seconds").cast("long").alias("seconds"), "speaker_id", F.length("text").cast("long").alias("chars"), F.col("video_date").cast("string").alias("video_date"))
 
 
 def csv_files(spark, sf_dir):
@@ -345,7 +347,7 @@ QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY total_seconds DESC, sp
     "rekey_null_orphans": """SELECT o_orderkey, CASE WHEN k % 5 > 0 AND k IN (SELECT c_custkey FROM customer) THEN k ELSE -1 END AS o_custkey FROM (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey + 1 ELSE o_custkey END AS k FROM orders)""",
     "collapsed_nodes": """SELECT id, type, (SELECT p_name FROM part WHERE p_partkey = id) AS label, aliases, c AS merged_from_count FROM (SELECT min(p_partkey) AS id, p_type AS type, array_to_string(list_sort(list_distinct(list(p_name) || [any_value(p_brand)])), ',') AS aliases, count(*) AS c FROM part GROUP BY p_type, p_brand)""",
     "vector_pairs_by_label": """SELECT a.vec_id AS a, b.vec_id AS b, a.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND similarity >= 0.2""",
-    "transcript_files": """SELECT 'Video ' || conv_id AS video_title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, turn * 61 AS seconds, role AS speaker_id, length(text) AS chars, '2026-01-03' AS video_date FROM conversations""",
+    "transcript_files": """SELECT 'v:' || conv_id AS video_id, 'Video ' || conv_id AS video_title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, turn * 61 AS seconds, role AS speaker_id, length(text) AS chars, '2026-01-03' AS video_date FROM conversations""",
     "csv_files": """SELECT CAST(p_partkey AS VARCHAR) AS id, p_type AS type, 'The "' || p_name || '", old' AS label, p_brand || ',' || p_name AS aliases, true AS empty FROM part""",
     "caption_cues_overlap": r"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[<>]', '', 'g'), '\s+', ' ', 'g')) AS text FROM conversations)
 SELECT conv_id, segment, CAST(turn * 5 AS DOUBLE) AS start, length(text) AS chars FROM c, (SELECT unnest([0::BIGINT, 1, 2]) AS segment) WHERE text <> '' AND turn * 5 <= segment * 20 + 21 AND turn * 5 + 4.5 >= segment * 20 - 1""",

@@ -18,19 +18,27 @@ FLAGS = "video_id string, speaker_id string, speaker_name string, voice_id strin
 OVERRIDE = "video_id string, start string, end string, new_speaker_id string, old_speaker_id string, voice_id int, note string"
 
 
+def _video_id():
+    """The video's id of its folder, ``video_id=...``, or else of the file's name."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/video_id=([^/]+)/[^/]*$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"(?:transcription_output_)?(.+?)\.json$", 1)
+    # the folder's name is encoded, and its path once more
+    decoded = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    return F.when(folder != "", decoded(decoded(folder))).otherwise(name)
+
+
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each utterance of the transcript files below a path, with the video id of the file's name."""
-    raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path)
-    video = F.regexp_extract(F.col("_metadata.file_name"), r"(?:transcription_output_)?(.+?)\.json$", 1)
+    """One row for each utterance of the transcript files below a path, with the id of their video."""
+    raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    video = _video_id()
     rows = raw.select(video.alias("video_id"), "video_metadata", F.posexplode("transcripts").alias("position", "t"))
     day = ft.to_date_or_null(F.col("video_metadata.upload_date"))
     return rows.select("video_id", "position", "t.start", ft.to_seconds(F.col("t.start")).alias("seconds"), "t.text", "t.voice_id", "t.speaker_id", F.col("video_metadata.title").alias("video_title"), day.alias("video_date"))
 
 
 def transcript_speakers(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path)
-    video = F.regexp_extract(F.col("_metadata.file_name"), r"(?:transcription_output_)?(.+?)\.json$", 1)
-    return raw.select(video.alias("video_id"), F.explode("speakers").alias("s")).select("video_id", "s.*")
+    raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return raw.select(_video_id().alias("video_id"), F.explode("speakers").alias("s")).select("video_id", "s.*")
 
 
 def bills(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import text as ft
+
 
 def to_csv(rows: DataFrame, path: str, fields: list[str], single: bool = False) -> None:
     """Write the named fields, in order, with a header; arrays and structs as JSON, missing fields empty.
@@ -19,9 +21,17 @@ def to_csv(rows: DataFrame, path: str, fields: list[str], single: bool = False)
 
 
 def transcripts_to_json(sentences: DataFrame, path: str) -> None:
-    """One JSON record for each video, its utterances in order."""
-    part = F.array_sort(F.collect_list(F.struct("seconds", "id", "speaker_id", "text")))
-    sentences.groupBy("video_id").agg(part.alias("transcripts")).write.mode("overwrite").json(path)
+    """A JSON file for each video, in a folder of its id, as ``readers.transcripts`` reads them.
+
+    Sentences have video_id, seconds, text and speaker_id, and may have voice_id,
+    video_title and video_date; utterances are in order of time, then text.
+    """
+    have = lambda c, kind: F.col(c).cast(kind) if c in sentences.columns else F.lit(None).cast(kind)
+    item = F.struct(ft.to_timestamp_text(F.col("seconds")).alias("start"), "text", have("voice_id", "int").alias("voice_id"), "speaker_id")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seconds", "text", item.alias("t")))), lambda x: x["t"])
+    about = F.struct(F.max(have("video_title", "string")).alias("title"), F.max(F.date_format(have("video_date", "date"), "yyyyMMdd")).alias("upload_date"))
+    packed = sentences.groupBy("video_id").agg(about.alias("video_metadata"), ordered.alias("transcripts"))
+    packed.write.mode("overwrite").partitionBy("video_id").json(path)
 
 
 def export_clean_up(result: dict[str, DataFrame], folder: str) -> None:
