@@ -19,11 +19,13 @@ def _at_ranks(rows: DataFrame, by: list[str], ranks: DataFrame, workspace: Works
     """(by, rank, value) for ranks (by, rank, from 0, with the group's low, high and left): the value that has so many before it.
 
     A pass sketches the values of each open interval, takes the sketch's quantiles
-    on both sides of the rank, and counts exactly what lies before, between and
+    on both sides of the rank, and counts exactly what lies before, at, between and
     after them.  It goes on where the rank is, usually between, with the least and
     the largest value there, and ends where these are equal, or few values are
-    left, which are then ordered.  So passes grow with the logarithm of the count,
-    however values are spread, and a poor sketch costs a pass but not the result.
+    left, which are then ordered.  As quantiles are values themselves, each pass
+    leaves one out or ends at it, even if there are only two.  So passes grow with
+    the logarithm of the count, however values are spread, and a poor sketch costs
+    a pass but not the result.
     """
     group = [F.col(f"g.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]
     within = F.col("v._value").between(F.col("g.low"), F.col("g.high"))
@@ -48,7 +50,7 @@ def _at_ranks(rows: DataFrame, by: list[str], ranks: DataFrame, workspace: Works
         at = F.floor((F.col("rank") - F.col("below")) * PARTS / F.col("left")).cast("int")
         sketched = with_values(open_).groupBy(*own).agg(quantiles.alias("q"))
         edges = sketched.select(*own, F.get("q", F.greatest(at - 1, F.lit(0))).alias("from"), F.get("q", F.least(at + 2, F.lit(PARTS))).alias("to"))
-        part = F.when(F.col("_value") < F.col("from"), 0).when(F.col("_value") <= F.col("to"), 1).otherwise(2)
+        part = F.when(F.col("_value") < F.col("from"), 0).when(F.col("_value") == F.col("from"), 1).when(F.col("_value") < F.col("to"), 2).when(F.col("_value") == F.col("to"), 3).otherwise(4)
         bins = with_values(workspace.save(edges)).groupBy(*key, "below", part.alias("bin"))
         bins = bins.agg(F.count("*").alias("left"), F.min("_value").alias("low"), F.max("_value").alias("high"))
         before = F.coalesce(F.sum("left").over(Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

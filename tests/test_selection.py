@@ -30,3 +30,20 @@ def test_no_groups_and_empty(spark, monkeypatch):
     assert selection.percentiles(rows, [], F.col("x"), {"m": 0.5, "q": 0.25}).collect() == [(5000.0, 2500.0)]
     empty = spark.createDataFrame([], "g string, x double")
     assert selection.percentiles(empty, ["g"], F.col("x"), {"m": 0.5}).collect() == []
+
+
+def test_few_values_with_the_rank_beside_a_step(spark, monkeypatch):
+    """The quantiles on both sides of a rank may be the ends of its interval."""
+    from tessera.plans.workspace import Workspace
+
+    save, saves = Workspace.save, []
+
+    def counted(self, df, *args, **more):
+        saves.append(1)
+        assert len(saves) < 40, "passes without an end"
+        return save(self, df, *args, **more)
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    rows = spark.range(6000).selectExpr("'a' AS g", "CASE WHEN id % 2 = 0 THEN 1.0D ELSE 3.0D END AS v")
+    found = selection.percentiles(rows, ["g"], F.col("v"), {"p50": 0.5, "p95": 0.95}).collect()
+    assert [(r.g, r.p50, r.p95) for r in found] == [("a", 2.0, 3.0)]
