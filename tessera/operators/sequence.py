@@ -74,6 +74,21 @@ def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
+def after_first(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """``rows`` without the first ``n`` in ascending order (then by the other columns), sorted; an offset that isn't one task's work.
+
+    Only the first rows' keys are put in one place; the others are compared with the last of these.
+    """
+    others = [c for c in rows.columns if c not in order]
+    keyed = rows.withColumn("_k", F.struct(*order))
+    first = keyed.select("_k").orderBy("_k").limit(n).groupBy("_k").agg(F.count("*").alias("_n"))
+    last = F.broadcast(first.agg(F.max(F.struct("_k", "_n")).alias("_l")).select(F.col("_l._k").alias("_last"), F.col("_l._n").alias("_cut")))
+    reached = keyed.join(last, F.col("_k") >= F.col("_last"))
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(*others)) if others else F.row_number().over(Window.partitionBy("_k").orderBy("_k"))
+    equal = reached.where("_k = _last").withColumn("_p", place).where("_p > _cut")
+    return reached.where("_k > _last").select(rows.columns).union(equal.select(rows.columns)).orderBy(*order)
+
+
 def block_summary(blocks: DataFrame, by: Sequence[str], start: str, end: str, number: str) -> DataFrame:
     """For each speaker: number of blocks, total and longest length, and three sample points of the longest (the later of equals)."""
     length = F.col(end) - F.col(start)
