@@ -26,7 +26,7 @@ def _posted(rows: DataFrame, form: str, least: float, often: DataFrame) -> DataF
     """
     n = F.char_length(form)
     shared = F.ceil((3 * least / 200 - 1) * (n + F.ceil(n * least / (200 - least) - 1e-9)) - 1 - 1e-9)
-    every = rows.withColumn("_all", F.size(_grams(F.col(form)))).withColumn("_g", F.explode(_grams(F.col(form)))).join(often, "_g")
+    every = rows.withColumn("_all", F.size(_grams(F.col(form)))).withColumn("_g", F.explode(_grams(F.col(form)))).join(F.broadcast(often), "_g")
     keys = [c for c in rows.columns]
     sorted_ = every.groupBy(*keys, "_all").agg(F.array_sort(F.collect_list(F.struct("_df", "_g"))).alias("_s"))
     most = F.when(n <= 3, F.col("_all")).otherwise(F.least(F.col("_all"), F.col("_all") - F.greatest(shared, F.lit(1)) + 1))
@@ -48,7 +48,7 @@ def nearest_names(rows: DataFrame, known: DataFrame, name: str, id_: str, known_
     b = known.select(F.col(id_).alias("_id"), F.col(known_name).alias("_b")).where(F.coalesce(F.trim("_b"), F.lit("")) != "").distinct().withColumn("_b", form(F.col("_b")))
     la, lb = F.char_length("_a"), F.char_length("_b")
     often = a.select(F.explode(_grams(F.col("_a"))).alias("_g")).unionAll(b.select(F.explode(_grams(F.col("_b"))).alias("_g"))).groupBy("_g").agg(F.count("*").alias("_df"))
-    shared = _posted(a, "_a", least, often).join(_posted(b, "_b", least, often), "_g")
+    shared = _posted(a, "_a", least, often).join(_posted(b, "_b", least, often).hint("merge"), "_g")
     # the ratio is 200 times the common subsequence over both lengths, and that is no longer than the shorter one
     shared = shared.where(200 * F.least(la, lb) >= least * (la + lb)).select("_name", "_a", "_id", "_b").distinct()
     scored = shared.withColumn("similarity", fuzzy.fuzz_ratio("_a", "_b")).where(F.col("similarity") >= least)
@@ -69,13 +69,15 @@ def resolve(rows: DataFrame, known: DataFrame, name: str, least: float = 88.0) -
     initial = lambda c: F.concat_ws("|", F.element_at(F.split(c, " "), -1), F.substring(c, 1, 1))
     sole = people.groupBy(initial(F.col("_bare")).alias("_k1")).agg(F.min("id").alias("_v1"), F.count("*").alias("_c")).where("_c = 1").drop("_c")
     asked = rows.select(F.col(name).alias("_n")).where(F.col("_n").isNotNull()).distinct().withColumn("_b", bare(F.col("_n")))
+    # names come from files that are much smaller than they are, so Spark would take them for small and send them to the driver
+    exact, sole = exact.hint("merge"), sole.hint("merge")
     asked = asked.join(exact, ft.normalize_label(F.col("_n")) == F.col("_k0"), "left").join(sole, (initial(F.col("_b")) == F.col("_k1")) & (F.col("_b") != ""), "left")
     open_ = asked.where("_v0 is null and _v1 is null")
     near = nearest_names(open_, people, "_b", "id", "_bare", least, sorted_tokens=True).select(F.col("name").alias("_k2"), F.col("id").alias("_v2"))
-    found = asked.join(near, (F.col("_b") == F.col("_k2")) & F.col("_v0").isNull() & F.col("_v1").isNull(), "left")
+    found = asked.join(near.hint("merge"), (F.col("_b") == F.col("_k2")) & F.col("_v0").isNull() & F.col("_v1").isNull(), "left")
     tier = F.when(F.col("_v0").isNotNull(), 0).when(F.col("_v1").isNotNull(), 1).when(F.col("_v2").isNotNull(), 2)
     found = found.select("_n", F.coalesce("_v0", "_v1", "_v2").alias("resolved"), tier.alias("tier"))
-    return rows.join(found, F.col(name) == F.col("_n"), "left").drop("_n")
+    return rows.join(found.hint("merge"), F.col(name) == F.col("_n"), "left").drop("_n")
 
 
 def title_index(papers: DataFrame, recent: int = 25) -> DataFrame:
