@@ -28,6 +28,8 @@ from tessera.plans.workspace import Workspace
 WEIGHT = 0.1
 #: Parts that the postings of one folder are dealt into by document, so that a frequent term isn't one task's.
 PARTS = 8
+#: Most words whose stems are broadcast to the documents; more are shuffled.
+BROADCAST_WORDS = 1_000_000
 _WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -124,22 +126,41 @@ def term_of(word: Column, stemmed: bool) -> Column:
     return F.when(~word.isin(stemming.STOPWORDS), stemming.stem(word)) if stemmed else word
 
 
+def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, word, places) of every word of every document; a document's words are sorted and put together within its row, without a shuffle."""
+    placed = F.sort_array(F.transform(words(F.col(text)), lambda w, i: F.struct(w.alias("word"), (i + 1).alias("at"))))
+
+    def runs(s):
+        first = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i)["word"] != F.get(s, i - 1)["word"]))
+        run = lambda b, at, j: F.struct(F.get(s, at)["word"].alias("word"), F.slice(s, at + 1, F.coalesce(F.get(b, j + 1), F.size(s)) - at)["at"].alias("places"))
+        return stemming.let(first, lambda b: F.transform(b, lambda at, j: run(b, at, j)))
+
+    return docs.select(F.col(key).alias("doc"), F.explode(stemming.let(placed, runs)).alias("w")).select("doc", "w.word", "w.places")
+
+
 def build(docs: DataFrame, key: str, text: str, folder: str, stemmed: bool = True, buckets: int = 64, workspace: Workspace | None = None) -> TextIndex:
     """Index ``text`` of ``docs`` (unique by ``key``) into a new folder; null texts have no words."""
     spark, workspace = docs.sparkSession, workspace or Workspace(docs.sparkSession, "index")
-    placed = docs.select(F.col(key).alias("doc"), F.posexplode(words(F.col(text))).alias("at", "word"))
-    # a document's words are together from the start, so this needs no more than one shuffle; every word is stemmed once
-    own = workspace.save(placed.groupBy("doc", "word").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("places")))
-    terms = own.select("word").distinct().select("word", term_of(F.col("word"), stemmed).alias("term")).where("term is not null")
-    stemmed_rows = own.join(terms, "word") if stemmed else own.withColumnRenamed("word", "term")
+    rows = _placed(docs, key, text)
     if stemmed:
-        stemmed_rows = stemmed_rows.groupBy("doc", "term").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+        own = workspace.save(rows)
+        # every word is stemmed once; the table keeps its stems from being worked out again for a filter or for each document
+        terms = workspace.save(own.select("word").where(~F.col("word").isin(stemming.STOPWORDS)).distinct().select("word", term_of(F.col("word"), stemmed).alias("term")))
+        known = terms.withColumn("_several", F.count("*").over(Window.partitionBy("term")) > 1)
+        few = terms.count() <= BROADCAST_WORDS
+        with_terms = lambda w: own.join(F.broadcast(w) if few else w, "word")
+        # few stems have several words; only the rows of these are put together
+        united = with_terms(known.where("_several")).groupBy("doc", "term").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+        rows = with_terms(known.where("not _several")).select("doc", "term", "places").union(united)
+    else:
+        rows = rows.withColumnRenamed("word", "term")
+    dealt = rows.select("doc", "term", "places", bucket_of(F.col("term"), buckets), F.pmod(F.xxhash64("doc"), F.lit(PARTS)).alias("_part")).repartition("bucket", "_part")
     gaps = F.transform("places", lambda p, i: F.when(i == 0, p).otherwise(p - F.get("places", i - 1)))
-    rows = stemmed_rows.select("doc", "term", gaps.alias("gaps"), bucket_of(F.col("term"), buckets), F.pmod(F.xxhash64("doc"), F.lit(PARTS)).alias("_part"))
-    rows.repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term", "doc").write.mode("errorifexists").partitionBy("bucket").parquet(f"{folder}/postings")
+    dealt.select("doc", "term", gaps.alias("gaps"), "bucket").sortWithinPartitions("bucket", "term", "doc").write.mode("errorifexists").partitionBy("bucket").parquet(f"{folder}/postings")
     docs.select(F.col(key).alias("doc"), F.coalesce(F.size(words(F.col(text))), F.lit(0)).alias("words")).write.parquet(f"{folder}/lengths")
     spark.createDataFrame([(json.dumps({"key": key, "buckets": buckets, "stemmed": stemmed, "kind": docs.schema[key].dataType.simpleString()}),)], "value string").coalesce(1).write.text(f"{folder}/about")
-    workspace.drop(own)
+    if stemmed:
+        workspace.drop(own, terms)
     return TextIndex(spark, folder)
 
 

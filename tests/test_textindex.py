@@ -141,3 +141,23 @@ def test_stemmed_query(spark):
             want[doc] = round(score, 6)
     got = {r.doc_id: r["rank"] for r in fulltext.stemmed_search(spark, folder).collect()}
     assert len(want) > 10 and got == pytest.approx(want, abs=2e-6)
+
+
+def test_words_are_stemmed_once(spark, tmp_path, monkeypatch):
+    """Stems are worked out for each different word, not for each document."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(word):
+        asked.add(1)
+        return word[:3]
+
+    monkeypatch.setattr(textindex, "term_of", lambda word, stemmed: counted(word))
+    docs = spark.createDataFrame([(i, "budget budgets debate the runner") for i in range(40)], "id long, body string")
+    for limit in (textindex.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(textindex, "BROADCAST_WORDS", limit)
+        asked.value = 0
+        index = textindex.build(docs, "id", "body", str(tmp_path / f"i{limit}"))
+        assert asked.value == 4
+        rows = {(r.term, tuple(r.positions), r.doc) for r in index.postings(["bud", "deb", "run", "the"]).collect()}
+        assert rows == {(t, p, i) for i in range(40) for t, p in (("bud", (1, 2)), ("deb", (3,)), ("run", (5,)))}
