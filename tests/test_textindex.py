@@ -161,3 +161,11 @@ def test_words_are_stemmed_once(spark, tmp_path, monkeypatch):
         assert asked.value == 4
         rows = {(r.term, tuple(r.positions), r.doc) for r in index.postings(["bud", "deb", "run", "the"]).collect()}
         assert rows == {(t, p, i) for i in range(40) for t, p in (("bud", (1, 2)), ("deb", (3,)), ("run", (5,)))}
+
+
+def test_index_shuffles_postings_once(spark):
+    """A document's words are put together within its row; texts without words have none."""
+    docs = spark.createDataFrame([(1, "b a, B c a"), (2, None), (3, " -"), (4, "a")], "id long, body string")
+    placed = textindex._placed(docs, "id", "body")
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc, r.word, tuple(r.places)) for r in placed.collect()} == {(1, "a", (2, 5)), (1, "b", (1, 3)), (1, "c", (4,)), (4, "a", (1,))}
