@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as ft
 from tessera.functions import vocabulary as v
 from tessera.operators import upsert
+from tessera.plans.workspace import Workspace
 
 PAYLOAD = """struct<nodes_new:array<struct<temp_id:string,type:string,label:string,aliases:array<string>>>,
 edges:array<struct<source_ref:string,predicate:string,target_ref:string,evidence:string,utterance_ids:array<string>,confidence:double>>>"""
@@ -19,7 +20,7 @@ def parse_payloads(answers: DataFrame, key: str, answer: str) -> DataFrame:
     return answers.withColumn("payload", payload).withColumn("parse_success", F.col("payload.nodes_new").isNotNull() | F.col("payload.edges").isNotNull())
 
 
-def canonicalize(payloads: DataFrame, sentences: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+def canonicalize(payloads: DataFrame, sentences: DataFrame, known: DataFrame, workspace: Workspace | None = None) -> dict[str, DataFrame]:
     """Nodes, aliases and edges of the windows' payloads.
 
     Payload rows have video_id, window_index and payload; sentences id and
@@ -28,9 +29,14 @@ def canonicalize(payloads: DataFrame, sentences: DataFrame, known: DataFrame) ->
     with a predicate outside the list, or without utterances are left out.  An
     edge's time is that of the earliest sentence that it cites.
     """
+    # payloads are read twice and their nodes four times: each is made once
+    workspace = workspace or Workspace(payloads.sparkSession, "canonical")
+    payloads = workspace.save(payloads.select("video_id", "window_index", "payload"))
     new = payloads.select("video_id", "window_index", F.explode("payload.nodes_new").alias("n")).select("video_id", "window_index", "n.*")
     new = new.where("label is not null and trim(label) <> ''").withColumn("id", ft.node_id(F.col("type"), F.col("label")))
-    nodes = upsert.first_of_each(new.select("id", "type", "label", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")), ["id"], [F.col("label")])
+    # equal proposals are one before they are put in order
+    different = new.select("id", "type", "label", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).distinct()
+    nodes = workspace.save(upsert.first_of_each(different, ["id"], [F.col("label")]))
     every = F.array_union(F.array(F.col("label")), F.col("aliases"))
     aliases = nodes.select(F.explode(every).alias("a"), F.col("id").alias("node_id")).select(ft.normalize_label(F.col("a")).alias("alias_norm"), "node_id").where("alias_norm <> ''").distinct()
     refs = new.select("video_id", "window_index", F.col("temp_id").alias("ref"), "id").dropDuplicates(["video_id", "window_index", "ref"])
