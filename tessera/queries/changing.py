@@ -168,7 +168,7 @@ def versioned_changes(spark, sf_dir):
 def joined_components(spark, sf_dir):
     """Components of all links, which are added in four steps to labels that are kept."""
     workspace = Workspace(spark, "increments")
-    every = workspace.save(links(spark, sf_dir))
+    every = workspace.save(links(spark, sf_dir), by=["step"])
     labels = spark.createDataFrame([], "node long, component long")
     for step in ("R", "C", "A", "N"):
         changed = workspace.save(add_links(labels, every.where(F.col("step") == step), "a", "b", workspace))
