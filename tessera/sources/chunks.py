@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP, LEAST = 900, 150, 100
+#: Most texts that a task cuts, and about as many characters of chunks that it holds, before it hands them on.
+TEXTS, HELD = 256, 1 << 20
 
 
 def cut(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int, str]]:
@@ -35,12 +37,20 @@ def chunked(docs: DataFrame, key: str, texts: list[str], size: int = SIZE, overl
     source = F.coalesce(*[F.when(F.trim(c) != "", F.col(c)) for c in texts])
     kind = docs.schema[key].dataType.simpleString()
 
+    def made(keys, rows):
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], [], []]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.string())], [key, "chunk_index", "char_start", "char_end", "text"])
+
     def run(batches):
         for batch in batches:
-            keys, rows = batch.column(0), []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                rows += [(i, n, *c) for n, c in enumerate(cut(text or "", size, overlap, least))]
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.string())], [key, "chunk_index", "char_start", "char_end", "text"])
+            keys, rows, held = batch.column(0), [], 0
+            for i, text in enumerate(batch.column(1)):
+                own = [(i, n, *c) for n, c in enumerate(cut(text.as_py() or "", size, overlap, least))]
+                rows += own
+                held += sum(len(r[-1]) for r in own)
+                if held >= HELD or (i + 1) % TEXTS == 0:
+                    yield made(keys, rows)
+                    rows, held = [], 0
+            yield made(keys, rows)
 
     return docs.select(F.col(key), source.alias("_t")).mapInArrow(run, f"{key} {kind}, chunk_index int, char_start int, char_end int, text string")
