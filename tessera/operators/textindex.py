@@ -2,10 +2,10 @@
 
 The index is a folder: ``postings`` has a row for each term of each document with
 the term's positions as differences, in folders by a hash of the term and sorted by
-term within files, so that a search reads the files of its terms only; ``lengths``
-has the words of each document; ``about`` how it was made.  Terms are runs of
-letters and digits in lower case, by default stemmed, without stop words (which
-keep their positions).
+term within files, one for each part of the documents, so that a search reads the
+files of its terms only; ``lengths`` has the words of each document; ``about`` how
+it was made.  Terms are runs of letters and digits in lower case, by default
+stemmed, without stop words (which keep their positions).
 
 A query is a list of alternatives; each asks for units, words or phrases, and may
 rule some out.  Documents are ranked by cover density: every shortest stretch with
@@ -16,6 +16,7 @@ none; so one word adds ``WEIGHT`` each time, and words far apart add little.
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -26,8 +27,8 @@ from tessera.functions import stemming
 from tessera.plans.workspace import Workspace
 
 WEIGHT = 0.1
-#: Parts that the postings of one folder are dealt into by document, so that a frequent term isn't one task's.
-PARTS = 8
+#: Documents are dealt into parts of about so many words, each sorted by one task, so that a frequent term isn't one task's; into PARTS at least, where these have LEAST_WORDS.
+PART_WORDS, PARTS, LEAST_WORDS = 4_000_000, 16, 100_000
 #: Most words whose stems are broadcast to the documents; more are shuffled.
 BROADCAST_WORDS = 1_000_000
 _WORD = r"[^\p{L}\p{N}]+"
@@ -141,9 +142,11 @@ def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def build(docs: DataFrame, key: str, text: str, folder: str, stemmed: bool = True, buckets: int = 64, workspace: Workspace | None = None) -> TextIndex:
     """Index ``text`` of ``docs`` (unique by ``key``) into a new folder; null texts have no words."""
     spark, workspace = docs.sparkSession, workspace or Workspace(docs.sparkSession, "index")
-    rows = _placed(docs, key, text)
+    docs.select(F.col(key).alias("doc"), F.coalesce(F.size(words(F.col(text))), F.lit(0)).alias("words")).write.parquet(f"{folder}/lengths")
+    total = spark.read.schema(f"doc {docs.schema[key].dataType.simpleString()}, words int").parquet(f"{folder}/lengths").agg(F.sum("words")).first()[0] or 0
+    parts = max(math.ceil(total / PART_WORDS), min(PARTS, math.ceil(total / LEAST_WORDS)), 1)
     if stemmed:
-        own = workspace.save(rows)
+        own = workspace.save(_placed(docs, key, text))
         # every word is stemmed once; the table keeps its stems from being worked out again for a filter or for each document
         terms = workspace.save(own.select("word").where(~F.col("word").isin(stemming.STOPWORDS)).distinct().select("word", term_of(F.col("word"), stemmed).alias("term")))
         known = terms.withColumn("_several", F.count("*").over(Window.partitionBy("term")) > 1)
@@ -151,13 +154,13 @@ def build(docs: DataFrame, key: str, text: str, folder: str, stemmed: bool = Tru
         with_terms = lambda w: own.join(F.broadcast(w) if few else w, "word")
         # few stems have several words; only the rows of these are put together
         united = with_terms(known.where("_several")).groupBy("doc", "term").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
-        rows = with_terms(known.where("not _several")).select("doc", "term", "places").union(united)
+        rows = with_terms(known.where("not _several")).select("doc", "term", "places").union(united).repartition(parts, "doc")
     else:
-        rows = rows.withColumnRenamed("word", "term")
-    dealt = rows.select("doc", "term", "places", bucket_of(F.col("term"), buckets), F.pmod(F.xxhash64("doc"), F.lit(PARTS)).alias("_part")).repartition("bucket", "_part")
+        # texts are dealt, not the postings made of them, which are many times larger
+        rows = _placed(docs.select(key, text).repartition(parts, key), key, text).withColumnRenamed("word", "term")
     gaps = F.transform("places", lambda p, i: F.when(i == 0, p).otherwise(p - F.get("places", i - 1)))
-    dealt.select("doc", "term", gaps.alias("gaps"), "bucket").sortWithinPartitions("bucket", "term", "doc").write.mode("errorifexists").partitionBy("bucket").parquet(f"{folder}/postings")
-    docs.select(F.col(key).alias("doc"), F.coalesce(F.size(words(F.col(text))), F.lit(0)).alias("words")).write.parquet(f"{folder}/lengths")
+    postings = rows.select("doc", "term", gaps.alias("gaps"), bucket_of(F.col("term"), buckets))
+    postings.sortWithinPartitions("bucket", "term", "doc").write.mode("errorifexists").partitionBy("bucket").parquet(f"{folder}/postings")
     spark.createDataFrame([(json.dumps({"key": key, "buckets": buckets, "stemmed": stemmed, "kind": docs.schema[key].dataType.simpleString()}),)], "value string").coalesce(1).write.text(f"{folder}/about")
     if stemmed:
         workspace.drop(own, terms)

@@ -169,3 +169,18 @@ def test_index_shuffles_postings_once(spark):
     placed = textindex._placed(docs, "id", "body")
     assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
     assert {(r.doc, r.word, tuple(r.places)) for r in placed.collect()} == {(1, "a", (2, 5)), (1, "b", (1, 3)), (1, "c", (4,)), (4, "a", (1,))}
+
+
+def test_texts_are_dealt_not_postings(spark, tmp_path, monkeypatch):
+    """A task sorts the postings of its part of the documents; parts grow in number, not in size, and no result depends on them."""
+    docs = spark.createDataFrame(corpus(2, 80), "id long, body string")
+    seen, placed = [], textindex._placed
+    monkeypatch.setattr(textindex, "_placed", lambda docs, key, text: seen.append(docs) or placed(docs, key, text))
+    small = textindex.build(docs, "id", "body", str(tmp_path / "small"), stemmed=False, buckets=3)
+    monkeypatch.setattr(textindex, "PART_WORDS", 100)
+    large = textindex.build(docs, "id", "body", str(tmp_path / "large"), stemmed=False, buckets=3)
+    assert [d.rdd.getNumPartitions() for d in seen] == [1, -(-sum(len(tokens(t)) for _, t in corpus(2, 80)) // 100)]
+    rows = [{(r.doc, r.term, tuple(r.positions)) for r in i.postings(["the", "budget", "über"]).collect()} for i in (small, large)]
+    assert rows[0] == rows[1] != set()
+    files = large._rows.select("doc", F.input_file_name().alias("file"))
+    assert files.groupBy("doc").agg(F.count_distinct(F.regexp_extract("file", "part-([0-9]+)", 1)).alias("n")).where("n > 1").count() == 0
