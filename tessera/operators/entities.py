@@ -31,9 +31,35 @@ TOPICS, TOPIC_CHARS, TOPIC_RATIO = 10, (4, 49), 90.0
 ENTITY = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+#: For each pattern, words of which a match holds one, or a pattern that is quick to look for and matches within; None if there is neither.
+_NEEDED = {
+    "topics": [("Act", "Bill", "Law", "Regulation", "Policy", "Program", "Scheme", "Fund", "System", "Authority", "Commission")],
+    "organizations": [tuple(_BODIES.split("|")), tuple(_BODIES.split("|")), None],
+    "persons": [("Mr", "Ms", "Dr", "Hon", "Prof"), None],
+    "dates": [tuple(_MONTHS.split("|")), re.compile(r"-\d\d-"), tuple(_MONTHS.split("|"))],
+    "locations": [("Jamaica", "Kingston", "Portmore", "Spanish", "Montego", "Mandeville", "May", "Ocho"), ("St.", "Saint")],
+    "related_bills": [("Act",), ("Bill",)],
+}
+
+
+def _quick(pattern: str) -> re.Pattern:
+    """The same matches: a scan for the first character's class passes over all other characters, which one for a word's edge does not."""
+    first = r"\b[A-Z]"
+    return re.compile(r"[A-Z](?<=\b[A-Z])" + pattern.removeprefix(first) if pattern.startswith(first) else pattern)
+
+
+_SCANS = {kind: [(_quick(p), needed) for p, needed in zip(patterns, _NEEDED[kind], strict=True)] for kind, patterns in PATTERNS.items()}
+# an optional article before capitals
+_SCANS["organizations"][2] = (re.compile(r"[A-Z](?<=\b[A-Z])(?:(?<=T)he\s+[A-Z]{2,}|[A-Z]+)(?:\s+[A-Z]{2,})*\b"), None)
+
+
+def _may_match(needed: tuple[str, ...] | re.Pattern | None, text: str) -> bool:
+    return needed is None or (any(w in text for w in needed) if isinstance(needed, tuple) else needed.search(text) is not None)
+
+
 def entities_in(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, text, start, end) by kind, pattern and place; topics that are nearly another entity are left out."""
-    found = {kind: [(kind, m[0].strip(), m.start(), m.end()) for p in patterns for m in re.finditer(p, text)] for kind, patterns in PATTERNS.items()}
+    found = {kind: [(kind, m[0].strip(), m.start(), m.end()) for scan, needed in scans if _may_match(needed, text) for m in scan.finditer(text)] for kind, scans in _SCANS.items()}
     found["related_bills"] = [x for x in found["related_bills"] if x[1].lower() not in GENERIC_BILLS]
     others = {x[1].lower() for kind, some in found.items() if kind != "topics" for x in some}
     topics = []
