@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import zlib
+from collections import defaultdict
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy, names
 from tessera.functions import text as ft
 from tessera.operators.sequence import top_per_group
+from tessera.plans.workspace import Workspace
+
+#: Names of two lengths meet by their subsequences, if a name has at most so many and all are fewer than this part of the pairs; about so many share a rare gram.
+SUBSEQUENCES, GRAM_PAIRS = 1000, 0.05
 
 
 def _grams(c: Column) -> Column:
@@ -33,27 +45,90 @@ def _posted(rows: DataFrame, form: str, least: float, often: DataFrame) -> DataF
     return sorted_.select(*keys, F.explode(F.transform(F.slice("_s", F.lit(1), most.cast("int")), lambda x: x["_g"])).alias("_g"))
 
 
+def _least_common(n: int, m: int, least: float) -> int:
+    """The length of the common subsequence with which strings of n and m characters are ``least`` alike."""
+    return math.ceil(least * (n + m) / 200 - 1e-9)
+
+
+def _of_length(rows: DataFrame, form: str, lengths: Iterable[int]) -> DataFrame:
+    return rows.where(F.array_contains(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), F.char_length(form)))
+
+
+def _thinned(rows: DataFrame, form: str, left: dict[int, set[int]]) -> DataFrame:
+    """``rows`` with ``_k``, a number for each subsequence of ``form`` of the lengths that ``left`` has for strings of its length."""
+
+    @F.pandas_udf("array<bigint>")
+    def keys(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: np.array([size << 32 | zlib.crc32("".join(c).encode()) for size in left[len(s)] for c in itertools.combinations(s, size)]))
+
+    return _of_length(rows, form, left).withColumn("_k", F.explode(F.array_distinct(keys(form))))
+
+
+def _thinned_pairs(a: DataFrame, b: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame:
+    """(_a, _id, _b) of strings that share a subsequence; ``pairs`` has the lengths of both and of that."""
+    left, right = defaultdict(set), defaultdict(set)
+    for n, m, size in pairs:
+        left[n].add(size)
+        right[m].add(size)
+    return _thinned(a, "_a", dict(left)).join(_thinned(b, "_b", dict(right)).hint("merge"), "_k").select("_a", "_id", "_b")
+
+
+def _gram_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(_a, _id, _b) of strings that share one of their rarest grams."""
+    often = a.select(F.explode(_grams(F.col("_a"))).alias("_g")).unionAll(b.select(F.explode(_grams(F.col("_b"))).alias("_g"))).groupBy("_g").agg(F.count("*").alias("_df"))
+    return _posted(a, "_a", least, often).join(_posted(b, "_b", least, often).hint("merge"), "_g").select("_a", "_id", "_b")
+
+
+def _nearest(pairs: DataFrame, least: float) -> DataFrame:
+    """(_a, _id, similarity) of each string's nearest among ``pairs``."""
+    la, lb = F.char_length("_a"), F.char_length("_b")
+    # the ratio is 200 times the common subsequence over both lengths, and that is no longer than the shorter one
+    shared = pairs.where(200 * F.least(la, lb) >= least * (la + lb)).distinct()
+    scored = shared.withColumn("similarity", fuzzy.fuzz_ratio("_a", "_b")).where(F.col("similarity") >= least)
+    return top_per_group(scored, ["_a"], [F.desc("similarity"), F.col("_id")]).select("_a", "_id", "similarity")
+
+
 def nearest_names(rows: DataFrame, known: DataFrame, name: str, id_: str, known_name: str, least: float, sorted_tokens: bool = False) -> DataFrame:
     """(name, id, similarity) of the known name nearest to each distinct name, if its ratio reaches ``least`` (80 or more); ties by id.
 
-    Two strings whose ratio is 80 or more have a common subsequence so long that
-    they share pairs of neighbouring characters (or, of five characters in all,
-    single ones), so only names that share one of their rarest are compared.
+    Names are alike if they have a long subsequence in common.  First those are
+    found that are equal but for a character on either side, by what is left
+    without it; that grows with the names, not with their pairs, however alike all
+    are.  Only names for which another may be as near go on, to known ones of such
+    lengths: by all subsequences that are long enough, where these are fewer than
+    the pairs, else by grams.  Two strings whose ratio is 80 or more share pairs of
+    neighbouring characters (or, of five characters in all, single ones), so only
+    names that share one of their rarest are compared.
     """
     if least < 80:
         raise ValueError("names that are less alike than 80 may share nothing")
+    workspace = Workspace(rows.sparkSession, "names")
     order = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
     form = order if sorted_tokens else lambda c: c
-    a = rows.select(F.col(name).alias("_name")).where(F.coalesce(F.trim("_name"), F.lit("")) != "").distinct().withColumn("_a", form(F.col("_name")))
-    b = known.select(F.col(id_).alias("_id"), F.col(known_name).alias("_b")).where(F.coalesce(F.trim("_b"), F.lit("")) != "").distinct().withColumn("_b", form(F.col("_b")))
-    la, lb = F.char_length("_a"), F.char_length("_b")
-    often = a.select(F.explode(_grams(F.col("_a"))).alias("_g")).unionAll(b.select(F.explode(_grams(F.col("_b"))).alias("_g"))).groupBy("_g").agg(F.count("*").alias("_df"))
-    shared = _posted(a, "_a", least, often).join(_posted(b, "_b", least, often).hint("merge"), "_g")
-    # the ratio is 200 times the common subsequence over both lengths, and that is no longer than the shorter one
-    shared = shared.where(200 * F.least(la, lb) >= least * (la + lb)).select("_name", "_a", "_id", "_b").distinct()
-    scored = shared.withColumn("similarity", fuzzy.fuzz_ratio("_a", "_b")).where(F.col("similarity") >= least)
-    best = top_per_group(scored, ["_name"], [F.desc("similarity"), F.col("_id")])
-    return best.select(F.col("_name").alias("name"), F.col("_id").alias("id"), "similarity")
+    named = workspace.save(rows.select(F.col(name).alias("name")).where(F.coalesce(F.trim("name"), F.lit("")) != "").distinct().withColumn("_a", form(F.col("name"))))
+    b = known.select(F.col(id_).alias("_id"), F.col(known_name).alias("_b")).where(F.coalesce(F.trim("_b"), F.lit("")) != "")
+    b = workspace.save(b.groupBy(form(F.col("_b")).alias("_b")).agg(F.min("_id").alias("_id")))
+    a = named.select("_a").distinct()
+    counts = lambda rows, *by: {tuple(r)[:-1]: r["count"] for r in rows.groupBy(*by).count().collect()}
+    la, there = F.char_length("_a"), {m: c for (m,), c in counts(b, F.char_length("_b")).items()}
+
+    pairs = [(n, m, max(_least_common(n, m, least), n - 1, m - 1)) for (n,) in counts(a, la) for m in (n - 1, n, n + 1) if m in there]
+    close = workspace.save(_nearest(_thinned_pairs(a, b, [(n, m, size) for n, m, size in pairs if size <= min(n, m)]), least))
+    # names that lack two characters of a known one come next
+    still = a.join(close.hint("merge"), "_a", "left").where(F.col("similarity").isNull() | (F.col("similarity") <= 100 * la / (la + 1) + 1e-9))
+    still = workspace.save(still.select("_a", F.coalesce("similarity", F.lit(least)).alias("_t")))
+    thinned, by_grams = [], []
+    for (n, t), asked in counts(still, la, "_t").items():
+        for m, size in ((m, _least_common(n, m, t)) for m in there):
+            if size <= min(n, m) and size < max(n, m) - 1:
+                made = math.comb(n, size), math.comb(m, size)
+                few = max(made) <= SUBSEQUENCES and asked * made[0] + there[m] * made[1] < GRAM_PAIRS * asked * there[m]
+                (thinned if few else by_grams).append((n, m, size))
+    far = _gram_pairs(_of_length(still.select("_a"), "_a", {n for n, _, _ in by_grams}), _of_length(b, "_b", {m for _, m, _ in by_grams}), least)
+    if thinned:
+        far = far.union(_thinned_pairs(still.select("_a"), b, thinned))
+    best = top_per_group(close.union(_nearest(far, least)), ["_a"], [F.desc("similarity"), F.col("_id")])
+    return named.join(best.hint("merge"), "_a").select("name", F.col("_id").alias("id"), "similarity")
 
 
 def resolve(rows: DataFrame, known: DataFrame, name: str, least: float = 88.0) -> DataFrame:
@@ -72,6 +147,7 @@ def resolve(rows: DataFrame, known: DataFrame, name: str, least: float = 88.0) -
     # names come from files that are much smaller than they are, so Spark would take them for small and send them to the driver
     exact, sole = exact.hint("merge"), sole.hint("merge")
     asked = asked.join(exact, ft.normalize_label(F.col("_n")) == F.col("_k0"), "left").join(sole, (initial(F.col("_b")) == F.col("_k1")) & (F.col("_b") != ""), "left")
+    asked = Workspace(rows.sparkSession, "asked").save(asked.select("_n", "_b", "_v0", "_v1"))
     open_ = asked.where("_v0 is null and _v1 is null")
     near = nearest_names(open_, people, "_b", "id", "_bare", least, sorted_tokens=True).select(F.col("name").alias("_k2"), F.col("id").alias("_v2"))
     found = asked.join(near.hint("merge"), (F.col("_b") == F.col("_k2")) & F.col("_v0").isNull() & F.col("_v1").isNull(), "left")
