@@ -1,11 +1,12 @@
 """Full-text search over a positional inverted index kept as Parquet.
 
-The index is a folder: ``postings`` has a row for each term of each document with
-the term's positions as differences, in folders by a hash of the term and sorted by
-term within files, one for each part of the documents, so that a search reads the
-files of its terms only; ``lengths`` has the words of each document; ``about`` how
-it was made.  Terms are runs of letters and digits in lower case, by default
-stemmed, without stop words (which keep their positions).
+The index is a folder: ``postings`` has a row for each term of each document (of a
+stemmed index: for each word, and a search puts the words of a term together) with
+the positions as differences, in folders by a hash of the term and sorted by term
+within files, one for each part of the documents, so that a search reads the files
+of its terms only; ``lengths`` has the words of each document; ``about`` how it was
+made.  Terms are runs of letters and digits in lower case, by default stemmed,
+without stop words (which keep their positions).
 
 A query is a list of alternatives; each asks for units, words or phrases, and may
 rule some out.  Documents are ranked by cover density: every shortest stretch with
@@ -29,8 +30,10 @@ from tessera.plans.workspace import Workspace
 WEIGHT = 0.1
 #: Documents are dealt into parts of about so many words, each sorted by one task, so that a frequent term isn't one task's; into PARTS at least, where these have LEAST_WORDS.
 PART_WORDS, PARTS, LEAST_WORDS = 4_000_000, 16, 100_000
-#: Most words whose stems are broadcast to the documents; more are shuffled.
+#: Most words whose stems are broadcast to the documents, the most frequent ones; postings of rarer words are shuffled.
 BROADCAST_WORDS = 1_000_000
+#: The folder in which postings of rarer words wait for their stems.
+RARE = -1
 _WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -70,7 +73,8 @@ class TextIndex:
             return self._rows.where("false").select("doc", "term", F.col("gaps").alias("positions"))
         rows = self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"), self.buckets)).distinct().collect()
         found = self._rows.where(F.col("bucket").isin([r[0] for r in rows]) & F.col("term").isin(terms))
-        return found.select("doc", "term", F.transform("gaps", lambda _, i: F.aggregate(F.slice("gaps", F.lit(1), i + 1), F.lit(0), lambda a, g: a + g)).alias("positions"))
+        found = found.select("doc", "term", F.transform("gaps", lambda _, i: F.aggregate(F.slice("gaps", F.lit(1), i + 1), F.lit(0), lambda a, g: a + g)).alias("positions"))
+        return found.groupBy("doc", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")) if self.stemmed else found
 
     def units(self, texts: list[str]) -> list[Unit]:
         """The units of some words or phrases; those of stop words alone are left out."""
@@ -139,31 +143,49 @@ def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.explode(stemming.let(placed, runs)).alias("w")).select("doc", "w.word", "w.places")
 
 
+def _least_frequent(terms: DataFrame) -> tuple[int, int]:
+    """How many documents a word of ``terms`` (docs) must have so that BROADCAST_WORDS words at most do, and how many postings the others have."""
+    least, room, rare = None, BROADCAST_WORDS, 0
+    for docs, n in sorted(map(tuple, terms.groupBy("docs").count().collect()), reverse=True):
+        room -= n
+        if room >= 0:
+            least = docs
+        else:
+            rare += docs * n
+            least = docs + 1 if least is None else least
+    return least or 1, rare
+
+
 def build(docs: DataFrame, key: str, text: str, folder: str, stemmed: bool = True, buckets: int = 64, workspace: Workspace | None = None) -> TextIndex:
     """Index ``text`` of ``docs`` (unique by ``key``) into a new folder; null texts have no words."""
-    spark, workspace = docs.sparkSession, workspace or Workspace(docs.sparkSession, "index")
+    spark, workspace, kind = docs.sparkSession, workspace or Workspace(docs.sparkSession, "index"), docs.schema[key].dataType.simpleString()
     docs.select(F.col(key).alias("doc"), F.coalesce(F.size(words(F.col(text))), F.lit(0)).alias("words")).write.parquet(f"{folder}/lengths")
-    total = spark.read.schema(f"doc {docs.schema[key].dataType.simpleString()}, words int").parquet(f"{folder}/lengths").agg(F.sum("words")).first()[0] or 0
+    total = spark.read.schema(f"doc {kind}, words int").parquet(f"{folder}/lengths").agg(F.sum("words")).first()[0] or 0
     parts = max(math.ceil(total / PART_WORDS), min(PARTS, math.ceil(total / LEAST_WORDS)), 1)
+    # texts are dealt, not the postings made of them, which are many times larger
+    rows = _placed(docs.select(key, text).repartition(parts, key), key, text)
+    gaps = F.transform("places", lambda p, i: F.when(i == 0, p).otherwise(p - F.get("places", i - 1)))
+    write = lambda rows, mode: rows.sortWithinPartitions("bucket", "term", "doc").write.mode(mode).partitionBy("bucket").parquet(f"{folder}/postings")
     if stemmed:
-        own = workspace.save(_placed(docs, key, text))
         # every word is stemmed once; the table keeps its stems from being worked out again for a filter or for each document
-        terms = workspace.save(own.select("word").where(~F.col("word").isin(stemming.STOPWORDS)).distinct().select("word", term_of(F.col("word"), stemmed).alias("term")))
-        known = terms.withColumn("_several", F.count("*").over(Window.partitionBy("term")) > 1)
-        few = terms.count() <= BROADCAST_WORDS
-        with_terms = lambda w: own.join(F.broadcast(w) if few else w, "word")
-        # few stems have several words; only the rows of these are put together
-        united = with_terms(known.where("_several")).groupBy("doc", "term").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
-        rows = with_terms(known.where("not _several")).select("doc", "term", "places").union(united).repartition(parts, "doc")
+        found = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("word")).where(~F.col("word").isin(stemming.STOPWORDS)).groupBy("word").agg(F.count("*").alias("docs"))
+        terms = workspace.save(found.select("word", term_of(F.col("word"), stemmed).alias("term"), "docs"))
+        least, rare = _least_frequent(terms)
+        rows = rows.where(~F.col("word").isin(stemming.STOPWORDS)).join(F.broadcast(terms.where(F.col("docs") >= least).select("word", "term")), "word", "left")
+        rows = rows.select("doc", F.coalesce("term", "word").alias("term"), gaps.alias("gaps"), F.when(F.col("term").isNull(), RARE).otherwise(bucket_of(F.col("term"), buckets)).alias("bucket"))
+        write(rows, "errorifexists")
+        if rare:
+            path = f"{folder}/postings/bucket={RARE}"
+            waiting = spark.read.schema(f"doc {kind}, term string, gaps array<int>").parquet(path)
+            waiting.workspace_path = path
+            stems = terms.where(F.col("docs") < least).select("word", F.col("term").alias("stem"))
+            mended = waiting.join(stems.hint("merge"), F.col("term") == F.col("word")).select("doc", F.col("stem").alias("term"), "gaps", bucket_of(F.col("stem"), buckets))
+            write(mended.repartition(math.ceil(rare / PART_WORDS), "doc"), "append")
+            workspace.drop(waiting)
+        workspace.drop(terms)
     else:
-        # texts are dealt, not the postings made of them, which are many times larger
-        rows = _placed(docs.select(key, text).repartition(parts, key), key, text).withColumnRenamed("word", "term")
-    gaps = F.transform("places", lambda p, i: F.when(i == 0, p).otherwise(p - F.get("places", i - 1)))
-    postings = rows.select("doc", "term", gaps.alias("gaps"), bucket_of(F.col("term"), buckets))
-    postings.sortWithinPartitions("bucket", "term", "doc").write.mode("errorifexists").partitionBy("bucket").parquet(f"{folder}/postings")
-    spark.createDataFrame([(json.dumps({"key": key, "buckets": buckets, "stemmed": stemmed, "kind": docs.schema[key].dataType.simpleString()}),)], "value string").coalesce(1).write.text(f"{folder}/about")
-    if stemmed:
-        workspace.drop(own, terms)
+        write(rows.select("doc", F.col("word").alias("term"), gaps.alias("gaps"), bucket_of(F.col("word"), buckets)), "errorifexists")
+    spark.createDataFrame([(json.dumps({"key": key, "buckets": buckets, "stemmed": stemmed, "kind": kind}),)], "value string").coalesce(1).write.text(f"{folder}/about")
     return TextIndex(spark, folder)
 
 

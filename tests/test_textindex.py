@@ -184,3 +184,22 @@ def test_texts_are_dealt_not_postings(spark, tmp_path, monkeypatch):
     assert rows[0] == rows[1] != set()
     files = large._rows.select("doc", F.input_file_name().alias("file"))
     assert files.groupBy("doc").agg(F.count_distinct(F.regexp_extract("file", "part-([0-9]+)", 1)).alias("n")).where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 4, 1000])
+def test_stemmed_texts_are_dealt_not_postings(spark, tmp_path, monkeypatch, most):
+    """Also with stems postings are made where they are sorted; only those of words too rare to be broadcast are shuffled, and no result depends on it."""
+    docs = spark.createDataFrame(corpus(3, 80), "id long, body string")
+    seen, placed = [], textindex._placed
+    monkeypatch.setattr(textindex, "_placed", lambda docs, key, text: seen.append(docs) or placed(docs, key, text))
+    monkeypatch.setattr(textindex, "PART_WORDS", 100)
+    monkeypatch.setattr(textindex, "BROADCAST_WORDS", most)
+    index = textindex.build(docs, "id", "body", str(tmp_path / "i"), buckets=3)
+    assert [d.rdd.getNumPartitions() for d in seen] == [-(-sum(len(tokens(t)) for _, t in corpus(3, 80)) // 100)]
+    split = {d: tokens(t) for d, t in corpus(3, 80)}
+    distinct = spark.createDataFrame([(w,) for w in sorted({w for ws in split.values() for w in ws})], "word string")
+    stems = {r.word: r.term for r in distinct.withColumn("term", textindex.term_of(F.col("word"), True)).collect() if r.term}
+    want = {(d, t, tuple(p for p, w in enumerate(ws, 1) if stems.get(w) == t)) for d, ws in split.items() for t in {stems[w] for w in ws if w in stems}}
+    got = [(r.doc, r.term, tuple(r.positions)) for r in index.postings(sorted(set(stems.values()))).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sorted(p.name for p in (tmp_path / "i" / "postings").glob("bucket=*")) == [f"bucket={b}" for b in sorted({r.bucket for r in index._rows.select("bucket").distinct().collect()} - {textindex.RARE})]
