@@ -30,7 +30,7 @@ def _grams(c: Column) -> Column:
     return F.transform(every, lambda g, i: F.concat(g, F.lit(":"), F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
 
 
-def _posted(rows: DataFrame, form: str, least: float, often: DataFrame) -> DataFrame:
+def _posted(rows: DataFrame, form: str, least: float | Column, often: DataFrame) -> DataFrame:
     """``rows`` with ``_g``, one of their rarest grams: as many that strings which are ``least`` alike share one.
 
     Of strings of n and m characters so alike, ``3 * l - 1 - (n + m)`` pairs of
@@ -65,18 +65,18 @@ def _thinned(rows: DataFrame, form: str, left: dict[int, set[int]]) -> DataFrame
 
 
 def _thinned_pairs(a: DataFrame, b: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame:
-    """(_a, _id, _b) of strings that share a subsequence; ``pairs`` has the lengths of both and of that."""
+    """``a`` with (_id, _b) of strings that share a subsequence; ``pairs`` has the lengths of both and of that."""
     left, right = defaultdict(set), defaultdict(set)
     for n, m, size in pairs:
         left[n].add(size)
         right[m].add(size)
-    return _thinned(a, "_a", dict(left)).join(_thinned(b, "_b", dict(right)).hint("merge"), "_k").select("_a", "_id", "_b")
+    return _thinned(a, "_a", dict(left)).join(_thinned(b, "_b", dict(right)).hint("merge"), "_k").select(*a.columns, "_id", "_b")
 
 
 def _gram_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(_a, _id, _b) of strings that share one of their rarest grams."""
+    """``a`` (_a, and how like it others must be: _t) with (_id, _b) of strings that share one of their rarest grams."""
     often = a.select(F.explode(_grams(F.col("_a"))).alias("_g")).unionAll(b.select(F.explode(_grams(F.col("_b"))).alias("_g"))).groupBy("_g").agg(F.count("*").alias("_df"))
-    return _posted(a, "_a", least, often).join(_posted(b, "_b", least, often).hint("merge"), "_g").select("_a", "_id", "_b")
+    return _posted(a, "_a", F.col("_t"), often).join(_posted(b, "_b", least, often).hint("merge"), "_g").select(*a.columns, "_id", "_b")
 
 
 def _nearest(pairs: DataFrame, least: float) -> DataFrame:
@@ -124,9 +124,13 @@ def nearest_names(rows: DataFrame, known: DataFrame, name: str, id_: str, known_
                 made = math.comb(n, size), math.comb(m, size)
                 few = max(made) <= SUBSEQUENCES and asked * made[0] + there[m] * made[1] < GRAM_PAIRS * asked * there[m]
                 (thinned if few else by_grams).append((n, m, size))
-    far = _gram_pairs(_of_length(still.select("_a"), "_a", {n for n, _, _ in by_grams}), _of_length(b, "_b", {m for _, m, _ in by_grams}), least)
+    far = _gram_pairs(_of_length(still, "_a", {n for n, _, _ in by_grams}), _of_length(b, "_b", {m for _, m, _ in by_grams}), least)
     if thinned:
-        far = far.union(_thinned_pairs(still.select("_a"), b, thinned))
+        far = far.union(_thinned_pairs(still, b, thinned))
+    # the others of these were found before
+    lb = F.char_length("_b")
+    size = F.ceil(F.col("_t") * (la + lb) / 200 - 1e-9)
+    far = far.where((size <= F.least(la, lb)) & (size < F.greatest(la, lb) - 1)).drop("_t")
     best = top_per_group(close.union(_nearest(far, least)), ["_a"], [F.desc("similarity"), F.col("_id")])
     return named.join(best.hint("merge"), "_a").select("name", F.col("_id").alias("id"), "similarity")
 
